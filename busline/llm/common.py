@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: What counts as a word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -193,3 +196,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b"))).distinct()
+
+
+def append_from_text(df: DataFrame, start: Callable[[], Callable[[list], list[list]]], fields: T.StructType, text: str = "text") -> DataFrame:
+    """df with the fields computed from a text column, in Arrow batches and without a shuffle.
+
+    `start` is called once a task and returns the function from a list of texts (None for null) to one list a field.
+    Columns of df that have the name of a field are replaced; all others pass unchanged, whatever they are.
+    """
+    bounded_batches(df.sparkSession)
+    kept = df.select(*[c for c in df.columns if c not in fields.fieldNames()])
+    at, arrow = kept.columns.index(text), to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = start()
+        for batch in batches:
+            made = fn(batch.column(at).to_pylist())
+            columns = [pa.array(x, f.type) for x, f in zip(made, arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *arrow.names])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields.fields]))

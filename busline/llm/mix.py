@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from busline.llm.common import materialized
+
 #: Key ranges per source. A range is ordered in one task, so a source of n documents needs n / RANGES rows there.
 RANGES = 4096
 
@@ -50,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size"), quality.alias("q"), drawn.alias("u"))
     rows = rows.withColumn("key", -F.log((F.col("u") + F.lit(0.5)) / F.lit(float(2**52))) / F.col("q"))
     rows = rows.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES).cast("int")).drop("q", "u")
-    targets = source_targets(docs.select("source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size")), weights, share, repeat)
+    rows = materialized(rows, "mix")  # ids and counts, read three times below; the texts are read once
+    targets = source_targets(rows, weights, share, repeat)
 
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
