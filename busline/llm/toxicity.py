@@ -79,7 +79,17 @@ def _bags(text: str | None, memo: dict) -> Counter:
     return bag
 
 
-def _descend(sets: list[tuple], counts: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, rounds: int = 500, rate: float = 0.1, ridge: float = 0.02) -> tuple[np.ndarray, float]:
+def _stems(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """Leave out a beginning that a longer one equals, and what a shorter beginning says with no lower precision."""
+    def longer(f: str) -> bool:
+        return any(g != f and len(g) > len(f) and g.startswith(f[:-1]) and counts[g] == counts[f] for g in counts) if f[-1] == "*" else False
+
+    stems = {f: c for f, c in counts.items() if not longer(f)}
+    precision = lambda c: c[0] / (c[0] + c[1])
+    return [f for f, c in stems.items() if not any(g != f and g[-1] == "*" and f.rstrip("*").startswith(g[:-1]) and precision(d) >= precision(c) for g, d in stems.items())]
+
+
+def _descend(sets: list[tuple], counts: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, rounds: int = 500, rate: float = 0.1, ridge: float = 0.05) -> tuple[np.ndarray, float]:
     """Adam on the noisy-or likelihood; a row is a feature set of a document and how many of its sentences have it."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     row, col = np.repeat(np.arange(len(sets)), size), np.fromiter((i for s in sets for i in s), np.int64, int(size.sum()))
@@ -100,11 +110,12 @@ def _descend(sets: list[tuple], counts: np.ndarray, doc: np.ndarray, y: np.ndarr
     return theta[:-1], float(theta[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 768, least: int = 4) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 768, least: int = 4, share: float = 0.015, sure: float = 5.0) -> ToxicityModel:
     """Fit on documents whose label is known, at most about max_docs of them (a bounded sample by a hash of doc_id).
 
-    Features are the max_features words and word beginnings that stand in at least `least` toxic documents of the
-    sample and lean most to them (two-sample z of document frequencies, counted in Spark). The driver then holds, for
+    Features are the max_features words and word beginnings that stand in at least `least` toxic documents and in
+    `share` of the toxic documents of the sample and lean most to them (two-sample z of document frequencies above
+    `sure`, counted in Spark); those that only repeat a better beginning are left out. The driver then holds, for
     each sampled document, its distinct sets of these features with counts. Null labels are ignored; a document with
     several labels is toxic if one says so; without both classes the model scores everything 0.
     """
@@ -132,8 +143,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max
     sums = F.broadcast(counts.where("f IS NULL").select(F.col("n1").alias("t1"), F.col("n0").alias("t0")))  # one row
     p = (F.col("n1") + F.col("n0")) / (F.col("t1") + F.col("t0"))
     z = (F.col("n1") / F.col("t1") - F.col("n0") / F.col("t0")) / F.sqrt(p * (1 - p) * (1 / F.col("t1") + 1 / F.col("t0")) + 1e-12)
-    best = counts.where((F.col("f").isNotNull()) & (F.col("n1") >= least)).join(sums, F.lit(True)).where("t1 > 0 AND t0 > 0")
-    chosen = [r["f"] for r in best.withColumn("z", F.round(z, 9)).where("z > 3").orderBy(F.desc("z"), "f").limit(max_features).select("f").collect()]
+    best = counts.where((F.col("f").isNotNull()) & (F.col("n1") >= least)).join(sums, F.lit(True)).where("t1 > 0 AND t0 > 0").where(F.col("n1") >= F.col("t1") * share)
+    ranked = best.withColumn("z", F.round(z, 9)).where(F.col("z") > sure).orderBy(F.desc("z"), "f").limit(max_features)
+    chosen = _stems({r["f"]: (r["n1"], r["n0"]) for r in ranked.select("f", "n1", "n0").collect()})
     known_features = {f: i for i, f in enumerate(chosen)}
 
     def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
