@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import lines, mix, toxicity
+from busline.llm import lines, mix, quality, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by pattern and by confirmed structure."""
+    return secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every document and the verdict on its host, for which its source stands."""
+    kept = quality.apply_quality(documents(spark, sf_dir).select("doc_id", "source", "text"), F.col("source"))
+    return kept.select("doc_id", *quality.COUNTS.fieldNames(), "base_failed", "kept")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources to target weights takes of each document."""
     return mix.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,7 +49,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES = {"op6_quality_rules": quality.ORACLE, "op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}
