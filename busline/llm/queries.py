@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import lines, mix, quality, secrets, toxicity
+from busline.llm import bpe, lines, mix, quality, records, secrets, toxicity
+from busline.llm.common import shared_dir
+
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +32,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as binary records in doc_id order and read back."""
+    out = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    records.write_records(documents(spark, sf_dir), out, public_tokenizers.path(VOCABULARY))
+    return records.read_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by pattern and by confirmed structure."""
     return secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -36,6 +50,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", *quality.COUNTS.fieldNames(), "base_failed", "kept")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the text decoded from them."""
+    return bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY)).drop("text")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources to target weights takes of each document."""
     return mix.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -49,8 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_token_records": op3_token_records,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
