@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import bpe, lines, mix, quality, records, secrets, toxicity
+from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, toxicity
 from busline.llm.common import shared_dir
 
 
@@ -39,6 +39,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document by the Jaccard similarity of its sets of five words."""
+    return ngrams.jaccard_classes(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by pattern and by confirmed structure."""
     return secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -69,6 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_records": op3_token_records,
+    "op4_ngram_join": op4_ngram_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
