@@ -216,3 +216,45 @@ def append_from_text(df: DataFrame, start: Callable[[], Callable[[list], list[li
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *arrow.names])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields.fields]))
+
+
+#: Rows of a bucket that one block of pairs takes from each side.
+CHUNK = 1024
+
+
+def blocks(rows: DataFrame, key: list[str], chunk: int = CHUNK) -> DataFrame:
+    """rows of buckets with two rows or more, dealt to blocks (block_i, block_j, side): all pairs of a bucket meet in some block.
+
+    A bucket of n rows is divided into ceil(n / chunk) parts by a hash of doc_id; each pair of parts is a block, so that
+    no task takes a whole bucket. A bucket of one part is a block of its own. Bucket sizes come from a grouped count that
+    is summed before the shuffle.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1")
+    sized = rows.join(sizes, key).withColumn("__parts", F.ceil(F.col("__n") / chunk).cast("int"))
+    mine = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("__parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    dealt = sized.withColumn("__mine", mine).withColumn("__other", other)
+    return dealt.withColumn("block_i", F.least("__mine", "__other")).withColumn("block_j", F.greatest("__mine", "__other")).withColumn("side", F.when(F.col("__mine") <= F.col("__other"), 0).otherwise(1)).drop("__n", "__parts", "__mine", "__other")
+
+
+def block_pairs(side: np.ndarray, same_part: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a block: within one part, or between its two parts."""
+    if same_part:
+        return np.triu_indices(len(side), 1)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return np.repeat(a, len(b)), np.tile(b, len(a))
+
+
+def linked_classes(every: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, kept of `every` doc_id.
+
+    members (doc_id, rep, copies) names each document's representative among its exact copies; links holds counts
+    (a, n, null) of what is linked with a representative and edges (a, 0, b) that join what is linked.
+    """
+    counts = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
+    classes = components(links.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
+    linked = members.join(counts, "rep", "left").join(classes, "rep", "left")
+    linked = linked.select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "copies")
+    out = every.join(linked, "doc_id", "left")
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -11,11 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import Words, bounded_batches, components, group_bounds, map_groups, materialized, mixed, slices
-
-#: Rows of a band's bucket that one block of pairs takes from each side.
-CHUNK = 1024
-
+from busline.llm.common import Words, block_pairs, blocks, bounded_batches, group_bounds, linked_classes, map_groups, materialized, mixed, slices
 
 def band_plan(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:
     """(bands, rows): the fewest bands of `rows` minima with which a pair at the threshold shares a band with
@@ -73,29 +69,6 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, set binary, bands array<bigint>")
 
 
-def blocks(rows: DataFrame, key: list[str], chunk: int = CHUNK) -> DataFrame:
-    """rows of buckets with two rows or more, dealt to blocks (block_i, block_j, side): all pairs of a bucket meet in some block.
-
-    A bucket of n rows is divided into ceil(n / chunk) parts by a hash of doc_id; each pair of parts is a block, so that
-    no task takes a whole bucket. A bucket of one part is a block of its own. Bucket sizes come from a grouped count that
-    is summed before the shuffle.
-    """
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1")
-    sized = rows.join(sizes, key).withColumn("__parts", F.ceil(F.col("__n") / chunk).cast("int"))
-    mine = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("__parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
-    dealt = sized.withColumn("__mine", mine).withColumn("__other", other)
-    return dealt.withColumn("block_i", F.least("__mine", "__other")).withColumn("block_j", F.greatest("__mine", "__other")).withColumn("side", F.when(F.col("__mine") <= F.col("__other"), 0).otherwise(1)).drop("__n", "__parts", "__mine", "__other")
-
-
-def _pairs(side: np.ndarray, same_part: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of a block: within one part, or between its two parts."""
-    if same_part:
-        return np.triu_indices(len(side), 1)
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    return np.repeat(a, len(b)), np.tile(b, len(a))
-
-
 _BLOCK = ["band", "key", "block_i", "block_j"]
 
 
@@ -109,7 +82,7 @@ def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
         if b - a < 2:
             continue
         k = np.stack(keys[a:b])[:, : band[a]]
-        i, j = _pairs(side[a:b], bi[a] == bj[a])
+        i, j = block_pairs(side[a:b], bi[a] == bj[a])
         if k.shape[1]:
             fresh = np.ones(len(i), bool)
             for c in range(k.shape[1]):
@@ -217,10 +190,4 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     per = needed.groupBy("doc_id").agg(F.collect_list(F.struct(*_BLOCK, "side")).alias("at")).join(reps, "doc_id")
     laid = docs.join(per, "doc_id").select("doc_id", "text", "set", "copies", "bands", F.explode("at").alias("at")).select("doc_id", "text", "set", "copies", "bands", "at.*")
     verified = materialized(map_groups(laid, _BLOCK, _verifier(n, threshold), "a bigint, n bigint, b bigint"), "links")
-    counts = verified.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    classes = components(verified.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    linked = members.join(counts, "rep", "left").join(classes, "rep", "left")
-    linked = linked.select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "copies")
-    every = signed.select("doc_id").join(linked, "doc_id", "left")
-    every = every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
-    return every.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return linked_classes(signed.select("doc_id"), members, verified)

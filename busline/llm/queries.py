@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, toxicity
+from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, toxicity, vectors
 from busline.llm.common import shared_dir
 
 
@@ -32,6 +32,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal vectors of equal label, as links and components."""
+    return vectors.vector_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as binary records in doc_id order and read back."""
     out = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
@@ -73,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_records": op3_token_records,
     "op4_ngram_join": op4_ngram_join,
     "op5_secret_scan": op5_secret_scan,
