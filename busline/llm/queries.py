@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, toxicity, vectors
+from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, substrings, toxicity, vectors
 from busline.llm.common import shared_dir
 
 
@@ -60,6 +60,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", *quality.COUNTS.fieldNames(), "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in windows of 50 words that an earlier document has."""
+    return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of the text decoded from them."""
     return bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY)).drop("text")
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
