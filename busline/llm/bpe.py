@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from busline.llm.common import append_from_text, slices
 
 #: Pieces of text remembered by one Python worker with their ids.
-MEMO = 600_000
+MEMO = 300_000
 #: How byte-level vocabularies write bytes as printable characters, and how they split text.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -154,7 +154,7 @@ class Bpe:
 
     def divided(self, ids: np.ndarray, pieces: list[str]) -> list[bytes]:
         """Cut the ids of joined pieces where the bytes of their tokens reach the ends of the pieces."""
-        ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "replace")) for p in pieces), np.int64, len(pieces)))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
         cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.token_size[ids]), ends) + 1]) * 4
         data = ids.astype("<u4").tobytes()
         return [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
@@ -180,17 +180,16 @@ class PieceEncoder:
 
     def __call__(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
-        for a, b in slices(texts):
+        for a, b in slices(texts, 1 << 20):
             part = [(t or "").split(" ") for t in texts[a:b]]
             heads = [p[0] for p in part]
             for p in part:
                 del p[0]
             every = set().union(*part)
             new = every - self.known.keys()
-            if len(self.known) + len(new) > MEMO:
-                self.known.clear()
-                self.odd.clear()
-                new = every
+            if len(self.known) + len(new) > MEMO:  # go on with what is in use now
+                self.known = {p: self.known[p] for p in every - new}
+                self.odd &= every
             odd = {p for p in new if not p or p[0].isspace()}
             todo = list(new - odd)
             self.known.update(zip(todo, self.spaced([" " + p for p in todo])))

@@ -87,21 +87,34 @@ def read_file(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 def library_encoder(path: str) -> Callable[[list], list[bytes]]:
     """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, repeated pieces being looked up."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    library, bpe = Tokenizer.from_file(path), Bpe(path)
-    library.no_truncation()
-    library.no_padding()
-    ids = lambda texts: [np.array(e.ids, np.int64) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    def load() -> Tokenizer:
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        return made
 
-    def spaced(pieces: list[str]) -> list[bytes]:
+    library, plain, bpe = load(), load(), Bpe(path)
+    # The same vocabulary for words of letters with a space before each: splitting at spaces is all they need.
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ids = lambda tokenizer, texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(tokenizer: Tokenizer, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
-            out += bpe.divided(ids(["".join(part)])[0], part)
+            out += bpe.divided(ids(tokenizer, ["".join(part)])[0], part)
         return out
 
-    return PieceEncoder(spaced, lambda texts: [x.astype("<u4").tobytes() for x in ids(texts)])
+    def spaced(pieces: list[str]) -> list[bytes]:
+        letters = [p for p in pieces if p[1:].isalpha()]
+        done = dict(zip(letters, joined(plain, letters)))
+        rest = [p for p in pieces if p not in done]
+        done.update(zip(rest, joined(library, rest)))
+        return [*map(done.__getitem__, pieces)]
+
+    return PieceEncoder(spaced, lambda texts: [x.astype("<u4").tobytes() for x in ids(library, texts)])
 
 
 def write_records(docs: DataFrame, out: str, vocabulary: str, end: int = END, range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> None:
