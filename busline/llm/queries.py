@@ -13,6 +13,8 @@ from busline.llm.common import shared_dir
 
 
 VOCABULARY = "byte_bpe_50k.json"
+#: From this score on a document counts as toxic.
+TOXIC_FROM = 0.7
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "offending")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
