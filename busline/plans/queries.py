@@ -12,6 +12,7 @@ from busline.plans.oracle import ORACLES
 from busline.schema import FEATURES, HEADER_BYTES, KEY
 from busline.sources import packets as sources
 from busline.sources import pcap
+from busline.sources.store import stored
 from busline.streaming import flows
 
 _all = sources.packets
@@ -162,7 +163,7 @@ def split(spark, d):
 
 
 def _prepared(spark, d):
-    return prepare.split(prepare.features(_all(spark, d)))
+    return stored(prepare.split(prepare.features(_all(spark, d))), "split")
 
 
 def minmax_stats(spark, d):
@@ -178,7 +179,8 @@ def minmax_scaled(spark, d):
 def predictions(spark, d):
     """Rows that the metrics need no trained model for: the scaled source rate as score of the held-out half."""
     rate = windows.source_rate(_all(spark, d).select(*KEY, "timestamp", "src_ip", "label", "attack_type"))
-    rows = prepare.minmax_scaled(prepare.split(rate), [FEATURES[16]]).where("NOT is_train")
+    rate = stored(rate.select(*KEY, FEATURES[16], "label", "attack_type"), "rate")
+    rows = prepare.minmax_scaled(stored(prepare.split(rate), "split"), [FEATURES[16]]).where("NOT is_train")
     rows = rows.select(*KEY, "label", "attack_type", F.col(FEATURES[16]).alias("score"))
     return metrics.with_classes(rows).withColumns({"prediction": (F.col("score") >= 0.5).cast("int"), "pred_class": F.least(F.floor(F.col("score") * 4), F.lit(3)).cast("int")})
 
@@ -223,7 +225,7 @@ ROUNDS, DEPTH = 5, 4
 
 
 def _scaled(spark, d):
-    return prepare.minmax_scaled(_prepared(spark, d)).persist()
+    return stored(prepare.minmax_scaled(_prepared(spark, d)), "scaled")
 
 
 def gbt_predictions(spark, d):

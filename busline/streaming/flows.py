@@ -7,18 +7,17 @@ micro-batch each key's packets are sorted. Keys unseen for `ttl` milliseconds ar
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from busline.operators.windows import RECENT, SOURCE_WINDOW
 from busline.schema import FLOW, KEY
+from busline.sources.store import shared_folder
 
 _STATE = StructType([StructField("held", StringType())])
 TTL_MS = 3_600_000
@@ -123,18 +122,13 @@ def source_stream(packets: DataFrame) -> DataFrame:
     return _stream(packets, ["src_ip"], SourceState)
 
 
-def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(folder, f"stream-{uuid.uuid4().hex}")
-
-
 def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame], micro_batches: int = 1) -> DataFrame:
     """Write packets as files, read them as a stream of `micro_batches`, and return what the stream has written.
 
     Files and the stream's checkpoint are in the shared folder that spark.checkpoint.dir names.
     """
     spark = packets.sparkSession
-    at = _shared(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     packets.repartitionByRange(micro_batches, "pcap_file", "timestamp", "frame_no").sortWithinPartitions("pcap_file", "timestamp", "frame_no").write.parquet(f"{at}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     read = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
