@@ -1,7 +1,8 @@
 """Packet features on a stream: keyed state by flow, by payload and by source.
 
 State is as the batch windows define it, given packets in order within and between micro-batches; inside a
-micro-batch each key's packets are sorted. Keys unseen for `ttl` milliseconds are dropped.
+micro-batch each key's packets are sorted. Keys unseen for ttl_ms milliseconds are dropped; that needs a stream that keeps
+running, since state by processing time asks for batches without data, which an available-now run would never end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from busline.schema import FLOW, KEY
 from busline.sources.store import shared_folder
 
 _STATE = StructType([StructField("held", StringType())])
-TTL_MS = 3_600_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,8 +37,11 @@ def bits_apart(a: str | None, b: str | None) -> float:
 class _Keyed(StatefulProcessor):
     """Holds one JSON value a key; subclasses give its start and step(state, row) -> features."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", _STATE, ttlDurationMs=TTL_MS)
+        self.state = handle.getValueState("held", _STATE, ttlDurationMs=self.ttl_ms) if self.ttl_ms else handle.getValueState("held", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
@@ -104,22 +107,23 @@ class SourceState(_Keyed):
         return rate, len(set(held["payloads"])) / m if m > 1 else 0.0
 
 
-def _stream(packets: DataFrame, keys: list[str], processor: type[_Keyed]) -> DataFrame:
+def _stream(packets: DataFrame, keys: list[str], processor: type[_Keyed], ttl_ms: int | None) -> DataFrame:
     schema = ", ".join(["pcap_file string", "frame_no bigint", *(f"{n} double" for n in processor.names)])
-    return packets.groupBy(*keys).transformWithStateInPandas(processor(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return packets.groupBy(*keys).transformWithStateInPandas(processor(ttl_ms), outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
-def flow_stream(packets: DataFrame) -> DataFrame:
-    return _stream(packets, FLOW, FlowState)
+def flow_stream(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return _stream(packets, FLOW, FlowState, ttl_ms)
 
 
-def payload_stream(packets: DataFrame) -> DataFrame:
+def payload_stream(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Packets with a payload only; the others have f14 = 0."""
-    return _stream(packets.where("someip_payload_hex <> ''"), ["someip_payload_hex"], PayloadState)
+    return _stream(packets.where("someip_payload_hex <> ''"), ["someip_payload_hex"], PayloadState, ttl_ms)
 
 
-def source_stream(packets: DataFrame) -> DataFrame:
-    return _stream(packets, ["src_ip"], SourceState)
+def source_stream(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return _stream(packets, ["src_ip"], SourceState, ttl_ms)
 
 
 def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame], micro_batches: int = 1) -> DataFrame:
