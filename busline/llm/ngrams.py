@@ -122,7 +122,7 @@ def _verifier(n: int, threshold: float):
             links = np.zeros(m, np.int64)
             root = np.arange(m)
             mark = np.zeros(len(every), bool)
-            for i in range(m - 1):
+            for i in range(m):
                 others = np.arange(i + 1, m) if bi[a] == bj[a] else np.flatnonzero(side[own] == 1) if side[own[i]] == 0 else np.zeros(0, np.int64)
                 if bi[a] != bj[a] and side[own[i]] == 1:
                     continue
