@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from busline.llm.common import append_from_text, slices
 
-#: Pieces of text remembered by one Python worker with their ids.
+#: Pieces of text remembered by one Python worker with their ids, in each of two generations.
 MEMO = 300_000
 #: How byte-level vocabularies write bytes as printable characters, and how they split text.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -176,25 +176,32 @@ class PieceEncoder:
     """
 
     def __init__(self, spaced: Callable[[list[str]], list[bytes]], each: Callable[[list[str]], list[bytes]]):
-        self.spaced, self.each, self.known, self.odd = spaced, each, {}, set()
+        self.spaced, self.each = spaced, each
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.odd: set[str] = set()
 
     def __call__(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
-        for a, b in slices(texts, 1 << 20):
+        for a, b in slices(texts, 3 << 19):
             part = [(t or "").split(" ") for t in texts[a:b]]
             heads = [p[0] for p in part]
             for p in part:
                 del p[0]
             every = set().union(*part)
             new = every - self.known.keys()
-            if len(self.known) + len(new) > MEMO:  # go on with what is in use now
-                self.known = {p: self.known[p] for p in every - new}
-                self.odd &= every
+            if len(self.known) + len(new) > MEMO:  # what is still in use comes back from the older half
+                self.older, self.known, new = self.known, {}, every
+            back = new & self.older.keys()
+            self.known.update((p, self.older[p]) for p in back)
+            new -= back
             odd = {p for p in new if not p or p[0].isspace()}
             todo = list(new - odd)
             self.known.update(zip(todo, self.spaced([" " + p for p in todo])))
             self.known.update(dict.fromkeys(odd))
             self.odd |= odd
+            if len(self.odd) > MEMO:
+                self.odd = {p for p, ids in self.known.items() if ids is None} | {p for p, ids in self.older.items() if ids is None}
             get = self.known.__getitem__
             got = [[*map(get, p)] for p in part]
             whole = set() if self.odd.isdisjoint(every) else {i for i, g in enumerate(got) if None in g}
