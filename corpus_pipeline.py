@@ -37,10 +37,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    taken = mix.mix_sources(docs).where("times > 0").select("doc_id", "times")
-    times = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(taken, "doc_id").select(*COLUMNS, times.alias("epoch")).select(*COLUMNS)
+    """Each document as often as the mix of sources takes it; rows that share a doc_id as often as the one taken most."""
+    taken = mix.mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times")).where("__times > 0")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
