@@ -7,6 +7,8 @@ import json
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -172,41 +174,58 @@ class PieceEncoder:
     """Encodes texts piece by piece, remembering the ids of pieces.
 
     A piece begins with each space that a character other than white space follows. Byte-level splitting never joins text
-    across such a place, so pieces can be encoded apart; a text with white space after a space is encoded whole.
+    across such a place, so pieces can be encoded apart; a text with white space after a space is encoded whole. The
+    pieces of a slice are numbered by Arrow, so that Python sees each distinct one once, and the ids of all its texts are
+    one `take` of those numbers.
     """
 
     def __init__(self, spaced: Callable[[list[str]], list[bytes]], each: Callable[[list[str]], list[bytes]]):
         self.spaced, self.each = spaced, each
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.odd: set[str] = set()
+        # No piece has no ids, so b"" stands for those that begin with white space.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pieces(self, names: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, given without their space; b"" for those that begin with white space."""
+        ids = [*map(self.known.get, names)]
+        lost = [i for i, x in enumerate(ids) if x is None]
+        if len(self.known) + len(lost) > MEMO:  # what is still in use comes back from the older half
+            self.older, self.known, lost = self.known, {}, range(len(names))
+        new = []
+        for i in lost:
+            p = names[i]
+            x = self.older.get(p)
+            if x is None and (not p or p[0].isspace()):
+                x = b""
+            if x is None:
+                new.append(i)
+            else:
+                ids[i] = self.known[p] = x
+        for i, x in zip(new, self.spaced([" " + names[i] for i in new])):
+            ids[i] = self.known[names[i]] = x
+        return ids
 
     def __call__(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
         for a, b in slices(texts, 3 << 19):
-            part = [(t or "").split(" ") for t in texts[a:b]]
-            heads = [p[0] for p in part]
-            for p in part:
-                del p[0]
-            every = set().union(*part)
-            new = every - self.known.keys()
-            if len(self.known) + len(new) > MEMO:  # what is still in use comes back from the older half
-                self.older, self.known, new = self.known, {}, every
-            back = new & self.older.keys()
-            self.known.update((p, self.older[p]) for p in back)
-            new -= back
-            odd = {p for p in new if not p or p[0].isspace()}
-            todo = list(new - odd)
-            self.known.update(zip(todo, self.spaced([" " + p for p in todo])))
-            self.known.update(dict.fromkeys(odd))
-            self.odd |= odd
-            if len(self.odd) > MEMO:
-                self.odd = {p for p, ids in self.known.items() if ids is None} | {p for p, ids in self.older.items() if ids is None}
-            get = self.known.__getitem__
-            got = [[*map(get, p)] for p in part]
-            whole = set() if self.odd.isdisjoint(every) else {i for i, g in enumerate(got) if None in g}
-            first = self.each([texts[a + i] if i in whole else h for i, h in enumerate(heads)])
-            out += [h if i in whole else b"".join([h, *g]) for i, (h, g) in enumerate(zip(first, got))]
+            split = pc.split_pattern(pa.array([t or "" for t in texts[a:b]], pa.string()), " ")
+            first, flat = split.offsets.to_numpy(), split.values
+            head = np.zeros(len(flat), bool)
+            head[first[:-1]] = True
+            coded = flat.filter(pa.array(~head)).dictionary_encode()
+            ids = self.pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            number = np.empty(len(flat), np.int64)
+            number[~head] = coded.indices.to_numpy()
+            odd = np.append(np.fromiter(map(len, ids), np.int64, len(ids)) == 0, False)
+            number[head] = len(ids)
+            whole = np.logical_or.reduceat(odd[number], first[:-1])
+            number[np.repeat(whole, np.diff(first))] = len(ids)
+            number[head] = len(ids) + 1 + np.arange(b - a)
+            heads = flat.filter(pa.array(head)).to_pylist()
+            heads = self.each([texts[a + i] if w else h for i, (h, w) in enumerate(zip(heads, whole.tolist()))])
+            taken = pa.array([*ids, b"", *heads], pa.large_binary()).take(pa.array(number))
+            ends, data = np.frombuffer(taken.buffers()[1], np.int64)[first].tolist(), memoryview(taken.buffers()[2] or b"")
+            out += [data[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
         return out
 
 
