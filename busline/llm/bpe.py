@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from busline.llm.common import append_from_text, slices
 
 #: Pieces of text remembered by one Python worker with their ids, in each of two generations.
-MEMO = 450_000
+MEMO = 350_000
 #: How byte-level vocabularies write bytes as printable characters, and how they split text.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
