@@ -27,6 +27,7 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _B64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}={0,2}")
+_B64_START = re.compile(r"M[A-I]|b3Blbn")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 _SSH = b"openssh-key-v1\0"
 
@@ -122,8 +123,9 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, str, int]], list[tup
     more: list[tuple[int, str, int]] = []
     if "eyJ" in text:
         more += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_jwt(m[0])]
-    # A DER key starts with byte 0x30, an OpenSSH key with "openssh-key": in base64 "M", or "b3Blbn"; in hex "30".
-    if "MI" in text or "MC" in text or "MH" in text or "MF" in text or "b3Blbn" in text:
+    # A DER key starts with byte 0x30 and a length below 0x80 or of 0x81 to 0x84, an OpenSSH key with "openssh-key": in
+    # base64 "MA" to "MI", or "b3Blbn"; in hex "30".
+    if _B64_START.search(text):
         for m in _B64.finditer(text):
             raw = re.sub(r"\s", "", m[0]).rstrip("=")
             if raw[0] not in "Mb":
