@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
 import struct
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -26,9 +27,10 @@ _ORDER = {k: i for i, k in enumerate([*(b[0] for b in BASE), *CONFIRMED])}
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_B64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}={0,2}")
-_B64_START = re.compile(r"M[A-I]|b3Blbn")
-_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+#: What may part the digits of a key: line ends, also as a backslash and a letter, with blanks around them.
+_WRAP = r"[ \t]*+(?:(?:[\r\n]|\\++[rn])[ \t]*+)++"
+_WRAPS = re.compile(_WRAP)
+_PADS = [re.compile(rf"(?:{_WRAP})?+={{1,{k}}}") for k in (1, 2)]
 _SSH = b"openssh-key-v1\0"
 
 
@@ -70,11 +72,24 @@ def is_der_key(data: bytes) -> bool:
     return tags[0] == 0x30 and tags[1] == 0x04 and bool(der_items(data, inner[1][1], inner[1][2]))
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: its magic, then cipher, KDF and options as length-prefixed strings, a
-    key count, and as many public keys as it says followed by the private part."""
+def der_size(head: bytes) -> int | None:
+    """The length that the first bytes of a DER key say it has: those of a sequence which a version number begins."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    size, at = head[1], 2
+    if size & 0x80:
+        at += size & 0x7F
+        if not 3 <= at <= 6:
+            return None
+        size = int.from_bytes(head[2:at], "big")
+    return at + size if head[at : at + 3] in (b"\x02\x01\x00", b"\x02\x01\x01") else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Length of the OpenSSH private key that data begins with, or None: its magic, then cipher, KDF and options as
+    length-prefixed strings, a key count, and as many public keys as it says followed by the private part."""
     if not data.startswith(_SSH):
-        return False
+        return None
     at = len(_SSH)
 
     def take() -> bytes | None:
@@ -90,10 +105,10 @@ def is_ssh_key(data: bytes) -> bool:
 
     cipher, kdf, options = take(), take(), take()
     if not cipher or not kdf or options is None or at + 4 > len(data):
-        return False
+        return None
     count = struct.unpack_from(">I", data, at)[0]
     at += 4
-    return 1 <= count <= 16 and all(take() for _ in range(count + 1))
+    return at if 1 <= count <= 16 and all(take() for _ in range(count + 1)) else None
 
 
 def is_jwt(token: str) -> bool:
@@ -106,8 +121,72 @@ def is_jwt(token: str) -> bool:
     return isinstance(read[0], dict) and isinstance(read[0].get("alg"), str) and isinstance(read[1], dict)
 
 
-def structure(data: bytes) -> str | None:
-    return "ssh" if is_ssh_key(data) else "der" if data[:1] == b"\x30" and is_der_key(data) else None
+class Code(NamedTuple):
+    """Digits that bytes are written in: bits of a digit, decoding, and where a key of `least` bytes or more may start."""
+
+    bits: int
+    least: int
+    digits: re.Pattern
+    decode: Callable[[str], bytes]
+    starts: re.Pattern
+
+
+def _code(bits: int, least: int, digit: str, decode: Callable[[str], bytes], *firsts: list[str]) -> Code:
+    first = "|".join(f"(?:{_WRAP})?+".join(x) for x in firsts)
+    more = -(-least * 8 // bits) - min(map(len, firsts))
+    return Code(bits, least, re.compile(f"{digit}+"), decode, re.compile(f"(?:{first})(?=(?:(?:{_WRAP})?+{digit}){{{more}}})"))
+
+
+def _from_base64(raw: str) -> bytes:
+    raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+    return base64.b64decode(raw + "=" * (-len(raw) % 4))
+
+
+#: A DER key starts with byte 0x30 and a length below 0x80 or of 0x81 to 0x84, an OpenSSH key with "openssh-key".
+CODES = (
+    _code(6, 29, "[A-Za-z0-9+/]", _from_base64, ["M", "[A-I]"], list("b3Blbn")),
+    _code(4, 32, "[0-9a-fA-F]", lambda raw: bytes.fromhex(raw[: len(raw) // 2 * 2]), ["3", "0"], ["6", "[fF]", "7", "0"]),
+)
+
+
+def _taken(text: str, at: int, code: Code, size: int) -> tuple[bytes, int]:
+    """The next `size` bytes from text[at], or as many as there are, and the place after their last digit."""
+    left, end, parts = -(-size * 8 // code.bits), at, []
+    while left and (m := code.digits.match(text, at, at + left)):
+        parts.append(m[0])
+        left, end = left - len(m[0]), m.end()
+        if not (wrap := _WRAPS.match(text, end)):
+            break
+        at = wrap.end()
+    return code.decode("".join(parts)), end
+
+
+def key_at(text: str, at: int, code: Code) -> tuple[str, int] | None:
+    """Kind and end of the private key whose digits start at text[at]; its own lengths say where it ends."""
+    head, _ = _taken(text, at, code, len(_SSH))
+    kind, size, tried = "der", der_size(head), 1024
+    while head == _SSH and not size:
+        data, _ = _taken(text, at, code, tried)
+        kind, size = "ssh", ssh_size(data)
+        if len(data) < tried:
+            break
+        tried *= 2
+    if not size or size < code.least:
+        return None
+    data, end = _taken(text, at, code, size)
+    if len(data) != size or kind == "der" and not is_der_key(data):
+        return None
+    pad = _PADS[2 - size % 3].match(text, end) if code.bits == 6 and size % 3 else None
+    return kind, pad.end() if pad else end
+
+
+def find_keys(text: str, code: Code) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) of the private keys written in code, leftmost and non-overlapping, whatever stands around them."""
+    end = 0
+    for m in code.starts.finditer(text):
+        if m.start() >= end and (found := key_at(text, m.start(), code)):
+            kind, end = found
+            yield m.start(), kind, end
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -123,23 +202,8 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, str, int]], list[tup
     more: list[tuple[int, str, int]] = []
     if "eyJ" in text:
         more += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_jwt(m[0])]
-    # A DER key starts with byte 0x30 and a length below 0x80 or of 0x81 to 0x84, an OpenSSH key with "openssh-key": in
-    # base64 "MA" to "MI", or "b3Blbn"; in hex "30".
-    if _B64_START.search(text):
-        for m in _B64.finditer(text):
-            raw = re.sub(r"\s", "", m[0]).rstrip("=")
-            if raw[0] not in "Mb":
-                continue
-            try:
-                kind = structure(base64.b64decode(raw + "=" * (-len(raw) % 4)))
-            except (binascii.Error, ValueError):
-                continue
-            if kind:
-                more.append((m.start(), kind, m.end()))
-    if "30" in text:
-        for m in _HEX.finditer(text):
-            if m[0].startswith(("30", "6f70656e", "6F70656E")) and (kind := structure(bytes.fromhex(m[0]))):
-                more.append((m.start(), kind, m.end()))
+    for code in CODES:
+        more += find_keys(text, code)
     order = lambda s: (s[0], _ORDER[s[1]], s[2])
     return sorted(base, key=order), sorted(more, key=order)
 
@@ -158,7 +222,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs with n_assign, n_access, n_hex, n_confirmed, base_sha256 and spans (kind:start:end, comma-joined).
 
     Base matches are leftmost and non-overlapping per kind and stay whatever structure says; base64 and hex candidates
-    and dotted tokens are added as der, ssh or jwt when they decode to a private key or a signed token. Whole texts; null
+    and dotted tokens are added as der, ssh or jwt when they decode to a private key or a signed token. Keys may start at
+    any digit and be wrapped by line ends, indentation or a literal backslash-n. Whole texts; null
     counts as empty and gives no span. Extra columns pass, except those named like a result; repeated rows are
     scanned one by one, an empty table gives no rows. No shuffle.
     """

@@ -40,3 +40,48 @@ def test_short_keys_alone(start):
     for text in (key, f"x {key} y"):
         at = text.index(key)
         assert secrets.find_secrets(text)[1] == [(at, "der", at + len(key))]
+
+
+def ssh(size):
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    return b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"pub" * 9) + part(b"priv" * size)
+
+
+def rsa(size):
+    return item(0x30, b"\x02\x01\x00", *(item(2, bytes([1 + k] * (size + k))) for k in range(8)))
+
+
+KEYS = [("der", x) for x in [*SHORT.values(), rsa(32), rsa(33), rsa(34), rsa(9000)]] + [("ssh", ssh(n)) for n in (20, 21, 22, 900)]
+
+
+def wrapped(digits, by, width=64):
+    return by.join(digits[k : k + width] for k in range(0, len(digits), width))
+
+
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\n    ", " \n\t", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("kind,key", KEYS)
+def test_keys_in_text(kind, key, by):
+    plain = base64.b64encode(key).decode()
+    for code in (plain, plain.rstrip("="), key.hex(), key.hex().upper()):
+        body = wrapped(code, by)
+        for before, after in (("", ""), ("the key is below" + by, by + "and a line of text"), ("30" + by, by + "0a is next"), ("a", "b" if "=" in code else " b"), ("-----BEGIN KEY-----" + by, by + "-----END KEY-----"), ("M" * 99, "")):
+            text = before + body + after
+            assert secrets.find_secrets(text)[1] == [(len(before), kind, len(before) + len(body))], (before, after)
+        cut = wrapped(code.rstrip("=")[:-4], by)
+        assert not secrets.find_secrets(f"x {cut} y")[1]
+
+
+def test_joined_keys():
+    key = base64.b64encode(SHORT["MDECAQEE"]).decode()
+    text = f"MII{key}{key} {SHORT['MC4CAQAw'].hex()}{SHORT['MC4CAQAw'].hex()}"
+    at, n = text.index(" ") + 1, 2 * len(SHORT["MC4CAQAw"])
+    assert secrets.find_secrets(text)[1] == [(3, "der", 3 + len(key)), (3 + len(key), "der", 3 + 2 * len(key)), (at, "der", at + n), (at + n, "der", at + 2 * n)]
+
+
+def test_long_runs_stay_fast():
+    import time
+
+    began = time.process_time()
+    for text in ("MI" * 100_000, "30" * 100_000, "M\n" * 100_000, "M" + " " * 1_000_000, "b3Blbn" * 40_000, "3 \n0" * 60_000):
+        assert not secrets.find_secrets(text)[1]
+    assert time.process_time() - began < 30
