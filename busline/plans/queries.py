@@ -220,28 +220,24 @@ def topk_sources(spark, d):
     return rows.orderBy(F.desc(FEATURES[16]), *KEY).limit(10)
 
 
-#: Trees and depth of the registered model queries; the command line trains the full size.
-ROUNDS, DEPTH = 5, 4
-
-
 def _scaled(spark, d):
     return stored(prepare.minmax_scaled(_prepared(spark, d)), "scaled")
 
 
 def gbt_predictions(spark, d):
     rows = _scaled(spark, d)
-    model = models.fit_binary(rows.where("is_train"), ROUNDS, DEPTH)
+    model = models.fit_binary(rows.where("is_train"))
     return models.predict_binary(model, rows.where("NOT is_train")).select(*KEY, "label", "attack_type", "prediction", "score")
 
 
 def ovr_predictions(spark, d):
     rows = _scaled(spark, d)
-    model = models.fit_multi(rows.where("is_train"), ROUNDS, DEPTH)
+    model = models.fit_multi(rows.where("is_train"))
     return models.predict_multi(model, rows.where("NOT is_train")).select(*KEY, "attack_type", "class_id", "pred_class")
 
 
 def importances(spark, d):
-    return models.importances(models.fit_binary(_scaled(spark, d).where("is_train"), ROUNDS, DEPTH))
+    return models.importances(models.fit_binary(_scaled(spark, d).where("is_train")))
 
 
 def pcap_scan(spark, d):
