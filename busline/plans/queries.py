@@ -241,7 +241,7 @@ def importances(spark, d):
 
 
 def pcap_scan(spark, d):
-    """Captures decoded to the packet table; each capture is built from its first event."""
+    """Captures decoded to the packet table; each is written from its events in pieces, and frame numbers run on from piece to piece."""
     rows = sources.packets_raw(spark, d).select("src_ip", "dst_ip", "src_port", "dst_port", "transport", "raw_hex", "timestamp", "frame_no", "cap_id")
     return pcap.decode_captures(pcap.written_captures(rows))
 

@@ -16,7 +16,7 @@ from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -84,10 +84,10 @@ def decode(frame: bytes) -> tuple | None:
     return None
 
 
-def frames(stream: BinaryIO, name: str, strict: bool = False) -> Iterator[tuple]:
-    """Rows of FRAMES; frames of other protocols are left out but counted. A broken file ends there, or raises if strict."""
+def frames(stream: BinaryIO, name: str, strict: bool = False, first: int = 1) -> Iterator[tuple]:
+    """Rows of FRAMES, numbered from first; frames of other protocols are left out but counted. A broken file ends there, or raises if strict."""
     try:
-        for n, (when, frame) in enumerate(records(stream), 1):
+        for n, (when, frame) in enumerate(records(stream), first):
             if (fields := decode(frame)) is not None:
                 yield name, n, when, *fields
     except ValueError:
@@ -109,13 +109,13 @@ def to_packets(rows: DataFrame) -> DataFrame:
 
 
 def decode_captures(files: DataFrame, strict: bool = False) -> DataFrame:
-    """The packet table from rows (pcap_file, content)."""
+    """The packet table from rows (pcap_file, content), or (pcap_file, content, first_frame) where a capture stands in pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FRAMES)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for name, content, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 held: list[tuple] = []
-                for row in frames(io.BytesIO(content.as_py()), name, strict):
+                for row in frames(io.BytesIO(content.as_py()), name, strict, first):
                     held.append(row)
                     if len(held) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
@@ -123,7 +123,8 @@ def decode_captures(files: DataFrame, strict: bool = False) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return to_packets(files.select("pcap_file", "content").mapInArrow(run, FRAMES))
+    first = F.col("first_frame") if "first_frame" in files.columns else F.lit(1).cast("bigint")
+    return to_packets(files.select("pcap_file", "content", first.alias("first_frame")).mapInArrow(run, FRAMES))
 
 
 def scan_captures(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -192,12 +193,19 @@ def ethernet_frame(src: str, dst: str, sport: int, dport: int, transport: str, p
 
 
 def written_captures(rows: DataFrame, piece: int = 20_000) -> DataFrame:
-    """(pcap_file, content): packets (as of packets_raw) written as capture files of frames up to `piece` numbers apart."""
+    """(pcap_file, content, first_frame): packets (as of packets_raw) written as capture files of frames up to `piece` numbers apart.
+
+    A piece's first frame number is one more than the packets of its capture in earlier pieces, so that numbers don't repeat.
+    """
     names = [name for name, _, _ in CAPTURES]
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_no")
         made = [(r.timestamp, ethernet_frame(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.transport, bytes.fromhex(r.raw_hex or ""))) for r in pdf.itertuples()]
-        return pd.DataFrame({"pcap_file": [names[int(pdf["cap_id"].iloc[0])]], "content": [capture_bytes(made)]})
+        return pd.DataFrame({"pcap_file": [names[int(pdf["cap_id"].iloc[0])]], "content": [capture_bytes(made)], "first_frame": [int(pdf["__first"].iloc[0])]})
 
-    return rows.withColumn("__piece", F.floor(F.col("frame_no") / piece)).groupBy("cap_id", "__piece").applyInPandas(write, "pcap_file string, content binary")
+    rows = rows.withColumn("__piece", F.floor(F.col("frame_no") / piece))
+    sizes = rows.groupBy("cap_id", "__piece").agg(F.count("*").alias("__n"))  # a row a piece
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("cap_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("cap_id", "__piece", (before + 1).alias("__first"))
+    return rows.join(firsts, ["cap_id", "__piece"]).groupBy("cap_id", "__piece").applyInPandas(write, "pcap_file string, content binary, first_frame bigint")
