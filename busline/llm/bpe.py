@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable
@@ -28,6 +29,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(4)
+def vocabulary(path: str) -> Bpe:
+    """The vocabulary at path, read once by each Python worker."""
+    return Bpe(path)
+
+
+@functools.lru_cache(4)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of the vocabulary at path; a Python worker keeps it, and the pieces it remembers, for all its tasks."""
+    bpe = vocabulary(path)
+    return PieceEncoder(bpe.encode_spaced, bpe.encode_each)
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file, applied in merge rounds over flat arrays."""
 
@@ -149,16 +163,18 @@ class Bpe:
         ends = upto[np.cumsum([0, *map(len, split)])] * 4
         return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def encode_spaced(self, pieces: list[str]) -> list[bytes]:
-        """encode_each() of pieces that begin with a space and no other white space, split in one go."""
-        ids, count = self.encode_words(self.words("".join(pieces)))
-        return self.divided(ids, pieces)
-
-    def divided(self, ids: np.ndarray, pieces: list[str]) -> list[bytes]:
-        """Cut the ids of joined pieces where the bytes of their tokens reach the ends of the pieces."""
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
-        cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.token_size[ids]), ends) + 1]) * 4
-        data = ids.astype("<u4").tobytes()
+    def encode_spaced(self, names: list[str]) -> list[bytes]:
+        """encode_each() of pieces, named without the space that each begins with, split in one go."""
+        text = " " + " ".join(names)
+        ids, _ = self.encode_words(self.words(text))
+        return self.divided(ids, text, "<u4")
+
+    def divided(self, ids: np.ndarray, text: str, kind: str) -> list[bytes]:
+        """Cut the ids of a text, written as kind, where the bytes of their tokens reach its spaces and its end."""
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        ends = np.append(np.flatnonzero(raw == 0x20)[1:], len(raw))
+        cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.token_size[ids]), ends) + 1]) * np.dtype(kind).itemsize
+        data = ids.astype(kind).tobytes()
         return [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def decode(self, ids: bytes) -> str:
@@ -189,20 +205,21 @@ class PieceEncoder:
         """The ids of distinct pieces, given without their space; b"" for those that begin with white space."""
         ids = [*map(self.known.get, names)]
         lost = [i for i, x in enumerate(ids) if x is None]
-        if len(self.known) + len(lost) > MEMO:  # what is still in use comes back from the older half
-            self.older, self.known, lost = self.known, {}, range(len(names))
-        new = []
-        for i in lost:
-            p = names[i]
-            x = self.older.get(p)
-            if x is None and (not p or p[0].isspace()):
-                x = b""
-            if x is None:
-                new.append(i)
-            else:
-                ids[i] = self.known[p] = x
-        for i, x in zip(new, self.spaced([" " + names[i] for i in new])):
-            ids[i] = self.known[names[i]] = x
+        if len(self.known) + len(lost) > MEMO:  # what is in use stays, the rest becomes the older half
+            self.older, self.known = self.known, {p: x for p, x in zip(names, ids) if x is not None}
+        asked = [*map(names.__getitem__, lost)]
+        old = [*map(self.older.get, asked)]
+        found = {p: x for p, x in zip(asked, old) if x is not None}
+        new = [p for p, x in zip(asked, old) if x is None]
+        blank = {p: b"" for p in new if not p or p[0].isspace()}
+        if blank:
+            found.update(blank)
+            new = [p for p in new if p not in blank]
+        if new:
+            found.update(zip(new, self.spaced(new)))
+        self.known.update(found)
+        for i, p in zip(lost, asked):
+            ids[i] = found[p]
         return ids
 
     def __call__(self, texts: list) -> list[bytes]:
@@ -242,8 +259,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, digests
     fields = T.StructType([*(FIELDS.fields if digests else FIELDS.fields[:1]), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def start():
-        bpe = Bpe(path)
-        encoder = PieceEncoder(bpe.encode_spaced, bpe.encode_each)
+        bpe, encoder = vocabulary(path), piece_encoder(path)
 
         def run(texts: list) -> list[list]:
             ids = encoder(texts)

@@ -7,14 +7,16 @@ File format. A file is a row of blocks. A block is a header frame, its record fr
     payload
     check     4 bytes: masked CRC-32 of the payload
 
-The payload of a header frame is b"BLK1", the number of the block's records (4 bytes) and the block's range of doc_ids
-(4 bytes). The payload of a record is one flag byte (1: doc_id is null, 2: ids take four bytes instead of two), the
+The payload of a header frame is b"BLK1", the number of the block's records, the block's range of doc_ids and the block's
+number in its range (4 bytes each). The payload of a record is one flag byte (1: doc_id is null, 2: ids take four bytes instead of two), the
 doc_id (8 bytes) and the ids. A masked checksum is the checksum rotated right by 15 bits plus 0xA282EAD8, so that checksums
 of data that hold checksums stay useful. Ranges ascend with doc_id, and so do the records of a range.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import struct
 import zlib
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from busline.llm.bpe import Bpe, PieceEncoder
+from busline.llm.bpe import PieceEncoder, vocabulary as read_vocabulary
 from busline.llm.common import bounded_batches
 
 END = 2
 BLOCK_BYTES = 2 << 20
 BLOCKS_PER_FILE = 16
+#: Pieces that the library gets as one text.
+JOINED = 256
 
 
 def masked(data: bytes) -> int:
@@ -67,25 +71,29 @@ def read_record(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if flags & 1 else doc_id), np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9)
 
 
-def read_file(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(range, offset, end, payload) of the records of a file."""
+def read_file(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(range, block, offset, end, payload) of the records of a file."""
     at = 0
     while at < len(data):
         head, at = unframe(data, at)
         if head[:4] != b"BLK1":
             raise ValueError(f"no block at byte {at}")
-        count, part = struct.unpack_from("<II", head, 4)
+        count, part, block = struct.unpack_from("<III", head, 4)
         for _ in range(count):
             payload, end = unframe(data, at)
-            yield part, at, end, payload
+            yield part, block, at, end, payload
             at = end
         if data[at : at + 1] != b"\n":
             raise ValueError(f"block not closed at byte {at}")
         at += 1
 
 
-def library_encoder(path: str) -> Callable[[list], list[bytes]]:
-    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, repeated pieces being looked up."""
+@functools.lru_cache(2)
+def library_encoder(path: str, kind: str = "<u4") -> PieceEncoder:
+    """Texts to ids (as kind) by the tokenizers library, repeated pieces being looked up.
+
+    A Python worker loads the library once and keeps it, and the pieces it remembers, for all its tasks.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -95,77 +103,86 @@ def library_encoder(path: str) -> Callable[[list], list[bytes]]:
         made.no_padding()
         return made
 
-    library, plain, bpe = load(), load(), Bpe(path)
+    library, plain, bpe = load(), load(), read_vocabulary(path)
     # The same vocabulary for words of letters with a space before each: splitting at spaces is all they need.
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    ids = lambda tokenizer, texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(tokenizer: Tokenizer, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            out += bpe.divided(ids(tokenizer, ["".join(part)])[0], part)
-        return out
+    def joined(tokenizer: Tokenizer, names: list[str]) -> list[bytes]:
+        texts = [" " + " ".join(names[at : at + JOINED]) for at in range(0, len(names), JOINED)]
+        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return bpe.divided(np.fromiter(itertools.chain.from_iterable(ids), np.int64), "".join(texts), kind) if texts else []
+
+    def spaced(names: list[str]) -> list[bytes]:
+        letters = [*map(str.isalpha, names)]
+        parts = iter(joined(plain, [*itertools.compress(names, letters)])), iter(joined(library, [n for n, x in zip(names, letters) if not x]))
+        return [next(parts[not x]) for x in letters]
 
-    def spaced(pieces: list[str]) -> list[bytes]:
-        letters = [p for p in pieces if p[1:].isalpha()]
-        done = dict(zip(letters, joined(plain, letters)))
-        rest = [p for p in pieces if p not in done]
-        done.update(zip(rest, joined(library, rest)))
-        return [*map(done.__getitem__, pieces)]
+    return PieceEncoder(spaced, lambda texts: [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)])
 
-    return PieceEncoder(spaced, lambda texts: [x.astype("<u4").tobytes() for x in ids(library, texts)])
+
+def range_cuts(docs: DataFrame, range_bytes: int, most_ranges: int) -> np.ndarray:
+    """The doc_ids at which ranges of about range_bytes of text begin, after the first range; one pass over docs.
+
+    A document counts once for each 4 KB that it begins, so that cuts are quantiles of bytes and not of rows. A document
+    is never divided, so one that is longer than a range makes its range as long.
+    """
+    unit, grid = 4096, max(1, min(most_ranges, docs.count()))
+    weight = (1 + F.octet_length("text") / unit).cast("int")
+    units = docs.select("doc_id", F.explode(F.array_repeat(F.lit(0), F.coalesce(weight, F.lit(1)))))
+    found = units.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / grid for i in range(1, grid)], 20 * grid).alias("q")).first()
+    step = grid / max(1, min(grid, found["n"] * unit // range_bytes + 1))
+    cuts = found["q"] or []
+    return np.array(sorted({cuts[round(i * step) - 1] for i in range(1, round(grid / step))} if cuts else ()), np.int64)
 
 
 def write_records(docs: DataFrame, out: str, vocabulary: str, end: int = END, range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> None:
     """Encode docs and write out/data (binary files) and out/index (Parquet: doc_id, part, file, offset, length, ...).
 
-    doc_ids are cut into ranges of about range_bytes of text by approximate quantiles (at most most_ranges numbers on
-    the driver). Tasks encode the texts where they are read; only ids are shuffled, each range to one task, which
-    writes it in ascending doc_id. Spark's text writer and its commit protocol write the files, so any store that Spark
-    reaches will do and a lost executor leaves no half file.
+    doc_ids are cut into ranges of about range_bytes of text; where that would be more than most_ranges, ranges are longer, and
+    what a task has to order spills. Tasks encode the texts where they are read; only ids are shuffled, each range to the task
+    of its number, which writes it in ascending doc_id, so that files ascend as their names do. Spark's text writer and its
+    commit protocol write the files, so any store that Spark reaches will do and a lost executor leaves no half file.
 
     Null texts count as empty: such a record holds `end` alone. Rows with a null doc_id come first; rows that share a
     doc_id stand together, ordered by their ids. An empty table gives no record. Extra columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    ranges = max(1, min(most_ranges, total["n"] // range_bytes + 1, total["rows"]))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100_000).alias("q")).first()["q"] if ranges > 1 else []
-    bounds = np.array(sorted({c for c in cuts or [] if c is not None}), np.int64)
-    wide = max(Bpe(vocabulary).token_size.size, end + 1) > 1 << 16
-    kind, closing = ("<u4" if wide else "<u2"), np.array([end], "<u4").tobytes()
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    bounds = range_cuts(docs, range_bytes, most_ranges)
+    wide = max(read_vocabulary(vocabulary).token_size.size, end + 1) > 1 << 16
+    kind = "<u4" if wide else "<u2"
+    closing = np.array([end], kind).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = library_encoder(vocabulary, kind)
         for batch in batches:
             doc = batch.column(0)
             part = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
-            ids = [np.frombuffer(x + closing, "<u4").astype(kind).tobytes() for x in encoder(batch.column(1).to_pylist())]
+            ids = [x + closing for x in encoder(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(part), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        size, at = 0, 0
+        size, at, number = 0, 0, 0
 
         def block() -> pa.RecordBatch:
-            head = frame(b"BLK1" + struct.pack("<II", len(held), at))
+            head = frame(b"BLK1" + struct.pack("<III", len(held), at, number))
             return pa.RecordBatch.from_arrays([pa.array([b"".join([head, *held])], pa.binary())], names=["block"])
 
         for batch in batches:
             for part, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held and (part != at or size >= BLOCK_BYTES):
+                if held and size >= BLOCK_BYTES:
                     yield block()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
                 at = part
                 held.append(record(doc_id, ids, wide))
                 size += len(held[-1])
         if held:
             yield block()
 
-    encoded = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "part int, doc_id bigint, ids binary")
-    dealt = encoded.repartition(max(ranges, 1), "part").sortWithinPartitions("part", "doc_id", "ids")
+    encoded = docs.mapInArrow(encode, "part int, doc_id bigint, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
     blocks = dealt.mapInArrow(pack, "block binary")
     # The writer puts the bytes of a value as they are and 0x0A after it.
     blocks.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{out}/data")
@@ -173,7 +190,7 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, end: int = END, ra
 
 
 INDEX = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
 ])
 
@@ -188,9 +205,9 @@ def index_files(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[list] = [[] for _ in INDEX]
-                for part, at, to, payload in read_file(data.as_py()):
+                for part, block, at, to, payload in read_file(data.as_py()):
                     doc_id, ids = read_record(payload)
-                    for column, value in zip(rows, (doc_id, part, name, at, to - at, len(ids), zlib.crc32(ids.astype("<u4")))):
+                    for column, value in zip(rows, (doc_id, part, block, name, at, to - at, len(ids), zlib.crc32(ids.astype("<u4")))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, to_arrow_schema(INDEX))], names=INDEX.fieldNames())
 
@@ -205,7 +222,7 @@ def read_index(spark: SparkSession, out: str) -> DataFrame:
     index = spark.read.schema(INDEX).parquet(f"{out}/index")
     per = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = per.select(F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("ahead"))
-    inside = Window.partitionBy("part").orderBy("file", "offset").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy("block", "offset").rowsBetween(Window.unboundedPreceding, 0)
     joined = index.join(ahead, F.col("part") == F.col("__part"))
     return joined.select(*INDEX.fieldNames(), (F.col("ahead") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"))
 

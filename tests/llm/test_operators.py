@@ -175,7 +175,7 @@ def test_bpe_and_records(spark, docs):
     rnd = random.Random(9)
     odd = ["".join(rnd.choice(["a", "b ", " ", "\n", "'s", "é", "1", "½", ".", "the", " the", "<|endoftext|>", "\u0085", "😀", "aaaa"]) for _ in range(rnd.randrange(40))) for _ in range(1500)]
     one = bpe.Bpe(VOCABULARY)
-    made = bpe.PieceEncoder(one.encode_spaced, one.encode_each)(odd)
+    made = bpe.piece_encoder(VOCABULARY)(odd)
     other = records.library_encoder(VOCABULARY)(odd)
     for t, x, y in zip(odd, made, other):
         ids = library.encode(t, add_special_tokens=False).ids
