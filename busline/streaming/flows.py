@@ -8,7 +8,6 @@ running, since state by processing time asks for batches without data, which an
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from busline.operators.windows import RECENT, SOURCE_WINDOW
 from busline.schema import FLOW, KEY
-from busline.sources.store import shared_folder
+from busline.sources.store import new_folder
 
 _STATE = StructType([StructField("held", StringType())])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -132,7 +131,7 @@ def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame]
     Files and the stream's checkpoint are in the shared folder that spark.checkpoint.dir names.
     """
     spark = packets.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     packets.repartitionByRange(micro_batches, "pcap_file", "timestamp", "frame_no").sortWithinPartitions("pcap_file", "timestamp", "frame_no").write.parquet(f"{at}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     read = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
