@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import Words, block_pairs, blocks, bounded_batches, group_bounds, linked_classes, map_groups, materialized, mixed, slices
+from busline.llm.common import LINKS, Words, block_links, block_pairs, blocks, bounded_batches, copies_of, group_bounds, join_roots, linked_classes, map_groups, materialized, mixed, slices
+
 
 def band_plan(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:
     """(bands, rows): the fewest bands of `rows` minima with which a pair at the threshold shares a band with
@@ -42,7 +43,7 @@ def set_digest(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set (binary: digest of the n-gram set, null without words), bands (array<bigint>)."""
+    """doc_id, set (binary: digest of the n-gram set, null without words), size (of the set), bands (array<bigint>)."""
     rng = np.random.default_rng(7)
     mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -50,9 +51,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            digest, keys = [], []
+            digest, sizes, keys = [], [], []
             for a, b in slices(texts, 1 << 20):
                 for s in gram_sets(texts[a:b], n):
+                    sizes.append(len(s))
                     if not len(s):
                         digest.append(None)
                         keys.append(None)
@@ -64,97 +66,96 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
                     digest.append(set_digest(s))
                     keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, set binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, set binary, size bigint, bands array<bigint>")
 
 
 _BLOCK = ["band", "key", "block_i", "block_j"]
+#: Pairs of rows that share a word n-gram, summed over n-grams, up to which they are counted one by one.
+LISTED = 1 << 22
+
+
+def _candidates(pdf: pd.DataFrame, at: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the blocks of a frame, in chunks, whose first common band is the block's and whose sizes allow the similarity."""
+    keys, band, size = np.stack(pdf["bands"].to_numpy()), pdf["band"].to_numpy(), pdf["size"].to_numpy()
+    same = (pdf["block_i"] == pdf["block_j"]).to_numpy()
+    for i, j in block_pairs(at, same, pdf["side"].to_numpy()):
+        # No pair above the threshold differs more in size than this.
+        close = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[close], j[close]
+        for c in range(int(band.max())):
+            fresh = (band[i] <= c) | (keys[i, c] != keys[j, c])
+            i, j = i[fresh], j[fresh]
+        if len(i):
+            yield i, j
 
 
-def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of each block that have a partner there whose first common band is the block's."""
-    at, keep = group_bounds(pdf, _BLOCK), []
-    keys, band = pdf["bands"].to_numpy(), pdf["band"].to_numpy()
-    bi, bj, side = pdf["block_i"].to_numpy(), pdf["block_j"].to_numpy(), pdf["side"].to_numpy()
-    mask = np.zeros(len(pdf), bool)
-    for a, b in zip(at[:-1], at[1:]):
-        if b - a < 2:
-            continue
-        k = np.stack(keys[a:b])[:, : band[a]]
-        i, j = block_pairs(side[a:b], bi[a] == bj[a])
-        if k.shape[1]:
-            fresh = np.ones(len(i), bool)
-            for c in range(k.shape[1]):
-                fresh &= k[i, c] != k[j, c]
-            i, j = i[fresh], j[fresh]
-        mask[a + i] = True
-        mask[a + j] = True
-    keep = pdf.loc[mask, ["doc_id", *_BLOCK, "side"]]
-    return keep
+def _chooser(threshold: float):
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of each block that have a candidate partner there."""
+        mask = np.zeros(len(pdf), bool)
+        for i, j in _candidates(pdf, group_bounds(pdf, _BLOCK), threshold):
+            mask[i] = mask[j] = True
+        return pdf.loc[mask, ["doc_id", *_BLOCK, "side"]]
+
+    return choose
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many entries each two of the sets share, as a matrix.
+
+    Where few do, the pairs of sets that hold an entry are listed and counted; else entries are columns of a 0-1 matrix, and
+    its product with itself, taken some columns at a time, counts them.
+    """
+    m, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    _, entry, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[entry] > 1
+    row, entry = np.repeat(np.arange(m), size)[shared], np.unique(entry[shared], return_inverse=True)[1]
+    order = np.argsort(entry, kind="stable")
+    row, entry = row[order], entry[order]
+    bounds = np.append(np.flatnonzero(np.diff(entry, prepend=-1)), len(entry))
+    held = np.diff(bounds)
+    if int((held * (held - 1) // 2).sum()) <= max(LISTED, m * m * len(held) // 64):
+        out = np.zeros(m * m, np.int64)
+        for i, j in block_pairs(bounds, np.ones(len(row), bool), np.zeros(len(row), np.int64)):
+            out += np.bincount(row[i] * m + row[j], minlength=m * m)
+        out = out.reshape(m, m)
+        return out + out.T
+    out, step = np.zeros((m, m), np.float32), max(1, (1 << 23) // m)
+    for a in range(0, len(held), step):
+        lo, hi = bounds[a], bounds[min(a + step, len(held))]
+        on = np.zeros((m, min(step, len(held) - a)), np.float32)
+        on[row[lo:hi], entry[lo:hi] - a] = 1
+        out += on @ on.T
+    return out.astype(np.int64)
 
 
 def _verifier(n: int, threshold: float):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of each block as counts per document, and as edges that join what is linked."""
         at = group_bounds(pdf, _BLOCK)
-        docs, copies, band = pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["band"].to_numpy()
-        bi, bj, side, keys = pdf["block_i"].to_numpy(), pdf["block_j"].to_numpy(), pdf["side"].to_numpy(), pdf["bands"].to_numpy()
-        texts, digests = pdf["text"].tolist(), pdf["set"].tolist()
-        out_a, out_n, out_b = [], [], []
+        docs, copies, size, texts = pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["size"].to_numpy(), pdf["text"].tolist()
+        links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a < 2:
                 continue
+            part = pdf.iloc[a:b]
             sets = [s for x, y in slices(texts[a:b], 1 << 20) for s in gram_sets(texts[a + x : a + y], n)]
-            if len(set(docs[a:b].tolist())) < b - a:  # other texts or other rows of the same doc_id
-                own = list({docs[a + i]: i for i, s in enumerate(sets) if set_digest(s) == digests[a + i]}.values())
-            else:
-                own = range(b - a)
-            own = a + np.array(own, np.int64)
-            sets = [sets[i - a] for i in own]
-            m = len(own)
-            if m < 2:
-                continue
-            size = np.array([len(s) for s in sets])
-            every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-            begins = np.cumsum(size) - size
-            k = np.stack(keys[own])[:, : band[a]]
-            links = np.zeros(m, np.int64)
-            root = np.arange(m)
-            mark = np.zeros(len(every), bool)
-            for i in range(m):
-                others = np.arange(i + 1, m) if bi[a] == bj[a] else np.flatnonzero(side[own] == 1) if side[own[i]] == 0 else np.zeros(0, np.int64)
-                if bi[a] != bj[a] and side[own[i]] == 1:
-                    continue
-                if k.shape[1]:
-                    others = others[~(k[others] == k[i]).any(axis=1)]
-                # No pair above the threshold differs more in size than this.
-                others = others[(np.minimum(size[others], size[i]) >= threshold * np.maximum(size[others], size[i]) - 1e-9)]
-                if not len(others):
-                    continue
-                mine = inverse[begins[i] : begins[i] + size[i]]
-                mark[mine] = True
-                if len(others) * 4 > m:
-                    common = np.add.reduceat(mark[inverse].astype(np.int64), begins)[others]
-                else:
-                    common = np.array([np.count_nonzero(mark[inverse[begins[o] : begins[o] + size[o]]]) for o in others])
-                mark[mine] = False
-                linked = others[common >= threshold * (size[others] + size[i] - common) - 1e-9]
-                if not len(linked):
-                    continue
-                links[i] += copies[own[linked]].sum()
-                links[linked] += copies[own[i]]
-                for r in np.unique(root[linked]):
-                    if r != root[i]:
-                        out_a.append(docs[own[i]])
-                        out_n.append(0)
-                        out_b.append(docs[own[linked[root[linked] == r][0]]])
-                        root[root == r] = root[i]
-            got = np.flatnonzero(links)
-            out_a += docs[own[got]].tolist()
-            out_n += links[got].tolist()
-            out_b += [None] * len(got)
-        return pd.DataFrame({"a": pd.array(out_a, "Int64"), "n": pd.array(out_n, "Int64"), "b": pd.array(out_b, "Int64")})
+            sole = np.ones(b - a, bool)
+            if len(np.unique(docs[a:b])) < b - a:  # other texts or other rows of the same doc_id
+                sole[:] = False
+                sole[list({docs[a + i]: i for i, (s, d) in enumerate(zip(sets, part["set"])) if set_digest(s) == d}.values())] = True
+            counts = None
+            for i, j in _candidates(part, np.array([0, b - a]), threshold):
+                i, j = i[sole[i] & sole[j]], j[sole[i] & sole[j]]
+                counts = common_counts(sets) if counts is None else counts
+                linked = counts[i, j] >= threshold * (size[a + i] + size[a + j] - counts[i, j]) - 1e-9
+                i, j = a + i[linked], a + j[linked]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                join_roots(root, i, j)
+        return block_links(docs, links, root)
 
     return verify
 
@@ -164,8 +165,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     n_links counts the documents linked directly, copies included; class_id is the smallest doc_id reachable by
     links, and kept is true for it alone. Documents with equal sets are one representative (the smallest doc_id) with a number of copies, so
-    exact copies never form pairs. Representatives that share a band of MinHash values meet in a block of bounded
-    size; pairs that share an earlier band are left to that band, so every pair is looked at once. Only documents with
+    exact copies never form pairs. Representatives that share a band of MinHash values meet in a block of a bounded number
+    of rows and of n-grams; pairs that share an earlier band are left to that band, so every pair is looked at once. Only documents with
     such a partner take their text along, and blocks compare full n-gram sets. Blocks return counts and
     spanning edges, never all pairs.
 
@@ -178,16 +179,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bounded_batches(spark)
     bands, rows = band_plan(threshold, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    signed = signatures(docs, n, bands, rows).groupBy("doc_id").agg(F.min(F.struct("set", "bands")).alias("s")).select("doc_id", "s.set", "s.bands")
+    signed = signatures(docs, n, bands, rows).groupBy("doc_id").agg(F.min(F.struct("set", "size", "bands")).alias("s")).select("doc_id", "s.*")
     signed = materialized(signed, "signatures")
-    sets = signed.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = materialized(signed.select("doc_id", "set").join(sets, "set").drop("set"), "members")
+    members = copies_of(signed.select("doc_id", "set"), ["set"])
     reps = signed.join(members.where("doc_id = rep").select("doc_id", "copies"), "doc_id")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("doc_id", "size", F.posexplode("bands").alias("band", "key"))
     block = ", ".join(f"{c} {t}" for c, t in zip([*_BLOCK, "side"], ("int", "bigint", "int", "int", "int")))
-    met = blocks(banded, ["band", "key"]).join(signed.select("doc_id", "bands"), "doc_id")
-    needed = map_groups(met, _BLOCK, _needed, f"doc_id bigint, {block}")
-    per = needed.groupBy("doc_id").agg(F.collect_list(F.struct(*_BLOCK, "side")).alias("at")).join(reps, "doc_id")
-    laid = docs.join(per, "doc_id").select("doc_id", "text", "set", "copies", "bands", F.explode("at").alias("at")).select("doc_id", "text", "set", "copies", "bands", "at.*")
-    verified = materialized(map_groups(laid, _BLOCK, _verifier(n, threshold), "a bigint, n bigint, b bigint"), "links")
+    met = blocks(banded, ["band", "key"], F.col("size")).join(signed.select("doc_id", "bands"), "doc_id")
+    chosen = map_groups(met, _BLOCK, _chooser(threshold), f"doc_id bigint, {block}", also=["side"])
+    per = chosen.groupBy("doc_id").agg(F.collect_list(F.struct(*_BLOCK, "side")).alias("at")).join(reps, "doc_id")
+    laid = docs.join(per, "doc_id").select("doc_id", "text", "set", "size", "copies", "bands", F.explode("at").alias("at")).select("doc_id", "text", "set", "size", "copies", "bands", "at.*")
+    verified = materialized(map_groups(laid, _BLOCK, _verifier(n, threshold), LINKS, also=["side"]), "links")
     return linked_classes(signed.select("doc_id"), members, verified)
