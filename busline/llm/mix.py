@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busline.llm.common import materialized
+from busline.llm.common import WORD, materialized
 
-#: Key ranges per source. A range is ordered in one task, so a source of n documents needs n / RANGES rows there.
-RANGES = 4096
+#: Documents of a source that one key range should hold at most.
+RANGE_ROWS = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2) -> DataFrame:
@@ -31,14 +33,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return per.select("source", "source_size", F.when(F.col("stops"), F.col("lim").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = "mix") -> DataFrame:
+def n_words(text: Column) -> Column:
+    """The number of words; null counts as none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def numbered_alike(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """rows with __k, the 0-based position among those of equal keys, nulls being equal."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, times, taken: how often the mix takes each document.
 
-    Each document draws u from a hash of seed and doc_id and gets the exponential key -ln(u) / w, where w in [0.1, 1]
+    Each document draws u from a hash of seed and doc_id (its text if that is null) and gets the exponential key -ln(u) / w, where w in [0.1, 1]
     falls with the share of symbol characters. A source first gives as many complete epochs as its target holds; the
     rest comes from its documents in key order until their summed words reach it, the document at the border
-    being taken if that comes nearer. The order inside a source is summed in RANGES key ranges, so no task orders a
-    whole source. Only ids, names and counts are shuffled, never texts.
+    being taken if that comes nearer. The order inside a source is summed in key ranges, so no task orders a whole source:
+    ranges are equal in the logarithm of the key, where no weight, nor any mix of weights, puts more than 0.37 of a source
+    into a unit, and as many as hold `range_rows` documents at most. Only ids, names and counts are shuffled, never texts.
 
     Null and empty texts have size 0 and are taken 0 words. A null source is a source of its own. Rows with the same
     doc_id are separate documents; equal keys are ordered by doc_id and size. An empty table gives no rows. Extra columns are
@@ -48,11 +61,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     chars = F.length(text)
     symbols = chars - F.length(F.translate(text, "#*$%&|<>", ""))
     quality = F.greatest(F.lit(0.1), F.lit(1.0) - symbols * F.lit(10.0) / F.greatest(chars, F.lit(1)))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("bigint")
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size"), quality.alias("q"), drawn.alias("u"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(text)))), 1, 13), 16, 10).cast("bigint")
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), quality.alias("q"), drawn.alias("u"))
     rows = rows.withColumn("key", -F.log((F.col("u") + F.lit(0.5)) / F.lit(float(2**52))) / F.col("q"))
-    rows = rows.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES).cast("int")).drop("q", "u")
-    rows = materialized(rows, "mix")  # ids and counts, read three times below; the texts are read once
+    rows = materialized(rows.drop("q", "u"), "mix")  # ids and counts, read several times below; the texts are read once
+    per_unit = max(64, math.ceil(rows.count() * 0.37 / range_rows))
+    rows = rows.withColumn("range", F.floor(F.log("key") * per_unit).cast("bigint"))
     targets = source_targets(rows, weights, share, repeat)
 
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -73,7 +87,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS u,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(t))), 1, 13) AS BIGINT) AS u,
   greatest(0.1::DOUBLE, 1.0::DOUBLE - (length(t) - length(translate(t, '#*$%&|<>', ''))) * 10.0::DOUBLE / greatest(length(t), 1)) AS q FROM d),
 k AS (SELECT doc_id, source, size, -ln((u + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / q AS key FROM s),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS w FROM k GROUP BY source),
