@@ -46,7 +46,11 @@ class _Memo(dict):
 
 @dataclass
 class ToxicityModel:
-    """Feature weights of a sentence and its bias; a document's probability is 1 - prod(1 - p(sentence))."""
+    """Feature weights of a sentence and its bias; a document's probability is 1 - prod(1 - p(sentence)).
+
+    Of the sentences without a known feature all count as one, which stands for what the features don't know: else any
+    document would become toxic by length alone.
+    """
 
     known: dict[str, int]
     weights: np.ndarray
@@ -58,24 +62,24 @@ class ToxicityModel:
 
     def score(self, text: str | None, memo: dict) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability and (start, end, probability) of its offending sentences, offsets in code points."""
-        clean, spans, plain = 0.0, [], 0
-        quiet = math.log1p(-self.probability(()))
+        clean, spans, m = math.log1p(-self.probability(())), [], None
         for m in _SENTENCE.finditer(text or ""):
             hits = [h for h in map(memo.__getitem__, _TOKEN.findall(m[0].lower())) if h]
             if not hits:
-                plain += 1
                 continue
             p = self.probability(tuple(sorted({i for h in hits for i in h})))
             clean += math.log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
                 spans.append((m.start(), m.end(), p))
-        return -math.expm1(clean + plain * quiet), spans
+        return -math.expm1(clean) if m else 0.0, spans
 
 
 def _bags(text: str | None, memo: dict) -> Counter:
+    """How many sentences have each set of features; those without any count as one."""
     bag: Counter = Counter()
     for s in _SENTENCE.findall(text or ""):
         bag[tuple(sorted({i for h in map(memo.__getitem__, _TOKEN.findall(s.lower())) if h for i in h}))] += 1
+    bag[()] = 1
     return bag
 
 
@@ -151,7 +155,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max
     def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Memo(known_features)
         for pdf in batches:
-            rows = [(i, int(y), list(s), c) for i, y, b in zip(pdf["doc_id"], pdf["y"], map(lambda t: _bags(t, memo), pdf["text"])) for s, c in (b or {(): 1}).items()]
+            rows = [(i, int(y), list(s), c) for i, y, b in zip(pdf["doc_id"], pdf["y"], map(lambda t: _bags(t, memo), pdf["text"])) for s, c in b.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "y", "found", "n"])
 
     rows = train.mapInPandas(bag, "doc_id bigint, y int, found array<int>, n bigint").toPandas()
