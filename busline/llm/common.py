@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from busline.sources import store
+
 #: What counts as a word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; set here only where the session has none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later jobs start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The folder that driver and executors share, and tables kept there between steps.
+shared_dir, materialized = store.shared_folder, store.stored
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,6 +36,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out evenly if they were read in fewer pieces than the session has cores: small tables in one file."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters each; one long text stands alone."""
     at, held = 0, 0
@@ -218,31 +213,85 @@ def append_from_text(df: DataFrame, start: Callable[[], Callable[[list], list[li
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields.fields]))
 
 
-#: Rows of a bucket that one block of pairs takes from each side.
+#: Rows, and their summed weight, of a bucket that one block of pairs takes from each side.
 CHUNK = 1024
+MOST_WEIGHT = 1 << 21
 
 
-def blocks(rows: DataFrame, key: list[str], chunk: int = CHUNK) -> DataFrame:
+def blocks(rows: DataFrame, key: list[str], weight: Column | None = None, chunk: int | None = None, most_weight: int | None = None) -> DataFrame:
     """rows of buckets with two rows or more, dealt to blocks (block_i, block_j, side): all pairs of a bucket meet in some block.
 
-    A bucket of n rows is divided into ceil(n / chunk) parts by a hash of doc_id; each pair of parts is a block, so that
-    no task takes a whole bucket. A bucket of one part is a block of its own. Bucket sizes come from a grouped count that
-    is summed before the shuffle.
+    A bucket is divided by a hash of doc_id into parts of about `chunk` rows and `most_weight` summed weight at most (a
+    row that weighs more stands for itself); each pair of parts is a block, so that no task takes a whole bucket. A bucket of
+    one part is a block of its own. Bucket sizes come from a grouped count that is summed before the shuffle.
     """
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1")
-    sized = rows.join(sizes, key).withColumn("__parts", F.ceil(F.col("__n") / chunk).cast("int"))
+    rows = rows.withColumn("__w", F.lit(0) if weight is None else weight)
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("__w").alias("__all")).where("__n > 1")
+    parts = F.least(F.col("__n"), F.ceil(F.greatest(F.col("__n") / (chunk or CHUNK), F.col("__all") / (most_weight or MOST_WEIGHT)))).cast("int")
+    sized = rows.join(sizes, key).withColumn("__parts", parts)
     mine = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("__parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
     dealt = sized.withColumn("__mine", mine).withColumn("__other", other)
-    return dealt.withColumn("block_i", F.least("__mine", "__other")).withColumn("block_j", F.greatest("__mine", "__other")).withColumn("side", F.when(F.col("__mine") <= F.col("__other"), 0).otherwise(1)).drop("__n", "__parts", "__mine", "__other")
+    dealt = dealt.withColumn("block_i", F.least("__mine", "__other")).withColumn("block_j", F.greatest("__mine", "__other"))
+    return dealt.withColumn("side", F.when(F.col("__mine") <= F.col("__other"), 0).otherwise(1)).drop("__n", "__all", "__w", "__parts", "__mine", "__other")
+
 
+def block_pairs(bounds: np.ndarray, same: np.ndarray, side: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (i, j) of all blocks of a frame, in chunks of about `most`; rows stand sorted by block and side.
 
-def block_pairs(side: np.ndarray, same_part: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of a block: within one part, or between its two parts."""
-    if same_part:
-        return np.triu_indices(len(side), 1)
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    return np.repeat(a, len(b)), np.tile(b, len(a))
+    `same` says for each row whether its block is one part, whose rows are all paired; else sides are paired with each other.
+    """
+    size = np.diff(bounds)
+    if not len(size):
+        return
+    row, end = np.arange(bounds[-1]), np.repeat(bounds[1:], size)
+    ones = np.repeat(np.add.reduceat(side, bounds[:-1]), size)
+    first = np.where(same, row + 1, end - ones)
+    count = np.where(same, end - row - 1, np.where(side == 0, ones, 0))
+    upto, at = np.concatenate([[0], np.cumsum(count)]), 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        c = count[at:to]
+        if c.any():
+            yield np.repeat(row[at:to], c), np.arange(int(c.sum())) + np.repeat(first[at:to] - (upto[at:to] - upto[at]), c)
+        at = to
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of linked rows in place; afterwards each row names the least row that it is linked with."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root[:] = up
+
+
+#: What blocks return: counts (a, n, null) of what is linked with a, and edges (a, 0, b) that join what is linked.
+LINKS = "a bigint, n bigint, b bigint"
+
+
+def block_links(docs: np.ndarray, links: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    got, below = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
+    a, n = np.concatenate([docs[got], docs[below]]), np.concatenate([links[got], np.zeros(len(below), np.int64)])
+    b = pd.array(np.concatenate([np.zeros(len(got), np.int64), docs[root[below]]]), "Int64")
+    b[: len(got)] = pd.NA
+    return pd.DataFrame({"a": a, "n": n, "b": b})
+
+
+def copies_of(rows: DataFrame, same: list[str], also: list[str] | None = None) -> DataFrame:
+    """doc_id, rep, copies and `also`: of rows that agree in `same`, the smallest doc_id represents all. rows hold each doc_id once.
+
+    Only what stands twice or more is joined, from a stored table, so that Spark may split the rows of one text with very
+    many copies.
+    """
+    repeated = materialized(rows.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "repeated")
+    joined = rows.join(repeated, same, "left")
+    return materialized(joined.select("doc_id", *(also or []), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
 
 
 def linked_classes(every: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, substrings, toxicity, vectors
-from busline.llm.common import shared_dir
-
+from busline.llm.common import spread
+from busline.sources.store import new_folder
 
 VOCABULARY = "byte_bpe_50k.json"
 #: From this score on a document counts as toxic.
@@ -18,7 +16,7 @@ TOXIC_FROM = 0.7
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def held_out() -> Column:
@@ -41,7 +39,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as binary records in doc_id order and read back."""
-    out = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    out = new_folder(spark, "records")
     records.write_records(documents(spark, sf_dir), out, public_tokenizers.path(VOCABULARY))
     return records.read_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -79,7 +77,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that stand in an earlier three-line window, removed."""
-    kept = lines.dedup_lines(documents(spark, sf_dir))
+    kept = lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 

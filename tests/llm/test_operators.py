@@ -242,9 +242,25 @@ def test_ngram_blocks(spark, monkeypatch):
         w = list(base)
         w[rnd.randrange(200)] = f"new{i}"
         rows.append((i, " ".join(w), "s"))
-    monkeypatch.setattr(ngrams, "blocks", lambda r, k: common.blocks(r, k, 16))
-    got = ngrams.jaccard_classes(table(spark, rows)).collect()
-    assert {(r.class_id, r.n_links) for r in got} == {(0, 59)}
+    by_row = ngrams.jaccard_classes(table(spark, rows))
+    monkeypatch.setattr(common, "CHUNK", 16)
+    few_rows = ngrams.jaccard_classes(table(spark, rows))
+    monkeypatch.setattr(common, "MOST_WEIGHT", 1000)  # five documents of 196 n-grams
+    few_grams = ngrams.jaccard_classes(table(spark, rows))
+    for got in (by_row, few_rows, few_grams):
+        assert {(r.class_id, r.n_links) for r in got.collect()} == {(0, 59)}
+
+
+def test_common_counts(monkeypatch):
+    rnd = random.Random(12)
+    sets = [set(rnd.sample(range(200), rnd.randrange(1, 120))) for _ in range(40)] + [{1000 + i} for i in range(5)]
+    want = [[len(x & y) if x is not y else 0 for y in sets] for x in sets]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    for listed in (ngrams.LISTED, 1):
+        monkeypatch.setattr(ngrams, "LISTED", listed)
+        got = ngrams.common_counts(arrays)
+        np.fill_diagonal(got, 0)
+        assert got.tolist() == want
 
 
 @pytest.mark.parametrize("heavy", [4096, 1])
@@ -298,15 +314,47 @@ def test_vectors(spark):
 
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((2, 64))
+    x = rng.standard_normal((3, 70))
+    x[2] = x[0] + 0.1 * rng.standard_normal(70)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    guesses, inside = [], 0
+    guesses, inside, i, j = [], 0, np.array([0, 0]), np.array([1, 2])
     for seed in range(400):
-        turned, code, factor = vectors.encode(x, vectors.rotation(64, seed))
-        guess, off = vectors.estimate(code, factor, turned)
-        guesses.append(guess[0, 1])
-        inside += abs(guess[0, 1] - x[0] @ x[1]) <= off[0]
-    assert np.mean(guesses) == pytest.approx(x[0] @ x[1], abs=0.02) and inside >= 398
+        codes = vectors.encode(x, vectors.rotation(70, seed), seed)
+        guesses.append(codes.estimate(i, j))
+        inside += guesses[-1][1] >= codes.least(i, j, float(x[0] @ x[2]))[1]
+        on = codes.bits.view(np.uint8).size
+        assert on == 3 * 16 and codes.planes.shape == (3, vectors.LEVELS, 2)
+    assert np.mean(guesses, axis=0) == pytest.approx([x[0] @ x[1], x[0] @ x[2]], abs=0.02) and inside >= 398
+
+
+def test_vector_blocks(spark, monkeypatch):
+    """One large group of near copies in many small blocks, all of whose pairs must be met once."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(32)
+    rows = [(i, (base + (0.02 if i < 70 else 0.15) * rng.standard_normal(32)).tolist(), 1) for i in range(90)]
+    monkeypatch.setattr(common, "CHUNK", 8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    linked = v @ v.T >= 0.98
+    assert {i: n for i, (n, _) in got.items()} == {i: int(linked[i].sum()) - 1 for i in range(90)}
+    assert {c for i, (_, c) in got.items() if i < 70} == {0}
+
+
+def test_block_pairs():
+    rnd = random.Random(11)
+    bounds, same, side, want = [0], [], [], set()
+    for _ in range(40):
+        n, one = rnd.randrange(1, 9), rnd.random() < 0.5
+        sides = [0] * n if one else sorted(rnd.randrange(2) for _ in range(n))
+        a = bounds[-1]
+        want |= {(a + i, a + j) for i in range(n) for j in range(i + 1, n) if one or sides[i] != sides[j]}
+        bounds.append(a + n)
+        same += [one] * n
+        side += sides
+    for most in (1, 7, 1000):
+        got = [p for i, j in common.block_pairs(np.array(bounds), np.array(same), np.array(side), most) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_toxicity(spark):
@@ -326,6 +374,19 @@ def test_toxicity(spark):
     by = {r.doc_id: r for r in out}
     wrong = [i for i, y in labels if (by[i].score >= 0.7) != bool(y)]
     assert not wrong and by[900].score == by[901].score == 0.0
+    model = toxicity.fit_toxicity(df, known)
+    for r in out:  # the noisy-or once more, sentence by sentence from the weights
+        p, spans = [], []
+        for m in re.finditer(r"[^.!?\n]+", r.text or ""):
+            found = {f for w in re.findall(r"[^\W\d_]+", m[0].lower()) for f in [w, *(w[:n] + "*" for n in range(3, 9) if len(w) > n)] if f in model.known}
+            q = 1 / (1 + np.exp(-(model.bias + sum(model.weights[model.known[f]] for f in found))))
+            p += [q] if found else []
+            spans += [(m.start(), m.end(), q)] if found and q >= 0.5 else []
+        leak = 1 / (1 + np.exp(-model.bias)) if re.search(r"[^.!?\n]", r.text or "") else 0
+        assert r.score == pytest.approx(1 - (1 - leak) * np.prod([1 - q for q in p]), abs=1e-9)
+        assert [tuple(s) for s in r.offending] == [(a, b, pytest.approx(q)) for a, b, q in spans]
+    long = model.score(". ".join(["fine words"] * 100_000), toxicity._Memo(model.known))[0]
+    assert long < 0.5
     spans = by[0].offending
     assert len(spans) == 1 and "vile" in rows[0][1][spans[0]["start"] : spans[0]["end"]]
     empty = toxicity.fit_toxicity(df.limit(0), known)
