@@ -263,8 +263,8 @@ def test_common_counts(monkeypatch):
         assert got.tolist() == want
 
 
-@pytest.mark.parametrize("heavy", [4096, 1])
-def test_substrings(docs, heavy):
+@pytest.mark.parametrize("most", [substrings.GROUP_BYTES, 2000, 1])
+def test_substrings(docs, most):
     seen, want = {}, {}
     for i, t in distinct_docs():
         w = WORD.findall(t)
@@ -274,11 +274,31 @@ def test_substrings(docs, heavy):
             if seen.setdefault(g, i) != i:
                 gone |= set(range(k, k + 50))
         want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
-    out = substrings.remove_repeats(docs, heavy=heavy)
+    out = substrings.remove_repeats(docs, group_bytes=most)
     assert out.count() == docs.count() and by_id(out, "n_words", "n_removed", "kept_sha256") == want
     assert want[31][1] >= 60 and substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_subtree():
+    """Order, common prefixes and nodes against sorted tuples."""
+    rnd = random.Random(13)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 60))) for _ in range(30)]
+    texts += texts[:3]
+    w = common.Words(texts)
+    tuples = {int(w.first[i]) + k: tuple(t.split()[k:]) for i, t in enumerate(texts) for k in range(len(t.split()))}
+    places = np.array(sorted(rnd.sample(sorted(tuples), 400)))
+    tree, same = substrings.Subtree(w, places, 12), lambda a, b, n: a[:n] == b[:n] and len(a) >= n and len(b) >= n
+    assert sorted(tree.order.tolist()) == places.tolist()
+    for x, y, n in zip(tree.order[:-1].tolist(), tree.order[1:].tolist(), tree.common[1:].tolist()):
+        real = next((k for k, (a, b) in enumerate(zip(tuples[x], tuples[y])) if a != b), min(len(tuples[x]), len(tuples[y])))
+        assert n == real or n >= 16 and real >= n
+    node = dict(zip(tree.order.tolist(), tree.nodes(12).tolist()))
+    for x in places[:80].tolist():
+        for y in places.tolist():
+            if x != y:
+                assert (node[x] == node[y]) == same(tuples[x], tuples[y], 12)
+
+
 def test_substrings_without_order(spark):
     t = prose(random.Random(4), 70)
     out = substrings.remove_repeats(table(spark, [(None, t, "s"), (5, t, "s"), (5, t + " x", "s"), (6, t, "s")])).collect()
