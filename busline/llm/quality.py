@@ -13,6 +13,8 @@ from busline.llm.common import Words, append_from_text, materialized, slices
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
+#: Failure rate, shrunk to the corpus' rate, above which a host fails.
+HOST_LIMIT = 0.5
 
 COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
@@ -66,7 +68,7 @@ def with_base_rules(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "base_failed", limit: float = 0.5) -> DataFrame:
+def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "base_failed", limit: float = HOST_LIMIT) -> DataFrame:
     """host, n_docs, n_failed, rate, host_failed over rows (host, failed).
 
     The beta prior is fitted by moments to the failure rates of all hosts, each host counting by its documents; the
@@ -86,7 +88,7 @@ def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "base_faile
     return per.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > limit)
 
 
-def apply_quality(docs: DataFrame, host: Column, limit: float = 0.5) -> DataFrame:
+def apply_quality(docs: DataFrame, host: Column, limit: float = HOST_LIMIT) -> DataFrame:
     """The columns of docs without text, the counts, base_failed, host, host_rate, host_failed and kept.
 
     kept is false for documents that fail the base rules and for those of a failing host. Null and empty texts have no
@@ -96,12 +98,13 @@ def apply_quality(docs: DataFrame, host: Column, limit: float = 0.5) -> DataFram
     """
     counted = with_base_rules(docs.withColumn("host", host)).drop("text")
     counted = materialized(counted, "quality")
-    verdicts = host_verdicts(counted, limit=limit).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "host_failed")
-    joined = counted.drop("host_rate", "host_failed", "kept").join(verdicts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
+    verdicts = host_verdicts(counted, limit=limit).alias("v")
+    joined = counted.drop("host_rate", "host_failed", "kept").alias("c").join(verdicts, F.col("c.host").eqNullSafe(F.col("v.host")))
+    joined = joined.select("c.*", F.col("v.rate").alias("host_rate"), "v.host_failed")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
-ORACLE = r"""
+_ORACLE = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
 g AS (SELECT doc_id, unnest(range(1, len(ws)::BIGINT - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -117,7 +120,12 @@ p AS (SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS k FROM f GR
 m AS (SELECT count(*)::DOUBLE AS hosts, sum(n)::DOUBLE AS n, sum(k) / sum(n) AS mean, sum(n * (k / n) * (k / n)) AS q FROM p),
 b AS (SELECT mean, mean * (1 - mean) AS spread, q / n - mean * mean - mean * (1 - mean) * hosts / n AS btw FROM m),
 a AS (SELECT mean, CASE WHEN btw > 1e-12 THEN least(greatest(spread / btw - 1, 1.0), 1e6) ELSE 1e6 END AS wt FROM b),
-v AS (SELECT source, (k + greatest(mean, 1e-6) * wt) / (n + greatest(mean, 1e-6) * wt + greatest(1 - mean, 1e-6) * wt) > 0.5 AS host_failed FROM p, a)
+v AS (SELECT source, (k + greatest(mean, 1e-6) * wt) / (n + greatest(mean, 1e-6) * wt + greatest(1 - mean, 1e-6) * wt) > HOST_LIMIT AS host_failed FROM p, a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
+
+
+def oracle(limit: float = HOST_LIMIT) -> str:
+    """DuckDB SQL for the counts and verdicts, a document's source being its host."""
+    return _ORACLE.replace("HOST_LIMIT", repr(limit))

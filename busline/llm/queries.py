@@ -93,4 +93,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op6_quality_rules": quality.ORACLE, "op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES = {"op6_quality_rules": quality.oracle(), "op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}

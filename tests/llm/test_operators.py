@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -145,7 +146,99 @@ def test_quality(docs):
         ls = [x for x in t.split("\n") if WORD.search(x)]
         n = len(covered)
         assert got[i] == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(ls) - len(set(ls)), n, len(w) < 50 or 100 * n > 50 * len(w))
-    assert by_id(out, "host_failed")[49] in (True, False) and quality.apply_quality(docs.limit(0), F.col("source")).count() == 0
+    assert quality.apply_quality(docs.limit(0), F.col("source")).count() == 0
+
+
+def test_hosts_on_both_sides_of_the_limit(spark, tmp_path):
+    """Shrunk rates by hand, and the whole table against the registered SQL."""
+    rnd = random.Random(14)
+    hosts = [("bad", 40, 30), ("good", 300, 6), ("fair", 80, 30), ("tiny", 1, 1), (None, 12, 11), ("clean", 50, 0)]
+    rows = [(prose(rnd, 8 if k < failing else 60), host) for host, n, failing in hosts for k in range(n)]
+    docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(rows)], "doc_id bigint, text string, source string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("host", "kept", "host_failed", "n_words", "__host")})
+    docs.write.parquet(f"{tmp_path}/documents")
+    n, k = sum(h[1] for h in hosts), sum(h[2] for h in hosts)
+    mean, q = k / n, sum(f * f / m for _, m, f in hosts) / n
+    between = q - mean**2 - mean * (1 - mean) * len(hosts) / n
+    weight = mean * (1 - mean) / between - 1
+    rate = {h: (f + mean * weight) / (m + weight) for h, m, f in hosts}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    for limit in (0.5, 0.3):
+        out = quality.apply_quality(docs, F.col("source"), limit)
+        failed = {r.host: (r.host_rate, r.host_failed) for r in out.select("host", "host_rate", "host_failed").distinct().collect()}
+        assert failed == {h: (pytest.approx(r), r > limit) for h, r in rate.items()}
+        assert failed["bad"][1] and not failed["good"][1] and not failed["clean"][1] and failed["fair"][1] == (limit < 0.4)
+        assert mean < failed["tiny"][0] < 0.8  # one failure of one document, shrunk
+        got = {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in out.collect()}
+        assert all(got[i][2] == (len(t.split()) >= 50 and not failed[h][1]) for i, (t, h) in enumerate(rows))
+        want = con.execute(quality.oracle(limit)).df()
+        assert got == {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in want.itertuples()}
+
+
+def scanned(text):
+    """(kind, start, end) of the base rules by stepping through the text, without regular expressions."""
+    found, digits = [], "0123456789"
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folded = "".join(low[upper.index(c)] if c in upper else c for c in text)
+    run = lambda i, allowed: next((j for j in range(i, len(text)) if text[j] not in allowed), len(text))
+
+    def value(i):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if folded.startswith(w, i)), None)
+        if word is None:
+            return None
+        i += len(word)
+        i += text[i : i + 1] in ("'", '"') and i < len(text)
+        i = run(i, " ")
+        if text[i : i + 1] not in (":", "=") or i >= len(text):
+            return None
+        i = run(i + 1, " ")
+        starts = [i + 1, i] if i < len(text) and text[i] in "'\"" else [i]
+        for s in starts:
+            e = run(s, upper + low + digits + "+/_.=-")
+            if e > s:
+                return s, e
+        return None
+
+    i = 0
+    while i < len(text):
+        v = value(i)
+        if v and v[1] - v[0] >= 6:
+            found.append((i, 0, "assign", v[1]))
+        i = v[1] if v else i + 1
+    i = 0
+    while i < len(text):
+        if text.startswith("AKIA", i) and (e := run(i + 4, upper + digits)) > i + 4:
+            if e - i >= 20:
+                found.append((i, 1, "access", e))
+            i = e
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        e = run(i, digits + "abcdef")
+        if e - i >= 24:
+            found.append((i, 2, "hex", e))
+        i = max(e, i + 1)
+    return [(k, a, e) for a, _, k, e in sorted(found)]
+
+
+def test_secret_scan_against_stepping(spark):
+    rnd = random.Random(15)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", "apikey", ":", "=", " ", "  ", '"', "'", "AKIA", "AKIAB", "ABCDEFGH12345678", "é", "ſecret", "\n", "abc123", "0f" * 12, "deadbeef" * 3, "x", "==", "a.b-c_d/", "ToKen=", "K"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25))) for _ in range(3000)] + ["", None, "y" * 300_000 + " token = longenough " + "f" * 100_000]
+    rows = [(i if i % 7 else None, t, str(i)) for i, t in enumerate(texts)]
+    df = table(spark, [*rows, rows[5], rows[5]]).withColumn("spans", F.lit("x")).withColumn("n_hex", F.lit("x"))
+    out = secrets.scan_secrets(df).select("text", "source", "spans", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert len(out) == len(rows) + 2
+    some = 0
+    for r in out:
+        want = scanned(r.text or "")
+        line = ",".join(f"{k}:{a}:{e}" for k, a, e in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex")), r.text
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(line.split(",")) - {""} <= set(r.spans.split(","))
+        some += len(want)
+    assert some > 1000
 
 
 def der(*parts):
