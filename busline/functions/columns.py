@@ -54,22 +54,24 @@ def is_hex(text: Column) -> Column:
     return F.coalesce(text.rlike("^([0-9a-fA-F]{2})+$"), F.lit(False))
 
 
-def n_bytes(text: Column) -> Column:
-    """Bytes of hex text; 0 unless is_hex()."""
-    return F.when(is_hex(text), (F.length(text) / 2).cast("int")).otherwise(0)
+def _bits_apart(a: Column, b: Column, at: Column, n: Column) -> Column:
+    """Differing bits of up to 15 hex digits from the 0-based digit `at` on."""
+    part = [F.coalesce(F.conv(x.substr(at + 1, n), 16, 10).cast("bigint"), F.lit(0)) for x in (a, b)]
+    return F.bit_count(part[0].bitwiseXOR(part[1]))
 
 
-def bit_distance(a: Column, b: Column, most_bytes: int = KEPT_PAYLOAD_BYTES) -> Column:
-    """Share of differing bits over the shorter of two hex payloads of at most most_bytes; 0 if a side is null, empty or no hex.
+def bit_distance(a: Column, b: Column) -> Column:
+    """Share of differing bits over the shorter of two hex payloads; 0 if a side is null, empty or no hex.
 
-    Compared 15 digits at a time, unrolled, so that it stays inside generated code.
+    Compared 15 digits at a time, unrolled for as many bytes as packets keep, so that it stays inside generated code; only
+    longer payloads take a fold over the rest.
     """
-    size = F.least(F.length(a), F.length(b), F.lit(2 * most_bytes))
+    size, step, unrolled = F.least(F.length(a), F.length(b)), 15, 2 * KEPT_PAYLOAD_BYTES
     bits = F.lit(0)
-    for at in range(0, 2 * most_bytes, 15):
-        n = F.least(F.greatest(size - at, F.lit(0)), F.lit(15))
-        part = [F.coalesce(F.conv(x.substr(F.lit(at + 1), n), 16, 10).cast("bigint"), F.lit(0)) for x in (a, b)]
-        bits = bits + F.bit_count(part[0].bitwiseXOR(part[1]))
+    for at in range(0, unrolled, step):
+        bits = bits + _bits_apart(a, b, F.lit(at), F.least(F.greatest(size - at, F.lit(0)), F.lit(min(step, unrolled - at))))
+    more = F.aggregate(F.sequence(F.lit(unrolled), size - 1, F.lit(step)), F.lit(0), lambda acc, at: acc + _bits_apart(a, b, at, F.least(size - at, F.lit(step))))
+    bits = F.when(size > unrolled, bits + more).otherwise(bits)
     return F.when(is_hex(a) & is_hex(b), bits / (size * 4).cast("double")).otherwise(F.lit(0.0))
 
 

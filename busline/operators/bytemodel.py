@@ -1,17 +1,24 @@
-"""Byte distributions per payload position: fitting is an aggregation, scoring a lookup and a fold."""
+"""Byte distributions per payload position: fitting is an aggregation, scoring a lookup and a sum."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from busline.functions.columns import is_hex, n_bytes
+from busline.functions.columns import is_hex
 from busline.operators.windows import payload
-from busline.schema import KEPT_PAYLOAD_BYTES, ORDER
+from busline.schema import FEATURES, ORDER
 
 ALPHA = 1.0
 TINY = 1e-12
 SAMPLE = 50_000
+#: Fixed value: payload positions that the models know.
+POSITIONS = 256
 MODELS = ["someip", "someipsd", "tcpudp"]
 
 
@@ -44,7 +51,7 @@ def exploded_bytes(rows: DataFrame, text: str = "payload") -> DataFrame:
 
 def byte_counts(sampled: DataFrame) -> DataFrame:
     """model, pos, byte, n: at most 256 times 256 rows a model."""
-    return exploded_bytes(sampled).where("pos < 256").groupBy("model", "pos", "byte").agg(F.count("*").alias("n"))
+    return exploded_bytes(sampled).where(F.col("pos") < POSITIONS).groupBy("model", "pos", "byte").agg(F.count("*").alias("n"))
 
 
 def byte_totals(counts: DataFrame) -> DataFrame:
@@ -63,36 +70,62 @@ def byte_logp(counts: DataFrame) -> DataFrame:
     return joined.withColumn("logp", log_probability(F.col("n"), F.col("pos_total")))
 
 
-def model_arrays(counts: DataFrame, positions: int = KEPT_PAYLOAD_BYTES) -> DataFrame:
-    """One row with an array column a model: the log probability of (pos, byte) at index pos * 256 + byte."""
-    spark = counts.sparkSession
-    grid = spark.range(positions * 256).select((F.col("id") / 256).cast("int").alias("pos"), (F.col("id") % 256).cast("int").alias("byte"))
-    grid = grid.crossJoin(spark.createDataFrame([(m,) for m in MODELS], "model string"))  # positions x 256 x 3 rows
-    full = grid.join(counts, ["model", "pos", "byte"], "left").join(byte_totals(counts), ["model", "pos"], "left")
-    full = full.withColumn("logp", log_probability(F.col("n"), F.col("pos_total")))
-    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("model") == m, F.struct((F.col("pos") * 256 + F.col("byte")).alias("i"), "logp")))), lambda x: x["logp"]).alias(f"__{m}") for m in MODELS]
-    return full.agg(*listed)
+def model_tables(counts: DataFrame) -> np.ndarray:
+    """The log probability of each model, position and byte, as an array (models, POSITIONS, 256).
+
+    Fitted counts have at most 65,536 rows a model, so they may come to the driver and go to every task.
+    """
+    seen, total = np.zeros((len(MODELS), POSITIONS, 256)), np.zeros((len(MODELS), POSITIONS, 1))
+    for model, pos, byte, n in counts.select("model", "pos", "byte", "n").collect():
+        seen[MODELS.index(model), pos, byte] = n
+        total[MODELS.index(model), pos] += n
+    return np.log((seen + ALPHA) / (total + 256 * ALPHA) + TINY)
 
 
-def _score(text: Column, model: Column) -> Column:
-    last = n_bytes(text) - 1
-    total = F.aggregate(F.sequence(F.lit(0), last), F.lit(0.0), lambda acc, i: acc + F.get(model, i * 256 + _byte(text, i)))
-    return F.when(last >= 0, total).otherwise(F.lit(0.0))
+_DIGIT = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(b"0123456789abcdef"):
+    _DIGIT[_c] = _i
+for _i, _c in enumerate(b"ABCDEF", 10):
+    _DIGIT[_c] = _i
 
 
-def byte_features(packets: DataFrame, most: int = SAMPLE) -> DataFrame:
+def scores(texts: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log probabilities (models, rows) of hex payloads, and their bytes; 0 for null, empty and invalid text.
+
+    A payload's first POSITIONS bytes count, as the tables say nothing about others.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    digit = _DIGIT[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]]
+    offset = offset - offset[0]
+    length = np.diff(offset)
+    wrong = np.concatenate([[0], np.cumsum(digit == 255)])
+    good = (length > 0) & (length % 2 == 0) & (wrong[offset[1:]] == wrong[offset[:-1]])
+    size = np.where(good, length // 2, 0)
+    used = np.minimum(size, POSITIONS)
+    row = np.repeat(np.arange(len(size)), used)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
+    at = offset[:-1][row] + 2 * pos
+    cell = pos * 256 + (digit[at].astype(np.int64) << 4 | digit[at + 1])
+    return np.stack([np.bincount(row, t.ravel()[cell], len(size)) for t in tables]), size
+
+
+def byte_features(packets: DataFrame, most: int = SAMPLE, fit_on: DataFrame | None = None) -> DataFrame:
     """packets with f02 to f04, log likelihoods of their payloads, and f05 to f07, the same per byte with the sign changed.
 
-    The models meet the packets as one broadcast row of three arrays of fixed size; scoring folds over a payload's
-    bytes in the row, without a shuffle.
+    The models are fitted on fit_on (default: packets themselves) and are tables of fixed size; each batch of payloads is
+    decoded once and looked up for all models, without a shuffle. Columns that have the name of a feature are replaced.
     """
-    models = model_arrays(byte_counts(samples(packets, most)))
-    scored = packets.crossJoin(F.broadcast(models))  # one row of 3 x 16,384 numbers
-    si, tu = payload("someip_payload_hex"), payload("transport_payload_hex")
-    scored = scored.withColumns({
-        "f02_someip_likelihood": _score(si, F.col("__someip")), "f03_someipsd_likelihood": _score(si, F.col("__someipsd")), "f04_tcpudp_likelihood": _score(tu, F.col("__tcpudp")),
-    })
-    per_byte = lambda total, text: F.when(n_bytes(text) > 0, -F.col(total) / n_bytes(text)).otherwise(F.lit(0.0))
-    return scored.withColumns({
-        "f05_someip_entropy": per_byte("f02_someip_likelihood", si), "f06_someipsd_entropy": per_byte("f03_someipsd_likelihood", si), "f07_tcpudp_entropy": per_byte("f04_tcpudp_likelihood", tu),
-    }).drop(*[f"__{m}" for m in MODELS])
+    tables = model_tables(byte_counts(samples(packets if fit_on is None else fit_on, most)))
+    kept = packets.select(*[c for c in packets.columns if c not in FEATURES[1:7]])
+    columns = [kept.columns.index(c) for c in ("someip_payload_hex", "transport_payload_hex")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [scores(batch.column(columns[0]), tables[:2]), scores(batch.column(columns[1]), tables[2:])]
+            total = np.concatenate([p[0] for p in parts])
+            size = np.stack([parts[0][1], parts[0][1], parts[1][1]])
+            per_byte = np.where(size > 0, -total / np.maximum(size, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, [*total, *per_byte])], names=[*batch.schema.names, *FEATURES[1:7]])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES[1:7])]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from busline.schema import FEATURES
 
 _VIEW = """cap(cap_id, pcap_file, attack_type) AS (VALUES (0,'benign_traffic.pcap','normal'),(1,'dos_noti_flood.pcap','dos'),
@@ -63,12 +65,12 @@ div AS (SELECT dn.pcap_file, dn.frame_no, CASE WHEN du.k > 1 THEN du.d / du.k::D
  UNION ALL SELECT 'someipsd', payload FROM (SELECT someip_payload_hex AS payload FROM pk WHERE label = 0 AND is_sd AND someip_payload_hex <> '' ORDER BY pcap_file, timestamp, frame_no LIMIT 50000)
  UNION ALL SELECT 'tcpudp', payload FROM (SELECT transport_payload_hex AS payload FROM pk WHERE label = 0 AND attack_type = 'normal' AND NOT is_sd AND transport_payload_hex <> '' ORDER BY pcap_file, timestamp, frame_no LIMIT 50000))""",
     "cnt": """cx AS (SELECT model, payload, unnest(range(length(payload) // 2)) AS pos FROM sam),
-cnt AS (SELECT model, pos::INT AS pos, ('0x' || substr(payload, 2 * pos + 1, 2))::INT AS byte, count(*) AS n FROM cx GROUP BY ALL),
+cnt AS (SELECT model, pos::INT AS pos, ('0x' || substr(payload, 2 * pos + 1, 2))::INT AS byte, count(*) AS n FROM cx WHERE pos < 256 GROUP BY ALL),
 tot AS (SELECT model, pos, sum(n)::BIGINT AS pos_total FROM cnt GROUP BY ALL)""",
     "byt": """bx AS (SELECT pcap_file, frame_no, 'si' AS which, someip_payload_hex AS h, unnest(range(length(someip_payload_hex) // 2)) AS pos FROM pk WHERE someip_payload_hex <> ''
  UNION ALL SELECT pcap_file, frame_no, 'tu', transport_payload_hex, unnest(range(length(transport_payload_hex) // 2)) FROM pk WHERE transport_payload_hex <> ''),
 bm AS (SELECT x.*, m.model, ln((coalesce(c.n, 0) + 1.0::DOUBLE) / (coalesce(t.pos_total, 0) + 256.0::DOUBLE) + 1e-12::DOUBLE) AS lp
-  FROM (SELECT *, ('0x' || substr(h, 2 * pos + 1, 2))::INT AS byte FROM bx) x JOIN (VALUES ('someip', 'si'), ('someipsd', 'si'), ('tcpudp', 'tu')) m(model, w) ON x.which = m.w
+  FROM (SELECT *, ('0x' || substr(h, 2 * pos + 1, 2))::INT AS byte FROM bx WHERE pos < 256) x JOIN (VALUES ('someip', 'si'), ('someipsd', 'si'), ('tcpudp', 'tu')) m(model, w) ON x.which = m.w
   LEFT JOIN cnt c ON c.model = m.model AND c.pos = x.pos AND c.byte = x.byte LEFT JOIN tot t ON t.model = m.model AND t.pos = x.pos),
 bs AS (SELECT pcap_file, frame_no, sum(CASE WHEN model = 'someip' THEN lp END) AS a, sum(CASE WHEN model = 'someipsd' THEN lp END) AS b, sum(CASE WHEN model = 'tcpudp' THEN lp END) AS c FROM bm GROUP BY ALL),
 byt AS (SELECT pk.pcap_file, pk.frame_no, coalesce(a, 0.0::DOUBLE) AS f02_someip_likelihood, coalesce(b, 0.0::DOUBLE) AS f03_someipsd_likelihood, coalesce(c, 0.0::DOUBLE) AS f04_tcpudp_likelihood,
@@ -88,10 +90,20 @@ prd AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction, CASE a
 _PRD = ["rate", "spl", "prd"]
 
 
+# Packets with payloads five times as long.
+_PACKETS = re.compile(r"\bpk\b")
+_PARTS["lp"] = "lp AS (SELECT * REPLACE (repeat(someip_payload_hex, 5) AS someip_payload_hex, repeat(transport_payload_hex, 5) AS transport_payload_hex) FROM pk)"
+
+
 def _sql(body: str, *parts: str) -> str:
     return f"WITH {', '.join([_VIEW, *(_PARTS[p] for p in parts)])} {body}"
 
 
+def _of_long(body: str, *parts: str) -> str:
+    """_sql() over the long payloads."""
+    return f"WITH {', '.join([_VIEW, _PARTS['lp'], *(_PACKETS.sub('lp', _PARTS[p]) for p in parts)])} {body}"
+
+
 _R6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 _HEADER = [("service_id", 0, 2), ("method_id", 2, 2), ("someip_len", 4, 4), ("client_id", 8, 2), ("session_id", 10, 2), ("proto_ver", 12, 1), ("iface_ver", 13, 1), ("msg_type", 14, 1), ("return_code", 15, 1)]
 
@@ -119,6 +131,8 @@ ORACLES = {
     "byte_logp": _sql("SELECT model, pos, byte, n, pos_total, round(ln((n + 1.0::DOUBLE) / (pos_total + 256.0::DOUBLE) + 1e-12::DOUBLE), 9) AS logp FROM cnt JOIN tot USING (model, pos)", "sam", "cnt"),
     "byte_loglik": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[1:4])} FROM byt", "sam", "cnt", "byt"),
     "byte_xent": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[4:7])} FROM byt", "sam", "cnt", "byt"),
+    "byte_scores_long": _of_long(f"SELECT pcap_file, frame_no, {_R6(FEATURES[1:7])} FROM byt", "sam", "cnt", "byt"),
+    "hamming_long": _of_long(f"SELECT frame_no, {_bits('tu', 'si')} AS distance FROM (SELECT frame_no, nullif(transport_payload_hex, '') AS tu, nullif(someip_payload_hex, '') AS si FROM lp)"),
     "f01": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[:1])} FROM flow", "fl", "flow"),
     "f08_f09": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[7:9])} FROM flow", "fl", "flow"),
     "f10": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[9:10])} FROM flow", "fl", "flow"),

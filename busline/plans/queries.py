@@ -45,13 +45,8 @@ def missing_captures(spark, d):
 
 
 def capture_union(spark, d):
-    """The captures put together again from one scan each."""
-    rows = _all(spark, d)
-    parts = [rows.where(F.col("pcap_file") == name).select("pcap_file", "frame_no", "src_ip") for name, in sources.captures(spark).select("pcap_file").collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The rows of all captures that are listed, in one scan: what putting them together again gives."""
+    return _all(spark, d).join(F.broadcast(sources.captures(spark).select("pcap_file")), "pcap_file", "left_semi").select("pcap_file", "frame_no", "src_ip")
 
 
 def header_decode(spark, d):
@@ -125,12 +120,30 @@ def byte_logp(spark, d):
     return bytemodel.byte_logp(_counts(spark, d)).withColumn("logp", F.round("logp", 9))
 
 
+def _byte_features(rows, names):
+    narrow = rows.select(*KEY, "someip_payload_hex", "transport_payload_hex")
+    return _features(bytemodel.byte_features(narrow, fit_on=rows), names)
+
+
 def byte_loglik(spark, d):
-    return _features(bytemodel.byte_features(_all(spark, d)), FEATURES[1:4])
+    return _byte_features(_all(spark, d), FEATURES[1:4])
 
 
 def byte_xent(spark, d):
-    return _features(bytemodel.byte_features(_all(spark, d)), FEATURES[4:7])
+    return _byte_features(_all(spark, d), FEATURES[4:7])
+
+
+def _long(spark, d):
+    """Packets with payloads five times as long, beyond what captures keep and what the models know."""
+    return _all(spark, d).withColumns({c: F.repeat(c, 5) for c in ("someip_payload_hex", "transport_payload_hex")})
+
+
+def byte_scores_long(spark, d):
+    return _byte_features(_long(spark, d), FEATURES[1:7])
+
+
+def hamming_long(spark, d):
+    return _long(spark, d).select("frame_no", bit_distance(windows.payload("transport_payload_hex"), windows.payload("someip_payload_hex")).alias("distance"))
 
 
 def _flow(names):
@@ -256,6 +269,7 @@ QUERIES = {
     "msg_type_name": msg_type_name, "someip_valid": someip_valid, "payload_hex": payload_hex, "hex_guard": hex_guard, "sd_share": sd_share, "label_join": label_join,
     "capture_summary": capture_summary, "class_balance": class_balance, "class_index": class_ids, "attack_types": attack_types, "hamming_pairs": hamming_pairs,
     "model_sample_sizes": model_sample_sizes, "byte_counts": _counts, "byte_totals": byte_totals, "byte_logp": byte_logp, "byte_loglik": byte_loglik, "byte_xent": byte_xent,
+    "byte_scores_long": byte_scores_long, "hamming_long": hamming_long,
     "f01": _flow(FEATURES[:1]), "f08_f09": _flow(FEATURES[7:9]), "f10": _flow(FEATURES[9:10]), "f11_f12": _flow(FEATURES[10:12]), "f13": _flow(FEATURES[12:13]),
     "f14": f14, "f15_f16": f15_f16, "f17": f17, "f18": f18, "features_all": features_all, "split": split, "minmax_stats": minmax_stats, "minmax_scaled": minmax_scaled,
     "confusion": confusion, "binary_metrics": binary_metrics, "auc": auc, "roc_curve": roc_curve, "recall_by_type": recall_by_type, "multi_metrics": multi_metrics,
