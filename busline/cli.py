@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import functions as F
 
@@ -12,12 +13,22 @@ from busline.schema import CAPTURES
 from busline.session import local_session
 from busline.sources import packets as sources
 from busline.sources import pcap
+from busline.sources.store import exists, scratch, stored
+
+
+#: Folder of captures, packets, features and models where no option names them.
+DATA = os.environ.get("BUSLINE_DATA", "data")
 
 
 def _parse(spark, a) -> None:
-    rows = pcap.stream_captures(spark, a.captures, a.strict) if a.stream else pcap.scan_captures(spark, a.captures, a.strict)
-    sources.write_packets(rows, a.out)
-    metrics.capture_summary(sources.read_packets(spark, a.out)).orderBy("pcap_file").show(truncate=False)
+    if exists(spark, a.out):
+        print(f"{a.out} exists, nothing to do")
+        return
+    with scratch(spark):
+        scan = pcap.stream_captures if a.stream else pcap.scan_captures
+        rows = stored(scan(spark, a.captures, a.strict, dropped=True), "frames")
+        sources.write_packets(rows.where("transport IS NOT NULL"), a.out)
+        metrics.capture_summary(rows).orderBy("pcap_file").show(truncate=False)
 
 
 def _check(spark, a) -> None:
@@ -28,13 +39,18 @@ def _check(spark, a) -> None:
 
 
 def _features(spark, a) -> None:
-    rows = prepare.split(prepare.features(sources.read_packets(spark, a.packets, a.kind)))
-    prepare.minmax_scaled(rows).write.mode("ignore").partitionBy("is_train").parquet(a.out)
-    metrics.class_balance(spark.read.parquet(a.out)).show()
+    if not exists(spark, a.out):
+        with scratch(spark):
+            rows = prepare.split(prepare.features(sources.read_packets(spark, a.packets, a.kind)))
+            prepare.minmax_scaled(rows).write.mode("ignore").partitionBy("is_train").parquet(a.out)
+    rows = prepare.read_features(spark, a.out)
+    if a.vectors:
+        models.vectors(rows).write.mode("ignore").partitionBy("is_train").parquet(a.vectors)
+    metrics.class_balance(rows).show()
 
 
 def _report(spark, a, binary: bool) -> None:
-    test = spark.read.parquet(a.features).where("NOT is_train")
+    test = prepare.read_features(spark, a.features).where("NOT is_train")
     model = models.load(f"{a.models}/{'binary' if binary else 'multi'}")
     if not binary:
         metrics.multi_metrics(models.predict_multi(model, test)).show()
@@ -49,7 +65,7 @@ def _modes(mode: str) -> list[bool]:
 
 
 def _train(spark, a) -> None:
-    train = spark.read.parquet(a.features).where("is_train")
+    train = prepare.read_features(spark, a.features).where("is_train")
     for binary in _modes(a.mode):
         fit = models.fit_binary if binary else models.fit_multi
         models.save(fit(train, a.rounds, a.depth), f"{a.models}/{'binary' if binary else 'multi'}")
@@ -71,12 +87,13 @@ def main(argv: list[str] | None = None) -> None:
         p = sub.add_parser(name)
         p.set_defaults(run=run)
         for o in options:
-            p.add_argument(o, required=True)
+            p.add_argument(o, default=f"{DATA}/{o[2:]}" if o != "--out" else f"{DATA}/{'packets' if name == 'parse' else 'features'}")
         if name == "parse":
             p.add_argument("--strict", action="store_true")
-            p.add_argument("--stream", action="store_true", help="read record by record from a path that executors can open")
+            p.add_argument("--stream", action="store_true", help="read spans of large files from a path that executors can open")
         if name == "features":
             p.add_argument("--kind", choices=["parquet", "csv"], default="parquet")
+            p.add_argument("--vectors", help="also write the scaled features as a table of vectors there")
         if name in ("train", "evaluate"):
             p.add_argument("--mode", choices=["binary", "multi", "both"], default="both")
         if name == "train":

@@ -107,7 +107,7 @@ def scores(texts: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     pos = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
     at = offset[:-1][row] + 2 * pos
     cell = pos * 256 + (digit[at].astype(np.int64) << 4 | digit[at + 1])
-    return np.stack([np.bincount(row, t.ravel()[cell], len(size)) for t in tables]), size
+    return np.stack([np.bincount(row, t.ravel()[cell], len(size)) for t in tables]).astype(np.float64), size
 
 
 def byte_features(packets: DataFrame, most: int = SAMPLE, fit_on: DataFrame | None = None) -> DataFrame:

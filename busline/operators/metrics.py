@@ -74,8 +74,9 @@ def class_balance(rows: DataFrame) -> DataFrame:
 
 
 def capture_summary(rows: DataFrame) -> DataFrame:
-    """pcap_file, written, attacks, share."""
-    per = rows.groupBy("pcap_file").agg(F.count("*").alias("written"), _count(F.col("label") == 1).alias("attacks"))
+    """pcap_file, read, written, dropped, attacks, share; frames of other protocols are rows without transport."""
+    kept = F.col("transport").isNotNull()
+    per = rows.groupBy("pcap_file").agg(F.count("*").alias("read"), _count(kept).alias("written"), _count(~kept).alias("dropped"), _count(kept & (F.col("label") == 1)).alias("attacks"))
     return per.withColumn("share", ratio(F.col("attacks"), F.col("written")))
 
 

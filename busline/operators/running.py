@@ -1,23 +1,28 @@
 """Running sums, numbers and previous rows within keys of any size.
 
 A window over a key puts all its rows in one task. These operators divide each key into ordered buckets, work inside
-buckets, and carry totals or last rows over a table with one row a bucket.
+buckets, and carry totals or last rows over a table with one row a bucket. Rows are shuffled once, by key and bucket.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on `on`, null being equal to null; right has each key once."""
-    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
-    condition = None
-    for c in on:
-        one = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-        condition = one if condition is None else condition & one
-    return left.join(other, condition).drop(*[f"__r_{c}" for c in on])
+def solid_keys(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with a copy of each column in which a value that data don't hold stands for null, and the copies' names.
+
+    Plain equality on them keeps the partitioning that windows and joins share; null-safe equality would shuffle again.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    void = {c: F.lit("\0") if isinstance(kinds[c], T.StringType) else F.lit(-(2**31)).cast(kinds[c]) for c in columns}
+    return df.withColumns({f"__s_{c}": F.coalesce(F.col(c), void[c]) for c in columns}), [f"__s_{c}" for c in columns]
+
+
+def _dropped(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__s_")], *names)
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -25,13 +30,14 @@ def running_sum(df: DataFrame, keys: list[str], bucket: list[str], order: list[s
 
     Buckets must ascend with order. Tasks hold a bucket at a time; a key's buckets are summed in one.
     """
-    marked = df.withColumn("__v", value)
-    totals = marked.groupBy(*keys, *bucket).agg(F.sum("__v").alias("__t"))
-    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, *bucket, F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__ahead"))
-    inside = Window.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _same(marked, totals, [*keys, *bucket])
-    return joined.withColumn(name, F.col("__ahead") + F.sum("__v").over(inside)).drop("__v", "__ahead")
+    marked, solid = solid_keys(df.withColumn("__v", value), [*keys, *bucket])
+    group, cells = solid[: len(keys)], solid[len(keys) :]
+    totals = marked.groupBy(*solid).agg(F.sum("__v").alias("__t"))
+    ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*solid, F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(*solid).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = marked.withColumn("__v", F.sum("__v").over(inside)).join(totals, solid)
+    return _dropped(summed.withColumn(name, F.col("__ahead") + F.col("__v")), "__v", "__ahead")
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], name: str = "n") -> DataFrame:
@@ -39,12 +45,17 @@ def numbered(df: DataFrame, keys: list[str], bucket: list[str], order: list[str]
     return running_sum(df, keys, bucket, order, F.lit(1).cast("bigint"), name)
 
 
-def previous(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """df with value of the row before in its keys (null kept as null), and null for the first."""
-    inside = Window.partitionBy(*keys, *bucket).orderBy(*order)
-    boxed = df.withColumn("__b", F.struct(F.col(value).alias("v")))
-    last = boxed.groupBy(*keys, *bucket).agg(F.max_by("__b", F.struct(*order)).alias("__last"))
-    across = Window.partitionBy(*keys).orderBy(*bucket)
-    last = last.withColumn("__carried", F.lag("__last").over(across)).drop("__last")
-    joined = _same(boxed.withColumn("__p", F.lag("__b").over(inside)), last, [*keys, *bucket])
-    return joined.withColumn(name, F.coalesce("__p", "__carried")["v"]).drop("__b", "__p", "__carried")
+def neighbour(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], value: str, name: str, before: bool = True) -> DataFrame:
+    """df with value of the row before (or after) in its keys (null kept as null), and null for the first (or last).
+
+    Only a bucket's outermost row looks beyond it: at the nearest row of the neighbouring bucket, carried over a table with
+    one row a bucket.
+    """
+    marked, solid = solid_keys(df.withColumn("__b", F.struct(F.col(value).alias("v"))), [*keys, *bucket])
+    group, cells = solid[: len(keys)], solid[len(keys) :]
+    inside, across = Window.partitionBy(*solid).orderBy(*order), Window.partitionBy(*group).orderBy(*cells)
+    shift, outermost = (F.lag, F.max_by) if before else (F.lead, F.min_by)
+    edge = marked.groupBy(*solid).agg(outermost("__b", F.struct(*order)).alias("__edge"))
+    edge = edge.withColumn("__carried", shift("__edge").over(across)).drop("__edge")
+    joined = marked.withColumn("__p", shift("__b").over(inside)).join(edge, solid)
+    return _dropped(joined.withColumn(name, F.coalesce("__p", "__carried")["v"]), "__b", "__p", "__carried")

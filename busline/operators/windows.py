@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busline.functions.columns import bit_distance, gap, ratio
-from busline.operators.running import numbered, previous, running_sum
+from busline.operators.running import neighbour, numbered, running_sum, solid_keys
 from busline.schema import FLOW, ORDER
+from busline.sources.store import stored
 
 #: Packets looked back on per flow, and per source.
 RECENT = 5
@@ -15,6 +16,8 @@ SOURCE_WINDOW = 1000
 #: Seconds of a source's or payload's packets that one task orders.
 SLICE_SECONDS = 3600
 SLICE = ["pcap_file", "__slice"]
+#: Places of a source that one task orders.
+PART = 65_536
 
 
 def payload(name: str) -> Column:
@@ -22,10 +25,6 @@ def payload(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
-def _flow() -> Window:
-    return Window.partitionBy(*FLOW).orderBy("timestamp", "frame_no")
-
-
 def _sliced(packets: DataFrame) -> DataFrame:
     return packets.withColumn("__slice", F.floor(F.col("timestamp") / SLICE_SECONDS))
 
@@ -35,25 +34,41 @@ def flow_features(packets: DataFrame, recent: int = RECENT) -> DataFrame:
     `recent` payloads (nulls counting) that equal this one.
 
     f08 compares with the previous packet of the flow that is not service discovery, f09 with the previous one that is;
-    a null payload is remembered as null. One shuffle, on the flow.
+    a null payload is remembered as null. A flow may be a whole capture, so it is handled in slices of time: packets are shuffled
+    by flow and slice, and what a slice must know of those before it (the last packets, the last payload of
+    either kind) is carried over a table with one row a slice.
     """
-    w = _flow()
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
     sd, si, tu = F.coalesce("is_sd", F.lit(False)), payload("someip_payload_hex"), payload("transport_payload_hex")
-    last = lambda which: F.last(F.when(which, F.struct(si.alias("v"))), ignorenulls=True).over(prior)["v"]
-    back = packets.withColumns({
-        "__plain": last(~sd), "__sd": last(sd), "__tu": F.lag(tu).over(w), "__ts": F.lag("timestamp").over(w), "__ip": F.lag("ip_len").over(w),
-        "__tl": F.lag("transport_len").over(w), "__rn": F.row_number().over(w), **{f"__si{k}": F.lag(si, k).over(w) for k in range(1, recent + 1)},
-    })
-    equal = sum((F.coalesce((F.col(f"__si{k}") == si).cast("int"), F.lit(0)) for k in range(1, recent + 1)), F.lit(0))
-    out = back.withColumns({
-        "f01_ip_time_interval": gap(F.col("timestamp"), F.col("__ts")),
+    marked = packets.withColumn("__now", F.struct(si.alias("si"), tu.alias("tu"), "timestamp", "ip_len", "transport_len"))
+    marked = marked.withColumn("__kind", F.struct(F.when(~sd, F.struct(si.alias("v"))).alias("plain"), F.when(sd, F.struct(si.alias("v"))).alias("sd")))
+    marked, solid = solid_keys(_sliced(marked), [*FLOW, "__slice"])
+    inside = Window.partitionBy(*solid).orderBy("timestamp", "frame_no")
+    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("timestamp", "frame_no")
+    # A slice's last packets, newest first; at least as many as the slice has stand in its `recent` newest.
+    ends = marked.withColumn("__back", F.row_number().over(Window.partitionBy(*solid).orderBy(F.desc("timestamp"), F.desc("frame_no"))))
+    newest = F.transform(F.array_sort(F.collect_list(F.when(F.col("__back") <= recent, F.struct("__back", "__now")))), lambda x: x["__now"])
+    latest = lambda kind: F.max_by(F.when(F.col("__kind")[kind].isNotNull(), F.col("__kind")[kind]), F.when(F.col("__kind")[kind].isNotNull(), at))
+    slices = ends.groupBy(*solid).agg(newest.alias("__newest"), latest("plain").alias("__plain"), latest("sd").alias("__sd"))
+    across = Window.partitionBy(*solid[:-1]).orderBy(solid[-1])
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    held = F.slice(F.flatten(F.reverse(F.collect_list("__newest").over(across.rowsBetween(-recent, -1)))), 1, recent)
+    carried = slices.select(*solid, held.alias("__held"), *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_held") for c in ("__plain", "__sd")])
+    last = lambda kind: F.last(F.col("__kind")[kind], ignorenulls=True).over(prior)
+    rows = marked.withColumns({"__rn": F.row_number().over(inside), "__plain": last("plain"), "__sd": last("sd"), **{f"__now{k}": F.lag("__now", k).over(inside) for k in range(1, recent + 1)}})
+    rows = rows.join(carried, solid)
+    back = {k: F.coalesce(F.col(f"__now{k}"), F.get("__held", F.lit(k) - F.col("__rn"))) for k in range(1, recent + 1)}
+    rows = rows.withColumns({f"__now{k}": back[k] for k in back} | {c: F.coalesce(c, f"{c}_held")["v"] for c in ("__plain", "__sd")})
+    one = F.col("__now1")
+    equal = sum((F.coalesce((F.col(f"__now{k}")["si"] == si).cast("int"), F.lit(0)) for k in back), F.lit(0))
+    out = rows.withColumns({
+        "f01_ip_time_interval": gap(F.col("timestamp"), one["timestamp"]),
         "f08_someip_payload_changes": F.when(~sd, bit_distance(F.col("__plain"), si)).otherwise(F.lit(0.0)),
         "f09_someipsd_payload_changes": F.when(sd, bit_distance(F.col("__sd"), si)).otherwise(F.lit(0.0)),
-        "f10_tcpudp_payload_changes": bit_distance(F.col("__tu"), tu),
-        "f11_ip_length_changes": gap(F.col("ip_len"), F.col("__ip")),
-        "f12_tcpudp_length_changes": gap(F.col("transport_len"), F.col("__tl")),
-        "f13_payload_repeat_rate": F.when(si.isNull(), F.lit(0.0)).otherwise(ratio(equal, F.least(F.lit(recent), F.col("__rn") - 1))),
+        "f10_tcpudp_payload_changes": bit_distance(one["tu"], tu),
+        "f11_ip_length_changes": gap(F.col("ip_len"), one["ip_len"]),
+        "f12_tcpudp_length_changes": gap(F.col("transport_len"), one["transport_len"]),
+        "f13_payload_repeat_rate": F.when(si.isNull(), F.lit(0.0)).otherwise(ratio(equal, F.least(F.lit(recent), F.col("__rn") - 1 + F.size("__held")))),
     })
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
@@ -61,29 +76,29 @@ def flow_features(packets: DataFrame, recent: int = RECENT) -> DataFrame:
 def duplicate_source(packets: DataFrame) -> DataFrame:
     """packets with f14: 1 when the payload was last seen, in any capture, from another source.
 
-    A payload's packets are handled in slices of time, and packets without payload are left out of it.
+    A payload's packets are handled in slices of time; a packet without payload is a group of its own.
     """
-    marked = _sliced(packets.withColumn("__si", payload("someip_payload_hex")))
-    some = previous(marked.where("__si IS NOT NULL"), ["__si"], SLICE, ORDER, "src_ip", "__before")
-    f14 = F.when(F.col("__before") != F.col("src_ip"), F.lit(1.0)).otherwise(F.lit(0.0))
-    none = marked.where("__si IS NULL").withColumn("f14_duplicate_source", F.lit(0.0))
-    return some.withColumn("f14_duplicate_source", f14).drop("__before").unionByName(none).drop("__si", "__slice")
+    si = payload("someip_payload_hex")
+    marked = _sliced(packets).withColumn("__si", F.coalesce(si, F.concat(F.lit("-"), F.col("frame_no").cast("string"))))
+    some = neighbour(marked, ["__si"], SLICE, ORDER, "src_ip", "__before")
+    f14 = F.when(si.isNotNull() & (F.col("__before") != F.col("src_ip")), F.lit(1.0)).otherwise(F.lit(0.0))
+    return some.withColumn("f14_duplicate_source", f14).drop("__before", "__si", "__slice")
 
 
 def source_rate(packets: DataFrame, window: int = SOURCE_WINDOW) -> DataFrame:
     """packets with f17: packets a second over the source's last `window` packets; the number of packets where no time passed.
 
     Packets are numbered per source in slices of time, and each meets the first of its window by an equi-join on the
-    number, so a source of any size is spread over many tasks.
+    number, so a source of any size is spread over many tasks. The numbered packets are stored, as both sides read them.
     """
-    rows = numbered(_sliced(packets), ["src_ip"], SLICE, ORDER, "__n")
-    begin = rows.select(F.col("src_ip").alias("__src"), (F.col("__n") + (window - 1)).alias("__at"), F.col("timestamp").alias("__from"))
-    first = rows.where("__n = 1").select(F.col("src_ip").alias("__one"), F.col("timestamp").alias("__start"))
-    joined = rows.join(begin, (F.col("src_ip") == F.col("__src")) & (F.col("__n") == F.col("__at")), "left").join(first, F.col("src_ip") == F.col("__one"), "left")
+    rows = stored(numbered(_sliced(packets), ["src_ip"], SLICE, ORDER, "__n"), "numbered")
+    begin = rows.select(F.col("src_ip").alias("__src"), F.col("__n").alias("__at"), F.col("timestamp").alias("__from"))
+    at = F.greatest(F.col("__n") - (window - 1), F.lit(1))
+    joined = rows.join(begin, (F.col("src_ip") == F.col("__src")) & (at == F.col("__at")), "left")
     count = F.least(F.col("__n"), F.lit(window)).cast("double")
-    passed = F.col("timestamp") - F.when(F.col("__n") < window, F.col("__start")).otherwise(F.col("__from"))
+    passed = F.col("timestamp") - F.col("__from")
     f17 = F.when(count < 2, F.lit(0.0)).when(passed > 0, (count - 1) / passed).otherwise(count)
-    return joined.withColumn("f17_src_packet_rate", f17).drop("__n", "__slice", "__src", "__at", "__from", "__one", "__start")
+    return joined.withColumn("f17_src_packet_rate", f17).drop("__n", "__slice", "__src", "__at", "__from")
 
 
 def payload_diversity(packets: DataFrame, window: int = SOURCE_WINDOW) -> DataFrame:
@@ -94,12 +109,13 @@ def payload_diversity(packets: DataFrame, window: int = SOURCE_WINDOW) -> DataFr
     to i. Sums run in slices.
     """
     has = F.coalesce(payload("someip_payload_hex").isNotNull(), F.lit(False))
-    rows = running_sum(_sliced(packets), ["src_ip"], SLICE, ORDER, has.cast("bigint"), "__nn")
+    rows = stored(running_sum(_sliced(packets), ["src_ip"], SLICE, ORDER, has.cast("bigint"), "__nn"), "places")
     places = rows.where(has).select("src_ip", payload("someip_payload_hex").alias("__si"), "__nn")
-    following = F.lead("__nn").over(Window.partitionBy("src_ip", "__si").orderBy("__nn"))
-    places = places.withColumn("__end", F.least(F.coalesce(following, F.col("__nn") + window), F.col("__nn") + window))
+    # A flood repeats one payload, so the next place of a payload is looked for in parts of a source's places, too.
+    places = neighbour(places.withColumn("__part", F.floor(F.col("__nn") / PART)), ["src_ip", "__si"], ["__part"], ["__nn"], "__nn", "__next", before=False)
+    places = places.withColumn("__end", F.least(F.coalesce("__next", F.col("__nn") + window), F.col("__nn") + window))
     ends = places.groupBy("src_ip", F.col("__end").alias("__nn")).agg(F.count("*").alias("__gone"))
-    places = places.select("src_ip", "__nn").join(ends, ["src_ip", "__nn"], "left").withColumn("__part", F.floor(F.col("__nn") / 65536))
+    places = places.select("src_ip", "__nn").join(ends, ["src_ip", "__nn"], "left").withColumn("__part", F.floor(F.col("__nn") / PART))
     places = running_sum(places, ["src_ip"], ["__part"], ["__nn"], F.coalesce("__gone", F.lit(0)), "__ended")
     size = F.least(F.col("__nn"), F.lit(window))
     share = F.when(size > 1, (F.col("__nn") - F.col("__ended")) / size.cast("double")).otherwise(F.lit(0.0))

@@ -120,7 +120,12 @@ ORACLES = {
     "hex_guard": _sql("SELECT frame_no, k, regexp_full_match(h, '([0-9a-fA-F]{2})+') AS is_hex FROM (SELECT frame_no, k, CASE k WHEN 0 THEN body WHEN 1 THEN substr(body, 2) WHEN 2 THEN replace(body, '2', 'g') ELSE '' END AS h FROM raw, (VALUES (0), (1), (2), (3)) t(k))"),
     "sd_share": _sql("SELECT pcap_file, sum(is_sd::INT)::BIGINT AS n_sd, count(*) AS n, sum(is_sd::INT) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),
     "label_join": _sql("SELECT pcap_file, frame_no, label, attack_type FROM pk"),
-    "capture_summary": _sql("SELECT pcap_file, count(*) AS written, sum(label)::BIGINT AS attacks, sum(label) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),
+    "capture_counts": _sql("SELECT pcap_file, count(*) + count(*) FILTER (frame_no % 7 = 0) AS read, count(*) AS written, count(*) FILTER (frame_no % 7 = 0) AS dropped, sum(label)::BIGINT AS attacks, sum(label) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),
+    "pcap_scan": _sql(f"""SELECT pk.pcap_file, row_number() OVER c + coalesce(sum((pk.frame_no % 7 = 0)::INT) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame_no, round(pk.timestamp, 6) AS timestamp, pk.src_ip, pk.dst_ip,
+  CASE pk.transport WHEN 'UDP' THEN 17 ELSE 6 END AS ip_proto, 64 AS ip_ttl, ip_len, pk.transport, pk.src_port, pk.dst_port, transport_len, pk.someip_valid, nullif(transport_payload_hex, '') AS transport_payload_hex, someip_payload_hex, label, attack_type,
+  {', '.join(f"CASE WHEN pk.someip_valid THEN {_hex('raw_hex', a, n)}{'::INT' if n < 4 else ''} ELSE -1 END AS {c}" for c, a, n in _HEADER if c in ('service_id', 'method_id', 'someip_len', 'session_id', 'msg_type', 'return_code'))},
+  coalesce(someip_payload_len, -1) AS someip_payload_len, CASE pk.transport WHEN 'TCP' THEN 24 ELSE -1 END AS tcp_flags, is_sd FROM pk JOIN v ON pk.frame_no = v.frame_no WINDOW c AS (PARTITION BY pk.pcap_file ORDER BY pk.frame_no)"""),
+    "capture_summary": _sql("SELECT pcap_file, count(*) AS read, count(*) AS written, 0::BIGINT AS dropped, sum(label)::BIGINT AS attacks, sum(label) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),
     "class_balance": _sql("SELECT label, count(*) AS n, count(*) / (sum(count(*)) OVER ())::DOUBLE AS share FROM pk GROUP BY label"),
     "class_index": _sql("SELECT frame_no, CASE attack_type WHEN 'dos' THEN 1 WHEN 'fuzzy' THEN 2 WHEN 'mitm' THEN 3 ELSE 0 END AS class_id FROM pk"),
     "attack_types": _sql("SELECT DISTINCT attack_type FROM pk ORDER BY 1"),
@@ -138,6 +143,9 @@ ORACLES = {
     "f10": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[9:10])} FROM flow", "fl", "flow"),
     "f11_f12": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[10:12])} FROM flow", "fl", "flow"),
     "f13": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[12:13])} FROM flow", "fl", "flow"),
+    "stream_features": _sql(f"SELECT pcap_file, frame_no, {_R6([FEATURES[0], *FEATURES[7:13]])} FROM flow", "fl", "flow"),
+    "stream_payloads": _sql("SELECT * FROM dup", "dup"),
+    "stream_sources": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[16:])} FROM rate JOIN div USING (pcap_file, frame_no)", "rate", "div"),
     "f14": _sql("SELECT * FROM dup", "dup"),
     "f15_f16": _sql("SELECT * FROM len", "len"),
     "f17": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[16:17])} FROM rate", "rate"),

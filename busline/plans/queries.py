@@ -1,4 +1,4 @@
-"""The queries of the packet engine for the driver; each has SQL in busline.plans.oracle, except trained models, captures and streams."""
+"""The queries of the packet engine for the driver; each has SQL in busline.plans.oracle, except trained models."""
 
 from __future__ import annotations
 
@@ -150,8 +150,12 @@ def _flow(names):
     return lambda spark, d: _features(windows.flow_features(_all(spark, d)), names)
 
 
+def _narrow(spark, d, *columns):
+    return _all(spark, d).select(*KEY, "timestamp", "src_ip", *columns)
+
+
 def f14(spark, d):
-    return windows.duplicate_source(_all(spark, d)).select(*KEY, FEATURES[13])
+    return windows.duplicate_source(_narrow(spark, d, "someip_payload_hex")).select(*KEY, FEATURES[13])
 
 
 def f15_f16(spark, d):
@@ -159,11 +163,11 @@ def f15_f16(spark, d):
 
 
 def f17(spark, d):
-    return _features(windows.source_rate(_all(spark, d)), FEATURES[16:17])
+    return _features(windows.source_rate(_narrow(spark, d)), FEATURES[16:17])
 
 
 def f18(spark, d):
-    return _features(windows.payload_diversity(_all(spark, d)), FEATURES[17:])
+    return _features(windows.payload_diversity(_narrow(spark, d, "someip_payload_hex")), FEATURES[17:])
 
 
 def features_all(spark, d):
@@ -228,7 +232,7 @@ def multi_metrics(spark, d):
 
 def topk_sources(spark, d):
     """The ten packets of highest source rate; the limit is the feature."""
-    rows = windows.source_rate(_all(spark, d))
+    rows = windows.source_rate(_narrow(spark, d, "label", "attack_type"))
     rows = rows.select(*KEY, "src_ip", "label", "attack_type", F.round(FEATURES[16], 6).alias(FEATURES[16]))
     return rows.orderBy(F.desc(FEATURES[16]), *KEY).limit(10)
 
@@ -253,15 +257,47 @@ def importances(spark, d):
     return models.importances(models.fit_binary(_scaled(spark, d).where("is_train")))
 
 
-def pcap_scan(spark, d):
-    """Captures decoded to the packet table; each is written from its events in pieces, and frame numbers run on from piece to piece."""
+def _captured(spark, d):
+    """Captures, in pieces, of the packets with a frame of another protocol after each seventh."""
     rows = sources.packets_raw(spark, d).select("src_ip", "dst_ip", "src_port", "dst_port", "transport", "raw_hex", "timestamp", "frame_no", "cap_id")
-    return pcap.decode_captures(pcap.written_captures(rows))
+    return pcap.written_captures(rows, other=7)
+
+
+def pcap_scan(spark, d):
+    """Captures decoded to the packet table; frame numbers run on from piece to piece, and -1 stands for no value."""
+    rows = pcap.decode_captures(_captured(spark, d))
+    absent = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("service_id", "method_id", "someip_len", "session_id", "msg_type", "return_code", "someip_payload_len", "tcp_flags")]
+    shown = ["pcap_file", "frame_no", F.round("timestamp", 6).alias("timestamp"), "src_ip", "dst_ip", "ip_proto", "ip_ttl", "ip_len", "transport", "src_port", "dst_port", "transport_len", "someip_valid", "transport_payload_hex", "someip_payload_hex", "label", "attack_type"]
+    return rows.select(*shown, *absent, F.coalesce("is_sd", F.lit(False)).alias("is_sd"))
+
+
+def capture_counts(spark, d):
+    """Frames read, written and dropped of each capture."""
+    return metrics.capture_summary(pcap.decode_captures(_captured(spark, d), dropped=True))
+
+
+def _streamed(spark, d, stream, names):
+    """Features that a stream in three micro-batches makes; packets that the stream leaves out have 0."""
+    rows = _all(spark, d)
+    made = flows.run_available(rows, stream, least_batches=3)
+    short = {n[:3]: n for n in names}
+    made = made.select(*KEY, *[F.round(c, 6).alias(short[c]) for c in made.columns if c in short])
+    return rows.select(*KEY).join(made, KEY, "left").fillna(0.0, names)
 
 
 def stream_features(spark, d):
     """Flow features of the packets read as a stream, with state kept by flow."""
-    return flows.run_available(_all(spark, d), flows.flow_stream)
+    return _streamed(spark, d, flows.flow_stream, [FEATURES[0], *FEATURES[7:13]])
+
+
+def stream_payloads(spark, d):
+    """f14 of the packets read as a stream, with state kept by payload."""
+    return _streamed(spark, d, flows.payload_stream, [FEATURES[13]])
+
+
+def stream_sources(spark, d):
+    """f17 and f18 of the packets read as a stream, with state kept by source."""
+    return _streamed(spark, d, flows.source_stream, FEATURES[16:18])
 
 
 QUERIES = {
@@ -273,7 +309,7 @@ QUERIES = {
     "f01": _flow(FEATURES[:1]), "f08_f09": _flow(FEATURES[7:9]), "f10": _flow(FEATURES[9:10]), "f11_f12": _flow(FEATURES[10:12]), "f13": _flow(FEATURES[12:13]),
     "f14": f14, "f15_f16": f15_f16, "f17": f17, "f18": f18, "features_all": features_all, "split": split, "minmax_stats": minmax_stats, "minmax_scaled": minmax_scaled,
     "confusion": confusion, "binary_metrics": binary_metrics, "auc": auc, "roc_curve": roc_curve, "recall_by_type": recall_by_type, "multi_metrics": multi_metrics,
-    "topk_sources": topk_sources, "gbt_predictions": gbt_predictions, "ovr_predictions": ovr_predictions, "importances": importances, "pcap_scan": pcap_scan,
-    "stream_features": stream_features,
+    "topk_sources": topk_sources, "gbt_predictions": gbt_predictions, "ovr_predictions": ovr_predictions, "importances": importances, "pcap_scan": pcap_scan, "capture_counts": capture_counts,
+    "stream_features": stream_features, "stream_payloads": stream_payloads, "stream_sources": stream_sources,
 }
 __all__ = ["ORACLES", "QUERIES"]

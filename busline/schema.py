@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: The packet table, in order; frame_no is the position in the capture.
-_TYPES = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType()}
-PACKET_COLUMNS = (
-    "timestamp:d src_ip:s dst_ip:s ip_proto:i ip_ttl:i ip_len:i ip_id:i ip_flags:i transport:s src_port:i dst_port:i transport_len:i "
-    "tcp_seq:l tcp_ack:l tcp_flags:i someip_valid:b service_id:i method_id:i someip_len:l client_id:i session_id:i proto_ver:i iface_ver:i "
-    "msg_type:i msg_type_name:s return_code:i is_sd:b transport_payload_hex:s someip_payload_hex:s someip_payload_len:i label:i attack_type:s pcap_file:s frame_no:l"
-)
-PACKETS = T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split(":") for c in PACKET_COLUMNS.split())])
-
 #: The directed flow of a packet, the order of packets, and the row key.
 FLOW = ["pcap_file", "src_ip", "dst_ip", "src_port", "dst_port", "transport"]
 ORDER = ["pcap_file", "timestamp", "frame_no"]
 KEY = ["pcap_file", "frame_no"]
 
-# Names of the features in order, captures with their class and attackers, message types, classes.
+# Columns of the packet table in order (frame_no, the position in the capture, is this engine's own), names of the
+# features in order, captures with their class and attackers, message types, classes.
+PACKETS = T.StructType([
+    T.StructField("timestamp", T.DoubleType()),
+    T.StructField("src_ip", T.StringType()),
+    T.StructField("dst_ip", T.StringType()),
+    T.StructField("ip_proto", T.IntegerType()),
+    T.StructField("ip_ttl", T.IntegerType()),
+    T.StructField("ip_len", T.IntegerType()),
+    T.StructField("ip_id", T.IntegerType()),
+    T.StructField("ip_flags", T.IntegerType()),
+    T.StructField("transport", T.StringType()),
+    T.StructField("src_port", T.IntegerType()),
+    T.StructField("dst_port", T.IntegerType()),
+    T.StructField("transport_len", T.IntegerType()),
+    T.StructField("tcp_seq", T.LongType()),
+    T.StructField("tcp_ack", T.LongType()),
+    T.StructField("tcp_flags", T.IntegerType()),
+    T.StructField("someip_valid", T.BooleanType()),
+    T.StructField("service_id", T.IntegerType()),
+    T.StructField("method_id", T.IntegerType()),
+    T.StructField("someip_len", T.LongType()),
+    T.StructField("client_id", T.IntegerType()),
+    T.StructField("session_id", T.IntegerType()),
+    T.StructField("proto_ver", T.IntegerType()),
+    T.StructField("iface_ver", T.IntegerType()),
+    T.StructField("msg_type", T.IntegerType()),
+    T.StructField("msg_type_name", T.StringType()),
+    T.StructField("return_code", T.IntegerType()),
+    T.StructField("is_sd", T.BooleanType()),
+    T.StructField("transport_payload_hex", T.StringType()),
+    T.StructField("someip_payload_hex", T.StringType()),
+    T.StructField("someip_payload_len", T.IntegerType()),
+    T.StructField("label", T.IntegerType()),
+    T.StructField("attack_type", T.StringType()),
+    T.StructField("pcap_file", T.StringType()),
+    T.StructField("frame_no", T.LongType()),
+])
 FEATURES = [
     "f01_ip_time_interval", "f02_someip_likelihood", "f03_someipsd_likelihood", "f04_tcpudp_likelihood", "f05_someip_entropy", "f06_someipsd_entropy",
     "f07_tcpudp_entropy", "f08_someip_payload_changes", "f09_someipsd_payload_changes", "f10_tcpudp_payload_changes", "f11_ip_length_changes",

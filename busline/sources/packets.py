@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from busline.schema import CAPTURES, FLOW, PACKETS, VALID_MESSAGE_TYPES
 
@@ -72,15 +73,28 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(v.drop("cap_id", "attack_type"))
 
 
+def _read_as(name: str, kind: T.DataType) -> Column:
+    """A text column as kind: numbers also where they stand with a fraction, true for "true" and "1" in any case, null where nothing can be read."""
+    text = F.nullif(F.trim(F.col(name)), F.lit(""))
+    if isinstance(kind, T.StringType):
+        return F.nullif(F.col(name), F.lit("")).alias(name)
+    if isinstance(kind, T.BooleanType):
+        return F.lower(text).isin("true", "1", "1.0").alias(name)
+    number = text.try_cast("double")
+    return (number if isinstance(kind, T.DoubleType) else F.coalesce(text.try_cast("bigint"), number.try_cast("bigint")).try_cast(kind)).alias(name)
+
+
 def read_packets(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """A packet table with the fixed schema; CSV as written by write_packets() or by hand, empty text being null."""
-    reader = spark.read.schema(PACKETS)
-    return reader.option("header", True).csv(path) if kind == "csv" else reader.parquet(path)
+    if kind != "csv":
+        return spark.read.schema(PACKETS).parquet(path)
+    # Without a schema all is text and columns go by the names in the header, in whatever order they stand.
+    return spark.read.option("header", True).csv(path).select(*[_read_as(f.name, f.dataType) for f in PACKETS])
 
 
 def write_packets(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "ignore") -> None:
     """Write packets by capture; mode "ignore" leaves a finished table alone, and Spark's commit leaves no half table."""
     if kind == "csv":
-        rows.write.mode(mode).option("header", True).csv(path)
+        rows.select(*[f.name for f in PACKETS]).write.mode(mode).option("header", True).csv(path)
     else:
         rows.repartition(*FLOW).write.mode(mode).partitionBy("pcap_file").parquet(path)

@@ -1,14 +1,15 @@
 """Packet captures as a Spark source: decoding in Python, message headers as columns.
 
 Two ways in. scan_captures() reads files through Spark's binaryFile source, so from any store that Spark reaches, one
-whole file in a task. The Python data source "pcap" streams files record by record from paths that executors can open,
-for captures larger than memory.
+whole file in a task. stream_captures() reads spans of files at paths that executors can open, for captures larger than
+memory; the Python data source "pcap" gives the frames of such files one by one.
 """
 
 from __future__ import annotations
 
 import glob
 import io
+import itertools
 import os
 import struct
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from busline.functions.columns import header_fields, is_discovery, is_valid_message, kept_hex, message_type_name
 from busline.schema import CAPTURES, HEADER_BYTES, PACKETS
 from busline.sources.packets import labelled
+from busline.sources.store import stored
 
 #: Magic numbers as they stand in a file -> byte order and fractions of a second.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
@@ -40,15 +42,24 @@ FRAMES = T.StructType([
 ])
 
 
-def records(stream: BinaryIO) -> Iterator[tuple[float, bytes]]:
-    """(seconds, frame) of each record of a capture; ValueError where the file is no capture or is cut off."""
+def opened(stream: BinaryIO) -> tuple[str, float]:
+    """Byte order and fractions of a second of a capture, whose file header is read."""
     head = stream.read(24)
     if len(head) < 24 or head[:4] not in MAGIC:
         raise ValueError("not a capture file")
     order, fraction = MAGIC[head[:4]]
     if struct.unpack_from(order + "I", head, 20)[0] & 0x0FFFFFFF != ETHERNET:
         raise ValueError("not an Ethernet capture")
-    while record := stream.read(16):
+    return order, fraction
+
+
+def records(stream: BinaryIO, kind: tuple[str, float] | None = None, end: int | None = None) -> Iterator[tuple[float, bytes]]:
+    """(seconds, frame) of each record of a capture; ValueError where the file is no capture or is cut off.
+
+    With kind, as opened() gives it, the stream stands at a record already; records are read up to byte `end`.
+    """
+    order, fraction = kind or opened(stream)
+    while (end is None or stream.tell() < end) and (record := stream.read(16)):
         if len(record) < 16:
             raise ValueError("record header cut off")
         sec, sub, size, _ = struct.unpack(order + "IIII", record)
@@ -84,17 +95,31 @@ def decode(frame: bytes) -> tuple | None:
     return None
 
 
-def frames(stream: BinaryIO, name: str, strict: bool = False, first: int = 1) -> Iterator[tuple]:
-    """Rows of FRAMES, numbered from first; frames of other protocols are left out but counted. A broken file ends there, or raises if strict."""
+#: What a frame of another protocol has in FRAMES, besides its place and time.
+_NOTHING = (None,) * (len(FRAMES) - 3)
+
+
+def rows_of(found: Iterator[tuple[float, bytes]], name: str, strict: bool = False, first: int = 1) -> Iterator[tuple]:
+    """Rows of FRAMES, numbered from first; frames of other protocols have no transport. A broken file ends there, or raises if strict."""
     try:
-        for n, (when, frame) in enumerate(records(stream), first):
-            if (fields := decode(frame)) is not None:
-                yield name, n, when, *fields
+        for n, (when, frame) in enumerate(found, first):
+            yield name, n, when, *(decode(frame) or _NOTHING)
     except ValueError:
         if strict:
             raise
 
 
+def frames(stream: BinaryIO, name: str, strict: bool = False, first: int = 1) -> Iterator[tuple]:
+    """rows_of() the records of a capture file."""
+    return rows_of(records(stream), name, strict, first)
+
+
+def in_batches(rows: Iterator[tuple], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(FRAMES)
+    for held in itertools.batched(rows, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def to_packets(rows: DataFrame) -> DataFrame:
     """The packet table from FRAMES: message header, hex of the first bytes, label and class, as built-in expressions."""
     raw = F.col("payload")
@@ -108,29 +133,50 @@ def to_packets(rows: DataFrame) -> DataFrame:
     return labelled(rows).select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
 
 
-def decode_captures(files: DataFrame, strict: bool = False) -> DataFrame:
-    """The packet table from rows (pcap_file, content), or (pcap_file, content, first_frame) where a capture stands in pieces."""
+def decode_captures(files: DataFrame, strict: bool = False, dropped: bool = False) -> DataFrame:
+    """The packet table from rows (pcap_file, content), or (pcap_file, content, first_frame) where a capture stands in pieces.
+
+    Frames of other protocols are left out; with `dropped` they stay, as rows without transport, to be counted.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(FRAMES)
         for batch in batches:
             for name, content, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                held: list[tuple] = []
-                for row in frames(io.BytesIO(content.as_py()), name, strict, first):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                yield from in_batches(frames(io.BytesIO(content.as_py()), name, strict, first))
 
     first = F.col("first_frame") if "first_frame" in files.columns else F.lit(1).cast("bigint")
-    return to_packets(files.select("pcap_file", "content", first.alias("first_frame")).mapInArrow(run, FRAMES))
+    found = files.select("pcap_file", "content", first.alias("first_frame")).mapInArrow(run, FRAMES)
+    return to_packets(found if dropped else found.where("transport IS NOT NULL"))
 
 
-def scan_captures(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def scan_captures(spark: SparkSession, path: str, strict: bool = False, dropped: bool = False) -> DataFrame:
     """The packet table of all *.pcap files under path, labelled by file name; files of unknown name are left out by the labels."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
-    return decode_captures(files.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("pcap_file"), "content"), strict)
+    return decode_captures(files.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("pcap_file"), "content"), strict, dropped)
+
+
+def record_spans(stream: BinaryIO, size: int, strict: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(first byte, end, first frame number) of spans of whole records of about `size` bytes, from record headers alone."""
+    try:
+        order, _ = opened(stream)
+        begin = at = 24
+        first = number = 1
+        while len(record := stream.read(16)) == 16:
+            to = at + 16 + struct.unpack_from(order + "I", record, 8)[0]
+            stream.seek(to - 1)
+            if not stream.read(1) and to > at + 16:
+                record = b"cut"
+                break
+            at, number = to, number + 1
+            if at - begin >= size:
+                yield begin, at, first
+                begin, first = at, number
+        if at > begin:
+            yield begin, at, first
+        if record:
+            raise ValueError("record cut off")
+    except ValueError:
+        if strict:
+            raise
 
 
 class PcapPartition(InputPartition):
@@ -166,10 +212,31 @@ class PcapSource(DataSource):
         return PcapReader(self.options)
 
 
-def stream_captures(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """The packet table through the "pcap" data source."""
-    spark.dataSource.register(PcapSource)
-    return to_packets(spark.read.format("pcap").option("mode", "FAILFAST" if strict else "PERMISSIVE").load(path))
+def stream_captures(spark: SparkSession, path: str, strict: bool = False, dropped: bool = False, span_bytes: int = 64 << 20) -> DataFrame:
+    """The packet table of captures of any size at a path that executors can open.
+
+    One task a file walks its record headers and lists spans of whole records; then one task a span decodes.
+    """
+    names = sorted(glob.glob(f"{glob.escape(path)}/*.pcap")) if os.path.isdir(path) else [path]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name in pdf["path"]:
+                with open(name, "rb", buffering=1 << 20) as stream:
+                    yield pd.DataFrame([(name, *x) for x in record_spans(stream, span_bytes, strict)], columns=["path", "begin", "end", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, begin, end, first in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(name, "rb", buffering=1 << 20) as stream:
+                    kind = opened(stream)
+                    stream.seek(begin)
+                    yield from in_batches(rows_of(records(stream, kind, end), os.path.basename(name), strict, first))
+
+    files = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)), "path")
+    spans = stored(files.mapInPandas(walk, "path string, begin bigint, end bigint, first bigint"), "spans")
+    found = spans.repartition(max(1, spans.count())).mapInArrow(run, FRAMES)
+    return to_packets(found if dropped else found.where("transport IS NOT NULL"))
 
 
 def capture_bytes(packets: list[tuple[float, bytes]], magic: bytes = b"\xd4\xc3\xb2\xa1") -> bytes:
@@ -192,20 +259,25 @@ def ethernet_frame(src: str, dst: str, sport: int, dport: int, transport: str, p
     return b"\x02\0\0\0\0\x01\x02\0\0\0\0\x02\x08\x00" + ip + segment
 
 
-def written_captures(rows: DataFrame, piece: int = 20_000) -> DataFrame:
+def written_captures(rows: DataFrame, piece: int = 20_000, other: int = 0) -> DataFrame:
     """(pcap_file, content, first_frame): packets (as of packets_raw) written as capture files of frames up to `piece` numbers apart.
 
-    A piece's first frame number is one more than the packets of its capture in earlier pieces, so that numbers don't repeat.
+    A piece's first frame number is one more than the frames of its capture in earlier pieces, so that numbers don't repeat. After
+    each packet whose number `other` divides stands a frame of another protocol.
     """
     names = [name for name, _, _ in CAPTURES]
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        made = [(r.timestamp, ethernet_frame(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.transport, bytes.fromhex(r.raw_hex or ""))) for r in pdf.itertuples()]
+        made: list[tuple[float, bytes]] = []
+        for r in pdf.sort_values("frame_no").itertuples():
+            made.append((r.timestamp, ethernet_frame(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.transport, bytes.fromhex(r.raw_hex or ""))))
+            if other and r.frame_no % other == 0:
+                made.append((r.timestamp, made[-1][1][:12] + b"\x08\x06" + bytes(28)))
         return pd.DataFrame({"pcap_file": [names[int(pdf["cap_id"].iloc[0])]], "content": [capture_bytes(made)], "first_frame": [int(pdf["__first"].iloc[0])]})
 
     rows = rows.withColumn("__piece", F.floor(F.col("frame_no") / piece))
-    sizes = rows.groupBy("cap_id", "__piece").agg(F.count("*").alias("__n"))  # a row a piece
+    more = F.when(F.col("frame_no") % other == 0, 2).otherwise(1) if other else F.lit(1)
+    sizes = rows.groupBy("cap_id", "__piece").agg(F.sum(more).alias("__n"))  # a row a piece
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("cap_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = sizes.select("cap_id", "__piece", (before + 1).alias("__first"))
     return rows.join(firsts, ["cap_id", "__piece"]).groupBy("cap_id", "__piece").applyInPandas(write, "pcap_file string, content binary, first_frame bigint")

@@ -39,10 +39,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of path, and its path there."""
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def make(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.mkdirs(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a folder; whether there was one."""
+    files, at = _path(spark, path)
+    return files.exists(at) and files.rename(at, _path(spark, to)[1])
 
 
 @contextmanager

@@ -8,16 +8,18 @@ running, since state by processing time asks for batches without data, which an
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from busline.operators.windows import RECENT, SOURCE_WINDOW
-from busline.schema import FLOW, KEY
-from busline.sources.store import new_folder
+from busline.schema import FLOW, KEY, ORDER
+from busline.sources.store import exists, make, move, new_folder, stored
 
 _STATE = StructType([StructField("held", StringType())])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -106,10 +108,15 @@ class SourceState(_Keyed):
         return rate, len(set(held["payloads"])) / m if m > 1 else 0.0
 
 
+#: What the states read of a packet, besides their keys.
+_READ = [*KEY, "timestamp", "is_sd", "ip_len", "transport_len", "transport_payload_hex", "someip_payload_hex", "src_ip"]
+
+
 def _stream(packets: DataFrame, keys: list[str], processor: type[_Keyed], ttl_ms: int | None) -> DataFrame:
     schema = ", ".join(["pcap_file string", "frame_no bigint", *(f"{n} double" for n in processor.names)])
     mode = "ProcessingTime" if ttl_ms else "None"
-    return packets.groupBy(*keys).transformWithStateInPandas(processor(ttl_ms), outputStructType=schema, outputMode="Append", timeMode=mode)
+    read = packets.select(*dict.fromkeys([*keys, *_READ]))
+    return read.groupBy(*keys).transformWithStateInPandas(processor(ttl_ms), outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
 def flow_stream(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
@@ -125,16 +132,28 @@ def source_stream(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return _stream(packets, ["src_ip"], SourceState, ttl_ms)
 
 
-def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame], micro_batches: int = 1) -> DataFrame:
-    """Write packets as files, read them as a stream of `micro_batches`, and return what the stream has written.
+def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame], batch_rows: int = 1_000_000, least_batches: int = 1) -> DataFrame:
+    """Hand packets to a stream in micro-batches and return what the stream has written.
 
-    Files and the stream's checkpoint are in the shared folder that spark.checkpoint.dir names.
+    Packets are cut in order into batches of about batch_rows, least_batches at least. A batch, however many files it has, is moved
+    into the stream's folder when the one before has been processed, so that batches arrive in order; state goes on from
+    batch to batch through the stream's checkpoint. batch_rows bounds what a key can hold in memory at once. All files are
+    in the shared folder that spark.checkpoint.dir names.
     """
     spark = packets.sparkSession
-    at = new_folder(spark, "stream")
-    packets.repartitionByRange(micro_batches, "pcap_file", "timestamp", "frame_no").sortWithinPartitions("pcap_file", "timestamp", "frame_no").write.parquet(f"{at}/in")
+    at, kept = new_folder(spark, "stream"), stored(packets, "packets")
+    batches = max(least_batches, math.ceil(kept.count() / batch_rows))
+    # Cut into more pieces than batches; a piece's number is its place in the order.
+    pieces = batches * max(1, spark.sparkContext.defaultParallelism // batches)
+    cut = kept.repartitionByRange(pieces, *ORDER).withColumn("batch", F.floor(F.spark_partition_id() * F.lit(batches) / F.lit(pieces)).cast("int"))
+    cut.write.partitionBy("batch").parquet(f"{at}/all")
+    schema = StructType([*packets.schema.fields, StructField("batch", IntegerType())])
+    make(spark, f"{at}/in")
+    made = features(spark.readStream.schema(schema).parquet(f"{at}/in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    read = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = features(read).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    for k in range(batches):
+        if not move(spark, f"{at}/all/batch={k}", f"{at}/in/batch={k}"):
+            continue  # no packet
+        query = made.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/out") if exists(spark, f"{at}/out") else spark.createDataFrame([], made.schema)

@@ -1,6 +1,7 @@
 """Packet engine against literal cases, a sequential pass and DuckDB."""
 
 import collections
+import math
 import random
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from busline.functions.columns import bit_distance, is_hex, message_type_name
-from busline.operators import metrics, prepare, windows
+from busline.operators import bytemodel, metrics, prepare, windows
 from busline.plans import queries as q
 from busline.sources import pcap
 from busline.streaming import flows
@@ -50,7 +51,10 @@ def test_literal_windows(spark):
     assert by_frame(windows.payload_diversity(four), "f18_src_payload_diversity") == [0.0, 0.0, 1.0, round(2 / 3, 9)]
 
 
-def test_sequential_pass(spark):
+@pytest.mark.parametrize("seconds", [3600, 60])
+def test_sequential_pass(spark, monkeypatch, seconds):
+    monkeypatch.setattr(windows, "SLICE_SECONDS", seconds)  # one slice holds most of a flow, or hardly a packet
+    monkeypatch.setattr(windows, "PART", 16)
     rnd, window = random.Random(3), 7
     rows = [(rnd.choice("ab"), n, rnd.randrange(0, 9000, 50), rnd.choice("xyz"), rnd.choice([None, "", "aa", "bb", "ccdd", "0f"]), rnd.random() < 0.3) for n in range(400)]
     df = packets(spark, rows)
@@ -114,16 +118,58 @@ def test_captures(spark, tmp_path, magic):
         pcap.scan_captures(spark, str(tmp_path), strict=True).collect()
 
 
-def test_stream_equals_batch(spark):
-    made = q.stream_features(spark, SF)
-    batch = windows.flow_features(q._all(spark, SF))
-    joined = made.join(batch, ["pcap_file", "frame_no"])
-    assert joined.count() == batch.count()
-    pairs = zip(flows.FlowState.names, [c for c in batch.columns if c[:3] in flows.FlowState.names])
-    assert joined.where(" OR ".join(f"abs({a} - {b}) > 1e-9" for a, b in pairs)).count() == 0
-
-
-@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "auc", "roc_curve", "multi_metrics", "topk_sources"])
+@pytest.mark.parametrize("batches", [1, 4])
+def test_streams_equal_batch(spark, batches):
+    """State carried over micro-batches, each of several files, against the windows."""
+    rows = q._all(spark, SF)
+    want = windows.payload_diversity(windows.source_rate(windows.duplicate_source(windows.flow_features(rows)))).collect()
+    names = {c[:3]: c for c in want[0].asDict()}
+    want = {(r.pcap_file, r.frame_no): r for r in want}
+    for stream, processor in ((flows.flow_stream, flows.FlowState), (flows.payload_stream, flows.PayloadState), (flows.source_stream, flows.SourceState)):
+        made = flows.run_available(rows, stream, batch_rows=-(-len(want) // batches)).collect()
+        assert len(made) == len({(r.pcap_file, r.frame_no) for r in made}) and (processor is flows.PayloadState or len(made) == len(want))
+        for r in made:
+            for name in processor.names:
+                assert r[name] == pytest.approx(want[r.pcap_file, r.frame_no][names[name]], abs=1e-9)
+    assert flows.run_available(rows.limit(0), flows.flow_stream).count() == 0
+
+
+def test_long_payloads(spark):
+    """Beyond 64 and beyond 256 bytes, by hand."""
+    rnd = random.Random(4)
+    texts = [rnd.randbytes(n).hex() for n in (1, 64, 65, 100, 255, 256, 257, 300)] + ["", None, "abc", "zz" * 80]
+    rows = spark.createDataFrame([("a", i, float(i), t, t, False, 0, "normal") for i, t in enumerate(texts)], "pcap_file string, frame_no bigint, timestamp double, someip_payload_hex string, transport_payload_hex string, is_sd boolean, label int, attack_type string")
+    got = {r.frame_no: r for r in bytemodel.byte_features(rows).collect()}
+    counts = collections.Counter((p, b) for t in texts[:8] for p, b in enumerate(bytes.fromhex(t)))
+    reach = collections.Counter(p for t in texts[:8] for p in range(len(t) // 2))
+    for i, t in enumerate(texts):
+        raw = bytes.fromhex(t) if i < 8 else b""
+        want = sum(math.log((counts[p, b] + 1) / (reach[p] + 256) + 1e-12) for p, b in enumerate(raw[:256]))
+        assert got[i].f02_someip_likelihood == pytest.approx(want) and got[i].f05_someip_entropy == pytest.approx(-want / len(raw) if raw else 0)
+        assert got[i].f03_someipsd_likelihood == pytest.approx(min(len(raw), 256) * math.log(1 / 256 + 1e-12))
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((x, y) for x in texts for y in texts)], "i int, a string, b string")
+    for r in pairs.withColumn("d", bit_distance(F.col("a"), F.col("b"))).collect():
+        assert r.d == pytest.approx(flows.bits_apart(r.a, r.b))
+
+
+def test_pieces_of_large_captures(spark, tmp_path):
+    frames = [(float(i), pcap.ethernet_frame("172.18.0.11", "172.18.0.2", 7, i, "UDP", bytes(i % 50))) for i in range(200)]
+    whole = pcap.capture_bytes(frames)
+    (tmp_path / "dos_noti_flood.pcap").write_bytes(whole)
+    (tmp_path / "benign_traffic.pcap").write_bytes(whole[:-3])
+    (tmp_path / "mitm_single_attacker.pcap").write_bytes(b"no capture")
+    shown = ["pcap_file", "frame_no", "timestamp", "dst_port"]
+    want = sorted(map(tuple, pcap.scan_captures(spark, str(tmp_path)).select(*shown).collect()))
+    assert len(want) == 399
+    for size in (100, 1000, 1 << 30):
+        assert sorted(map(tuple, pcap.stream_captures(spark, str(tmp_path), span_bytes=size).select(*shown).collect())) == want
+    with pytest.raises(Exception, match="cut off|not a capture"):
+        pcap.stream_captures(spark, str(tmp_path), strict=True).collect()
+    spark.dataSource.register(pcap.PcapSource)
+    assert spark.read.format("pcap").load(str(tmp_path)).count() == 399
+
+
+@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "byte_scores_long", "hamming_long", "auc", "roc_curve", "multi_metrics", "topk_sources", "capture_union", "capture_counts", "pcap_scan", "stream_features", "stream_payloads", "stream_sources"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
