@@ -137,14 +137,18 @@ def _code(bits: int, least: int, digit: str, decode: Callable[[str], bytes], *fi
     return Code(bits, least, re.compile(f"{digit}+"), decode, re.compile(f"(?:{first})(?=(?:(?:{_WRAP})?+{digit}){{{more}}})"))
 
 
+_URL = str.maketrans("-_", "+/")
+
+
 def _from_base64(raw: str) -> bytes:
-    raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+    raw = raw[: len(raw) - (len(raw) % 4 == 1)].translate(_URL)
     return base64.b64decode(raw + "=" * (-len(raw) % 4))
 
 
 #: A DER key starts with byte 0x30 and a length below 0x80 or of 0x81 to 0x84, an OpenSSH key with "openssh-key".
 CODES = (
-    _code(6, 29, "[A-Za-z0-9+/]", _from_base64, ["M", "[A-I]"], list("b3Blbn")),
+    # Both alphabets of base64; five dashes are no digits but the mark that ends a key.
+    _code(6, 29, "(?:[A-Za-z0-9+/_]|-(?!----))", _from_base64, ["M", "[A-I]"], list("b3Blbn")),
     _code(4, 32, "[0-9a-fA-F]", lambda raw: bytes.fromhex(raw[: len(raw) // 2 * 2]), ["3", "0"], ["6", "[fF]", "7", "0"]),
 )
 
@@ -152,9 +156,9 @@ CODES = (
 def _taken(text: str, at: int, code: Code, size: int) -> tuple[bytes, int]:
     """The next `size` bytes from text[at], or as many as there are, and the place after their last digit."""
     left, end, parts = -(-size * 8 // code.bits), at, []
-    while left and (m := code.digits.match(text, at, at + left)):
-        parts.append(m[0])
-        left, end = left - len(m[0]), m.end()
+    while left and (m := code.digits.match(text, at, at + left + 4)):  # the last digit looks four characters ahead
+        parts.append(m[0][:left])
+        left, end = left - len(parts[-1]), at + len(parts[-1])
         if not (wrap := _WRAPS.match(text, end)):
             break
         at = wrap.end()

@@ -71,6 +71,19 @@ def test_keys_in_text(kind, key, by):
         assert not secrets.find_secrets(f"x {cut} y")[1]
 
 
+@pytest.mark.parametrize("by", ["", "\n", "\\n"])
+def test_keys_in_the_url_alphabet(by):
+    key = item(0x30, b"\x02\x01\x00", *(item(2, bytes([1]) + bytes.fromhex("fbeffe") * 20) for _ in range(8)))
+    digits = base64.urlsafe_b64encode(key).decode().rstrip("=")
+    assert "-" in digits and "_" in digits
+    body = wrapped(digits, by)
+    for before, after in (("", ""), ("x ", " y"), ("-----BEGIN KEY-----\n", "\n-----END KEY-----")):
+        assert secrets.find_secrets(before + body + after)[1] == [(len(before), "der", len(before) + len(body))]
+    for alphabet in (base64.urlsafe_b64encode, base64.b64encode):
+        short = alphabet(key).decode().rstrip("=")[:-4]
+        assert not secrets.find_secrets(f"-----BEGIN KEY-----\n{short}\n-----END KEY-----")[1]
+
+
 def test_joined_keys():
     key = base64.b64encode(SHORT["MDECAQEE"]).decode()
     text = f"MII{key}{key} {SHORT['MC4CAQAw'].hex()}{SHORT['MC4CAQAw'].hex()}"
