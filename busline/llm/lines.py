@@ -20,12 +20,13 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     An empty table gives no rows. Extra columns are kept, whatever their names, except that n_lines and n_removed are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    split = docs.select(*kept, F.split("text", "\n", -1).alias("__lines"), F.xxhash64("text").alias("__text"))
+    named, cut = docs.select(*kept, F.xxhash64("text").alias("__text")), F.split("text", "\n", -1).alias("__lines")
     size = F.size("__lines")
     run = lambda i: [F.get("__lines", i + k) for k in range(window)]
     places = (
-        split.where(size >= window)
-        .select(F.col("doc_id").alias("__doc"), "__text", "__lines", F.explode(F.sequence(F.lit(0), size - window)).alias("__at"))
+        named.select(F.col("doc_id").alias("__doc"), "__text", cut)
+        .where(size >= window)
+        .select("__doc", "__text", "__lines", F.explode(F.sequence(F.lit(0), size - window)).alias("__at"))
         .select("__doc", "__text", "__at", F.xxhash64(*run(F.col("__at"))).alias("__h"), F.hash(*run(F.col("__at"))).alias("__g"))
     )
     place = F.struct("__doc", "__text", "__at")
@@ -33,7 +34,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = places.join(first, ["__h", "__g"]).where(~place.eqNullSafe(F.col("__first")))
     covered = F.flatten(F.transform(F.collect_set("__at"), lambda s: F.sequence(s, s + (window - 1))))
     cover = later.groupBy("__doc", "__text").agg(covered.alias("__cover")).withColumnRenamed("__text", "__same")
-    joined = split.join(cover, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__same")), "left")
+    # Texts are shuffled as they are and cut into lines again where they arrive.
+    joined = named.join(cover, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__same")), "left").select("*", cut)
     left = F.array_except(F.sequence(F.lit(0), size - 1), F.col("__cover"))
     joined = joined.withColumn("__left", F.when(F.col("__cover").isNotNull(), left))
     text = F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
