@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from busline.functions.columns import is_hex
 from busline.operators.windows import payload
 from busline.schema import FEATURES, ORDER
 
@@ -39,19 +38,49 @@ def samples(packets: DataFrame, most: int = SAMPLE) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _byte(text: Column, pos: Column) -> Column:
-    return F.conv(text.substr(pos * 2 + 1, F.lit(2)), 16, 10).cast("int")
+_DIGIT = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(b"0123456789abcdef"):
+    _DIGIT[_c] = _i
+for _i, _c in enumerate(b"ABCDEF", 10):
+    _DIGIT[_c] = _i
 
 
-def exploded_bytes(rows: DataFrame, text: str = "payload") -> DataFrame:
-    """rows with pos and byte of every byte of valid hex."""
-    some = rows.where(is_hex(F.col(text)))
-    return some.withColumn("pos", F.explode(F.sequence(F.lit(0), (F.length(text) / 2 - 1).cast("int")))).withColumn("byte", _byte(F.col(text), F.col("pos")))
+def cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hex payloads the row and the cell (position times 256 plus byte) of each byte up to POSITIONS, and each row's bytes.
+
+    Null, empty and invalid text has no byte.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    digit = _DIGIT[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]]
+    offset = offset - offset[0]
+    length = np.diff(offset)
+    wrong = np.concatenate([[0], np.cumsum(digit == 255)])
+    good = (length > 0) & (length % 2 == 0) & (wrong[offset[1:]] == wrong[offset[:-1]])
+    size = np.where(good, length // 2, 0)
+    used = np.minimum(size, POSITIONS)
+    row = np.repeat(np.arange(len(size)), used)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
+    at = offset[:-1][row] + 2 * pos
+    return row, pos * 256 + (digit[at].astype(np.int64) << 4 | digit[at + 1]), size
 
 
 def byte_counts(sampled: DataFrame) -> DataFrame:
-    """model, pos, byte, n: at most 256 times 256 rows a model."""
-    return exploded_bytes(sampled).where(F.col("pos") < POSITIONS).groupBy("model", "pos", "byte").agg(F.count("*").alias("n"))
+    """model, pos, byte, n: at most 256 times 256 rows a model, summed in each task before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            model = np.array(batch.column(0).to_pylist(), object)
+            for name in set(model.tolist()):
+                _, cell, _ = cells(batch.column(1).filter(pa.array(model == name)))
+                total[name] = total.get(name, 0) + np.bincount(cell, minlength=POSITIONS * 256)
+        for name, n in total.items():
+            cell = np.flatnonzero(n)
+            columns = [pa.array([name] * len(cell), pa.string()), pa.array(cell >> 8, pa.int32()), pa.array(cell & 255, pa.int32()), pa.array(n[cell], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "pos", "byte", "n"])
+
+    counted = sampled.select("model", "payload").mapInArrow(run, "model string, pos int, byte int, n bigint")
+    return counted.groupBy("model", "pos", "byte").agg(F.sum("n").alias("n"))
 
 
 def byte_totals(counts: DataFrame) -> DataFrame:
@@ -82,31 +111,12 @@ def model_tables(counts: DataFrame) -> np.ndarray:
     return np.log((seen + ALPHA) / (total + 256 * ALPHA) + TINY)
 
 
-_DIGIT = np.full(256, 255, np.uint8)
-for _i, _c in enumerate(b"0123456789abcdef"):
-    _DIGIT[_c] = _i
-for _i, _c in enumerate(b"ABCDEF", 10):
-    _DIGIT[_c] = _i
-
-
 def scores(texts: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log probabilities (models, rows) of hex payloads, and their bytes; 0 for null, empty and invalid text.
+    """Summed log probabilities (models, rows) of hex payloads, and their bytes; 0 where a payload has none.
 
     A payload's first POSITIONS bytes count, as the tables say nothing about others.
     """
-    texts = texts.fill_null("").cast(pa.large_string())
-    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    digit = _DIGIT[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]]
-    offset = offset - offset[0]
-    length = np.diff(offset)
-    wrong = np.concatenate([[0], np.cumsum(digit == 255)])
-    good = (length > 0) & (length % 2 == 0) & (wrong[offset[1:]] == wrong[offset[:-1]])
-    size = np.where(good, length // 2, 0)
-    used = np.minimum(size, POSITIONS)
-    row = np.repeat(np.arange(len(size)), used)
-    pos = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
-    at = offset[:-1][row] + 2 * pos
-    cell = pos * 256 + (digit[at].astype(np.int64) << 4 | digit[at + 1])
+    row, cell, size = cells(texts)
     return np.stack([np.bincount(row, t.ravel()[cell], len(size)) for t in tables]).astype(np.float64), size
 
 

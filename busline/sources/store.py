@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out evenly if they were read in fewer pieces than the session has cores: small tables in one file."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _path(spark: SparkSession, path: str):
     """The Hadoop file system of path, and its path there."""
     sc = spark.sparkContext
