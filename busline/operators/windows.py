@@ -44,18 +44,16 @@ def flow_features(packets: DataFrame, recent: int = RECENT) -> DataFrame:
     marked, solid = solid_keys(_sliced(marked), [*FLOW, "__slice"])
     inside = Window.partitionBy(*solid).orderBy("timestamp", "frame_no")
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct("timestamp", "frame_no")
-    # A slice's last packets, newest first; at least as many as the slice has stand in its `recent` newest.
-    ends = marked.withColumn("__back", F.row_number().over(Window.partitionBy(*solid).orderBy(F.desc("timestamp"), F.desc("frame_no"))))
-    newest = F.transform(F.array_sort(F.collect_list(F.when(F.col("__back") <= recent, F.struct("__back", "__now")))), lambda x: x["__now"])
-    latest = lambda kind: F.max_by(F.when(F.col("__kind")[kind].isNotNull(), F.col("__kind")[kind]), F.when(F.col("__kind")[kind].isNotNull(), at))
-    slices = ends.groupBy(*solid).agg(newest.alias("__newest"), latest("plain").alias("__plain"), latest("sd").alias("__sd"))
+    last = lambda kind: F.last(F.col("__kind")[kind], ignorenulls=True)
+    # Of each slice its last packets, newest first, and at the very last what came last of either kind.
+    ends = marked.select(*solid, "__now", F.lead("__now", recent).over(inside).alias("__later"), F.lead("__now", 1).over(inside).alias("__next"), F.row_number().over(inside).alias("__rn"), *[last(k).over(prior.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__{k}") for k in ("plain", "sd")]).where("__later IS NULL")
+    newest = F.transform(F.sort_array(F.collect_list(F.struct("__rn", "__now")), asc=False), lambda x: x["__now"])
+    slices = ends.groupBy(*solid).agg(newest.alias("__newest"), *[F.first(F.when(F.col("__next").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in ("__plain", "__sd")])
     across = Window.partitionBy(*solid[:-1]).orderBy(solid[-1])
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     held = F.slice(F.flatten(F.reverse(F.collect_list("__newest").over(across.rowsBetween(-recent, -1)))), 1, recent)
     carried = slices.select(*solid, held.alias("__held"), *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_held") for c in ("__plain", "__sd")])
-    last = lambda kind: F.last(F.col("__kind")[kind], ignorenulls=True).over(prior)
-    rows = marked.withColumns({"__rn": F.row_number().over(inside), "__plain": last("plain"), "__sd": last("sd"), **{f"__now{k}": F.lag("__now", k).over(inside) for k in range(1, recent + 1)}})
+    rows = marked.withColumns({"__rn": F.row_number().over(inside), "__plain": last("plain").over(prior), "__sd": last("sd").over(prior), **{f"__now{k}": F.lag("__now", k).over(inside) for k in range(1, recent + 1)}})
     rows = rows.join(carried, solid)
     back = {k: F.coalesce(F.col(f"__now{k}"), F.get("__held", F.lit(k) - F.col("__rn"))) for k in range(1, recent + 1)}
     rows = rows.withColumns({f"__now{k}": back[k] for k in back} | {c: F.coalesce(c, f"{c}_held")["v"] for c in ("__plain", "__sd")})

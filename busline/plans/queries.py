@@ -9,7 +9,7 @@ from busline.functions.columns import bit_distance, class_index, header_fields,
 from busline.operators import bytemodel, metrics, prepare, windows
 from busline.plans import models
 from busline.plans.oracle import ORACLES
-from busline.schema import FEATURES, HEADER_BYTES, KEY
+from busline.schema import FEATURES, FLOW, HEADER_BYTES, KEY
 from busline.sources import packets as sources
 from busline.sources import pcap
 from busline.sources.store import stored
@@ -120,9 +120,13 @@ def byte_logp(spark, d):
     return bytemodel.byte_logp(_counts(spark, d)).withColumn("logp", F.round("logp", 9))
 
 
+_PAYLOADS = ["someip_payload_hex", "transport_payload_hex"]
+
+
 def _byte_features(rows, names):
-    narrow = rows.select(*KEY, "someip_payload_hex", "transport_payload_hex")
-    return _features(bytemodel.byte_features(narrow, fit_on=rows), names)
+    """Byte features of rows, of which what fitting and scoring read is stored, as it is read four times."""
+    rows = stored(rows.select(*KEY, "timestamp", "label", "attack_type", "is_sd", *_PAYLOADS), "payloads")
+    return _features(bytemodel.byte_features(rows.select(*KEY, *_PAYLOADS), fit_on=rows), names)
 
 
 def byte_loglik(spark, d):
@@ -147,7 +151,11 @@ def hamming_long(spark, d):
 
 
 def _flow(names):
-    return lambda spark, d: _features(windows.flow_features(_all(spark, d)), names)
+    def query(spark, d):
+        rows = _all(spark, d).select(*dict.fromkeys([*FLOW, *KEY]), "timestamp", "is_sd", "ip_len", "transport_len", *_PAYLOADS)
+        return _features(windows.flow_features(stored(rows, "flows")), names)
+
+    return query
 
 
 def _narrow(spark, d, *columns):
