@@ -20,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
 
 
-#: The folder that driver and executors share, and tables kept there between steps.
-shared_dir, materialized = store.shared_folder, store.stored
+#: The folder that driver and executors share, tables kept there between steps, and small tables dealt to all cores.
+shared_dir, materialized, spread = store.shared_folder, store.stored, store.spread
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,12 +36,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs, dealt out evenly if they were read in fewer pieces than the session has cores: small tables in one file."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters each; one long text stands alone."""
     at, held = 0, 0
