@@ -37,7 +37,7 @@ def vocabulary(path: str) -> Bpe:
 
 @functools.lru_cache(4)
 def piece_encoder(path: str) -> PieceEncoder:
-    """The encoder of the vocabulary at path; a Python worker keeps it, and the pieces it remembers, for all its tasks."""
+    """The encoder of the vocabulary at path, kept by a Python worker for all its tasks."""
     bpe = vocabulary(path)
     return PieceEncoder(bpe.encode_spaced, bpe.encode_each)
 
@@ -201,6 +201,11 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the pieces' memory back: a worker that waits for its next task should hold the vocabulary alone."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, names: list[str]) -> list[bytes]:
         """The ids of distinct pieces, given without their space; b"" for those that begin with white space."""
         ids = [*map(self.known.get, names)]

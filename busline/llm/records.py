@@ -92,7 +92,7 @@ def read_file(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
 def library_encoder(path: str, kind: str = "<u4") -> PieceEncoder:
     """Texts to ids (as kind) by the tokenizers library, repeated pieces being looked up.
 
-    A Python worker loads the library once and keeps it, and the pieces it remembers, for all its tasks.
+    A Python worker loads the library once and keeps it for all its tasks; pieces are remembered within a task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -147,7 +147,7 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, end: int = END, ra
     doc_id stand together, ordered by their ids. An empty table gives no record. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 500, 4 << 20)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     bounds = range_cuts(docs, range_bytes, most_ranges)
     wide = max(read_vocabulary(vocabulary).token_size.size, end + 1) > 1 << 16
@@ -159,8 +159,9 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, end: int = END, ra
         for batch in batches:
             doc = batch.column(0)
             part = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
-            ids = [x + closing for x in encoder(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(part), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+            ids = pa.array([x + closing for x in encoder(batch.column(1).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part), doc, ids], names=["part", "doc_id", "ids"])
+        encoder.forget()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
