@@ -84,7 +84,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of each row; null and empty texts have no ids."""
-    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), with_ids=True)
+    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), with_ids=True, digests=False)
     return encoded.drop("text")
 
 
