@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import bpe, lines, mix, ngrams, quality, records, secrets, substrings, toxicity, vectors
+from busline.llm import bpe, clusters, divergence, lines, mix, ngrams, quality, records, secrets, substrings, suffixes, toxicity, vectors
 from busline.llm.common import spread
 from busline.sources.store import new_folder
 
@@ -81,6 +81,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components by integer k-means, and what its cluster amounts to."""
+    found = clusters.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document in strings of 100 bytes that also start earlier, removed."""
+    return suffixes.remove_earlier(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language stand apart in their terms, and the terms that mark each."""
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -92,5 +108,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = {"op6_quality_rules": quality.oracle(), "op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES |= {"op11_centroid_clusters": clusters.oracle(), "op12_suffix_dedup": suffixes.ORACLE, "op13_source_divergence": divergence.ORACLE}
