@@ -22,7 +22,7 @@ PIECES = (32, 64)
 #: Bytes of different contexts that one group's suffixes are sorted from, and windows that a context has at most.
 GROUP_BYTES, RUN = 2 << 20, 4096
 #: Bytes of text that are hashed at a time, bytes of text a bucket of hashes stands for, and leaders a task holds before it sorts them.
-SLICE, BUCKET, HELD = 256 << 10, 64 << 20, 2_000_000
+SLICE, BUCKET, HELD = 256 << 10, 16 << 20, 400_000
 #: A place is a document and a byte in it: doc_id times this, plus the byte.
 STEP = 1 << 33
 
