@@ -93,12 +93,12 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, prior: int = PR
     """
     spark = docs.sparkSession
     counted = count_terms(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    kept = counted.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.collect_list(F.struct("source", "n")).alias("found")).where(F.col("term").isNull() | (F.col("d") >= least_docs))
+    kept = counted.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("found")).where(F.col("term").isNull() | (F.col("d") >= least_docs))
     kept = materialized(kept.drop("d"), "terms")
     terms = kept.where("term IS NOT NULL")
 
-    sums = terms.select("lang", F.explode("found").alias("f")).groupBy("lang", "f.source").agg(F.sum("f.n").alias("n"))
-    groups = kept.where("term IS NULL").select("lang", F.explode("found").alias("f")).select("lang", "f.source").join(sums, ["lang", "source"], "left")
+    sums = terms.select("lang", F.explode("found").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    groups = kept.where("term IS NULL").select("lang", F.explode(F.map_keys("found")).alias("source")).join(sums, ["lang", "source"], "left")
     ordered = F.array_sort(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n"))))
     langs = groups.groupBy("lang").agg(ordered.alias("groups"), F.sum(F.coalesce("n", F.lit(0))).alias("whole"))
     langs = langs.join(terms.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").fillna(0, ["v"])
@@ -108,20 +108,22 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, prior: int = PR
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wide = terms.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int"))
     wide = wide.join(langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["lang", "salt"])
-    wide = wide.withColumn("counts", F.map_from_entries(F.transform("found", lambda f: F.struct(f["source"], f["n"]))))
-    wide = wide.withColumn("counts", F.transform("groups", lambda g: F.coalesce(F.try_element_at("counts", g["source"]), F.lit(0).cast("bigint"))))
-    shares = F.transform("groups", lambda g, i: share(F.get("counts", i), g["n"], F.col("v"), prior))
-    wide = wide.select("lang", "term", "groups", "counts", shares.alias("p"), share(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n), F.col("whole"), F.col("v"), prior).alias("q"))
+    # Each array is an argument of the next, so that it is made once a term.
+    counts = F.transform("groups", lambda g: F.coalesce(F.try_element_at("found", g["source"]), F.lit(0).cast("bigint")))
+    cells = F.zip_with("groups", counts, lambda g, n: F.struct(g["source"].alias("source"), n.alias("n"), share(n, g["n"], F.col("v"), prior).alias("p")))
+    whole = F.aggregate(F.map_values("found"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    wide = materialized(wide.select("lang", "term", cells.alias("cells"), share(whole, F.col("whole"), F.col("v"), prior).alias("q")), "wide")
 
     apart = F.transform(F.slice("p", F.col("i") + 2, F.size("p")), lambda x, k: F.struct((F.col("i") + 1 + k).alias("j"), F.abs(x - F.col("mine")).alias("f")))
-    emitted = wide.select("lang", "p", F.posexplode("p").alias("i", "mine")).select("lang", "i", F.explode(apart).alias("e")).select("lang", "i", "e.j", "e.f")
+    # Dealt out anew, as small rows become many.
+    emitted = wide.select("lang", F.col("cells.p").alias("p")).repartition(salts).select("lang", "p", F.posexplode("p").alias("i", "mine")).select("lang", "i", F.explode(apart).alias("e")).select("lang", "i", "e.j", "e.f")
     summed = emitted.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
     every = langs.select("lang", "groups", F.posexplode("groups").alias("i", "mine")).select("lang", "i", "mine.source", F.posexplode("groups").alias("j", "other")).where("i <> j")
     pair = every.withColumns({"a": F.least("i", "j"), "b": F.greatest("i", "j")}).join(summed.select("lang", F.col("i").alias("a"), F.col("j").alias("b"), "f"), ["lang", "a", "b"], "left")
     pair = pair.select("lang", "source", F.lit("pair").alias("part"), F.col("other.source").alias("item"), F.coalesce("f", F.lit(0).cast("bigint")).alias("value"))
 
-    more = F.filter(F.transform("groups", lambda g, i: F.struct(g["source"].alias("source"), (F.get("p", i) - F.col("q")).alias("value"), F.get("counts", i).alias("n"))), lambda x: (x["n"] > 0) & (x["value"] > 0))
-    term = wide.select("lang", F.col("term").alias("item"), F.explode(more).alias("m")).select("lang", "m.source", F.lit("term").alias("part"), "item", "m.value")
+    more = F.explode(F.filter("cells", lambda c: (c["n"] > 0) & (c["p"] > F.col("q")))).alias("m")
+    term = wide.select("lang", F.col("term").alias("item"), "q", more).select("lang", "m.source", F.lit("term").alias("part"), "item", (F.col("m.p") - F.col("q")).alias("value"))
 
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     first = term.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)  # each task drops what can't be among the first before the shuffle
