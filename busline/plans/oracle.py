@@ -104,6 +104,26 @@ def _of_long(body: str, *parts: str) -> str:
     return f"WITH {', '.join([_VIEW, _PARTS['lp'], *(_PACKETS.sub('lp', _PARTS[p]) for p in parts)])} {body}"
 
 
+#: Seconds after which a key of a stream with a life time starts anew.
+LIFE_SECONDS = 7200.0
+# Packets with the number of times that their flow and their source have started anew, in order of time, and the time since their payload was seen.
+_TIME = "timestamp, pcap_file, frame_no"
+_PARTS["life"] = f"""l0 AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY {_FLOW} ORDER BY timestamp, frame_no) AS gf, timestamp - lag(timestamp) OVER (PARTITION BY src_ip ORDER BY {_TIME}) AS gs FROM pk),
+pl AS (SELECT *, sum(coalesce((gf > {LIFE_SECONDS})::INT, 0)) OVER (PARTITION BY {_FLOW} ORDER BY timestamp, frame_no) AS nf, sum(coalesce((gs > {LIFE_SECONDS})::INT, 0)) OVER (PARTITION BY src_ip ORDER BY {_TIME}) AS ns FROM l0)"""
+
+
+def _of_lives(part: str) -> str:
+    """A part over packets in order of time whose flows and sources start anew."""
+    part = _PACKETS.sub("pl", _PARTS[part]).replace("ORDER BY pcap_file, timestamp, frame_no", f"ORDER BY {_TIME}")
+    return part.replace(f"PARTITION BY {_FLOW}", f"PARTITION BY {_FLOW}, nf").replace("PARTITION BY src_ip", "PARTITION BY src_ip, ns").replace("src_ip, nn", "src_ip, ns, nn")
+
+
+_PARTS["life_dup"] = f"""dup AS (SELECT pcap_file, frame_no, CASE WHEN nullif(someip_payload_hex, '') IS NOT NULL AND lag(src_ip) OVER p <> src_ip AND timestamp - lag(timestamp) OVER p <= {LIFE_SECONDS}
+  THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f14_duplicate_source FROM pl WINDOW p AS (PARTITION BY someip_payload_hex ORDER BY {_TIME}))"""
+_PARTS |= {f"life_{p}": _of_lives(p) for p in ("fl", "rate", "div")}
+_HISTORY = [FEATURES[0], *FEATURES[7:14], *FEATURES[16:18]]
+_HELD = "flow JOIN dup USING (pcap_file, frame_no) JOIN rate USING (pcap_file, frame_no) JOIN div USING (pcap_file, frame_no)"
+
 _R6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 _HEADER = [("service_id", 0, 2), ("method_id", 2, 2), ("someip_len", 4, 4), ("client_id", 8, 2), ("session_id", 10, 2), ("proto_ver", 12, 1), ("iface_ver", 13, 1), ("msg_type", 14, 1), ("return_code", 15, 1)]
 
@@ -146,6 +166,8 @@ ORACLES = {
     "stream_features": _sql(f"SELECT pcap_file, frame_no, {_R6([FEATURES[0], *FEATURES[7:13]])} FROM flow", "fl", "flow"),
     "stream_payloads": _sql("SELECT * FROM dup", "dup"),
     "stream_sources": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[16:])} FROM rate JOIN div USING (pcap_file, frame_no)", "rate", "div"),
+    "stream_all": _sql(f"SELECT pcap_file, frame_no, {_R6(_HISTORY)} FROM {_HELD}", "fl", "flow", "dup", "rate", "div"),
+    "stream_lifetime": _sql(f"SELECT pcap_file, frame_no, {_R6(_HISTORY)} FROM {_HELD}", "life", "life_fl", "flow", "life_dup", "life_rate", "life_div"),
     "f14": _sql("SELECT * FROM dup", "dup"),
     "f15_f16": _sql("SELECT * FROM len", "len"),
     "f17": _sql(f"SELECT pcap_file, frame_no, {_R6(FEATURES[16:17])} FROM rate", "rate"),

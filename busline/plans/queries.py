@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from busline.functions.columns import bit_distance, class_index, header_fields, is_discovery, is_hex, is_valid_message, kept_hex, message_type_name, ratio, uint_at
 from busline.operators import bytemodel, metrics, prepare, windows
 from busline.plans import models
-from busline.plans.oracle import ORACLES
+from busline.plans.oracle import LIFE_SECONDS, ORACLES
 from busline.schema import FEATURES, FLOW, HEADER_BYTES, KEY
 from busline.sources import packets as sources
 from busline.sources import pcap
@@ -284,13 +284,10 @@ def capture_counts(spark, d):
     return metrics.capture_summary(pcap.decode_captures(_captured(spark, d), dropped=True))
 
 
-def _streamed(spark, d, stream, names):
-    """Features that a stream in three micro-batches makes; packets that the stream leaves out have 0."""
-    rows = _all(spark, d)
-    made = flows.run_available(rows, stream, least_batches=3)
-    short = {n[:3]: n for n in names}
-    made = made.select(*KEY, *[F.round(c, 6).alias(short[c]) for c in made.columns if c in short])
-    return rows.select(*KEY).join(made, KEY, "left").fillna(0.0, names)
+def _streamed(spark, d, stream, names, order=None):
+    """Features that a stream in three micro-batches makes of all packets."""
+    made = flows.run_available(_all(spark, d), stream, least_batches=3, order=order)
+    return made.select(*KEY, *[F.round(n[:3], 6).alias(n) for n in names])
 
 
 def stream_features(spark, d):
@@ -308,6 +305,20 @@ def stream_sources(spark, d):
     return _streamed(spark, d, flows.source_stream, FEATURES[16:18])
 
 
+#: Features from a packet's history.
+HISTORY = [FEATURES[0], *FEATURES[7:14], *FEATURES[16:18]]
+
+
+def stream_all(spark, d):
+    """All features from history of the packets read as one stream: states by flow, payload and source in one query."""
+    return _streamed(spark, d, flows.all_stream, HISTORY)
+
+
+def stream_lifetime(spark, d):
+    """The same in order of time, where a flow, payload or source unseen for two hours starts anew and its state is dropped in event time."""
+    return _streamed(spark, d, lambda packets: flows.all_stream(packets, LIFE_SECONDS), HISTORY, flows.TIME_ORDER)
+
+
 QUERIES = {
     "scan_packets": scan_packets, "scan_pruned": scan_pruned, "missing_captures": missing_captures, "capture_union": capture_union, "header_decode": header_decode,
     "msg_type_name": msg_type_name, "someip_valid": someip_valid, "payload_hex": payload_hex, "hex_guard": hex_guard, "sd_share": sd_share, "label_join": label_join,
@@ -318,6 +329,6 @@ QUERIES = {
     "f14": f14, "f15_f16": f15_f16, "f17": f17, "f18": f18, "features_all": features_all, "split": split, "minmax_stats": minmax_stats, "minmax_scaled": minmax_scaled,
     "confusion": confusion, "binary_metrics": binary_metrics, "auc": auc, "roc_curve": roc_curve, "recall_by_type": recall_by_type, "multi_metrics": multi_metrics,
     "topk_sources": topk_sources, "gbt_predictions": gbt_predictions, "ovr_predictions": ovr_predictions, "importances": importances, "pcap_scan": pcap_scan, "capture_counts": capture_counts,
-    "stream_features": stream_features, "stream_payloads": stream_payloads, "stream_sources": stream_sources,
+    "stream_features": stream_features, "stream_payloads": stream_payloads, "stream_sources": stream_sources, "stream_all": stream_all, "stream_lifetime": stream_lifetime,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -118,22 +118,6 @@ def test_captures(spark, tmp_path, magic):
         pcap.scan_captures(spark, str(tmp_path), strict=True).collect()
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_streams_equal_batch(spark, batches):
-    """State carried over micro-batches, each of several files, against the windows."""
-    rows = q._all(spark, SF)
-    want = windows.payload_diversity(windows.source_rate(windows.duplicate_source(windows.flow_features(rows)))).collect()
-    names = {c[:3]: c for c in want[0].asDict()}
-    want = {(r.pcap_file, r.frame_no): r for r in want}
-    for stream, processor in ((flows.flow_stream, flows.FlowState), (flows.payload_stream, flows.PayloadState), (flows.source_stream, flows.SourceState)):
-        made = flows.run_available(rows, stream, batch_rows=-(-len(want) // batches)).collect()
-        assert len(made) == len({(r.pcap_file, r.frame_no) for r in made}) and (processor is flows.PayloadState or len(made) == len(want))
-        for r in made:
-            for name in processor.names:
-                assert r[name] == pytest.approx(want[r.pcap_file, r.frame_no][names[name]], abs=1e-9)
-    assert flows.run_available(rows.limit(0), flows.flow_stream).count() == 0
-
-
 def test_long_payloads(spark):
     """Beyond 64 and beyond 256 bytes, by hand."""
     rnd = random.Random(4)
@@ -169,7 +153,7 @@ def test_pieces_of_large_captures(spark, tmp_path):
     assert spark.read.format("pcap").load(str(tmp_path)).count() == 399
 
 
-@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "byte_scores_long", "hamming_long", "auc", "roc_curve", "multi_metrics", "topk_sources", "capture_union", "capture_counts", "pcap_scan", "stream_features", "stream_payloads", "stream_sources"])
+@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "byte_scores_long", "hamming_long", "auc", "roc_curve", "multi_metrics", "topk_sources", "capture_union", "capture_counts", "pcap_scan", "stream_features", "stream_payloads", "stream_sources", "stream_all", "stream_lifetime"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
