@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,9 +52,9 @@ def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
+#: Bytes of a word that are mixed eight at a time; longer words are digested.
+_SHORT = 16
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,13 +69,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a list of texts as arrays: byte ranges in `data`, 64-bit hashes, and where each text's words start.
 
-    Text i has the words first[i] to first[i + 1]. Null and empty texts have none.
+    Text i has the words first[i] to first[i + 1]. Null and empty texts have none. Words of up to 8 bytes and of one length have different hashes;
+    up to 16 the first and last eight bytes are mixed in turn, which is not linear; longer ones have 64 bits of their BLAKE2b digest.
     """
 
     def __init__(self, texts: list):
-        global _POWERS
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        self.data = b"\n".join([*raw, b""])
+        self.data = b"\n".join([*raw, b"\n" * 8])  # eight bytes may be read from each byte of a text
         buf = np.frombuffer(self.data, np.uint8)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         begins = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -86,14 +87,14 @@ class Words:
         self.first = np.searchsorted(self.start, begins)
         self.begins = begins
         size = self.end - self.start
-        body = buf[solid[1:-1].view(bool)]
-        at = np.cumsum(size) - size
-        if len(size) and int(size.max()) > len(_POWERS):
-            _POWERS = np.concatenate([[_U(1)], np.cumprod(np.full(int(size.max()) * 2, _BASE))])
-        inside = np.arange(len(body)) - np.repeat(at, size)
-        value = _BYTE[body] * _POWERS[inside]
-        self.size = size
-        self.hash = mixed(np.add.reduceat(value, at) ^ size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+        eight = np.ndarray((len(buf) - 7,), "<u8", self.data, strides=(1,))
+        held = np.where(size < 8, (_U(1) << (_U(8) * np.minimum(size, 7).astype(_U))) - _U(1), ~_U(0))
+        h = mixed(eight[self.start] & held ^ mixed(size.astype(_U)))
+        more = np.flatnonzero(size > 8)
+        h[more] = mixed(h[more] * _BASE ^ eight[self.end[more] - 8])
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        self.size, self.hash = size, h
 
     def owner(self) -> np.ndarray:
         """The text of each word."""

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from busline.llm import bpe, common, lines, mix, ngrams, quality, records, secrets, substrings, toxicity, vectors
+from busline.llm import bpe, common, lines, mix, ngrams, quality, queries, records, secrets, substrings, toxicity, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +69,29 @@ def test_words():
         assert seen.setdefault(int(w.hash[k]), w.text(k, k + 1)) == w.text(k, k + 1)
 
 
+def twins(n, a="a", b="b"):
+    """A Thue-Morse word of n letters and its complement, which a polynomial modulo a power of two can't tell apart when they are long."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in one), "".join(a if x else b for x in one)
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 2048, 4096])
+def test_long_words_differ(spark, tmp_path, n):
+    x, y = twins(n)
+    w = common.Words([f"{x} {y}"])
+    assert len(set(w.hash.tolist())) == 2
+    assert quality.count_rules([f"{x} {x} {x} {y} {y} {y}"])[4] == [0]
+    rows = [(i, " ".join([word] * 10 + ["tail"] * 41), "s") for i, word in enumerate((x, y))]
+    docs = table(spark, rows)
+    assert [r.n_removed for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+    assert [r.n_links for r in ngrams.jaccard_classes(docs).collect()] == [0, 0]
+    docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = queries.op6_quality_rules(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(f"SELECT {', '.join(out.columns)} FROM ({quality.oracle()})").fetchall())
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
