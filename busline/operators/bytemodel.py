@@ -21,21 +21,67 @@ POSITIONS = 256
 MODELS = ["someip", "someipsd", "tcpudp"]
 
 
-def samples(packets: DataFrame, most: int = SAMPLE) -> DataFrame:
+#: Ever finer steps of the order of packets, each with few values within one of the step before.
+_STEPS = [
+    "pcap_file", "floor(timestamp / 86400)", "floor(timestamp / 3600)", "floor(timestamp)", "floor(timestamp * 1000)", "floor(timestamp * 1000000)", "floor(frame_no / 65536)",
+]
+#: Rows of a step that one task may order.
+STEP_ROWS = 65_536
+
+
+def first_rows(rows: DataFrame, wanted: dict[str, Column], most: int, step_rows: int = STEP_ROWS) -> dict[str, tuple[Column, Column | None, int]]:
+    """For each name where the first `most` wanted rows in packet order stand: (before, within, left).
+
+    Rows for which `before` holds belong to them; of those for which `within` holds (None: there are none) the first `left`
+    do. Wanted rows are counted by ever finer steps of the order, all names in one pass, and only in the step that holds the last row
+    asked for, until that has step_rows at most; so no task orders more, whatever the number of rows.
+    """
+    found = {name: (F.lit(False), F.lit(True), most) for name in wanted}
+    open_names = list(wanted)
+    for step in map(F.expr, _STEPS):
+        if not open_names:
+            break
+        inside = {n: wanted[n] & found[n][1] for n in open_names}
+        some = inside[open_names[0]]
+        for n in open_names[1:]:
+            some |= inside[n]
+        counts = rows.where(some).groupBy(step.alias("__step")).agg(*[F.count(F.when(inside[n], 1)).alias(n) for n in open_names]).collect()  # as many rows as a step has values
+        counts.sort(key=lambda r: (r[0] is not None, r[0]))
+        still = []
+        for n in open_names:
+            before, within, left = found[n]
+            for r in counts:
+                if r[n] > left:
+                    ahead = F.lit(False) if r[0] is None else F.coalesce(step < F.lit(r[0]), F.lit(True))  # nulls stand first
+                    found[n] = before | (within & ahead), within & step.eqNullSafe(F.lit(r[0])) if left else None, left
+                    if left and r[n] > step_rows:
+                        still.append(n)
+                    break
+                left -= r[n]
+            else:
+                found[n] = before | within, None, 0
+        open_names = still
+    return found
+
+
+def samples(packets: DataFrame, most: int = SAMPLE, step_rows: int = STEP_ROWS) -> DataFrame:
     """model, payload: the first `most` fitting payloads of each model in packet order.
 
     The message and transport models take harmless packets of harmless captures that are not service discovery, the discovery model
-    takes harmless packets of any capture.
+    takes harmless packets of any capture. One pass takes what stands before the last steps of all three; of these alone rows are ordered.
     """
     sd = F.coalesce("is_sd", F.lit(False))
     benign = (F.col("label") == 0) & (F.col("attack_type") == "normal")
-    picked = {
-        "someip": (benign & ~sd, "someip_payload_hex"),
-        "someipsd": ((F.col("label") == 0) & sd, "someip_payload_hex"),
-        "tcpudp": (benign & ~sd, "transport_payload_hex"),
-    }
-    parts = [packets.where(which & payload(column).isNotNull()).orderBy(*ORDER).limit(most).select(F.lit(name).alias("model"), F.col(column).alias("payload")) for name, (which, column) in picked.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    column = {"someip": "someip_payload_hex", "someipsd": "someip_payload_hex", "tcpudp": "transport_payload_hex"}
+    picked = {"someip": benign & ~sd, "someipsd": (F.col("label") == 0) & sd, "tcpudp": benign & ~sd}
+    wanted = {n: F.coalesce(picked[n] & payload(column[n]).isNotNull(), F.lit(False)) for n in MODELS}
+    cut = first_rows(packets, wanted, most, step_rows)
+    each = F.array(*[F.when(wanted[n] & cut[n][0], F.struct(F.lit(n).alias("model"), F.col(column[n]).alias("payload"))) for n in MODELS])
+    out = packets.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("s")).select("s.model", "s.payload")
+    for n, (_, within, left) in cut.items():
+        if within is not None:
+            out = out.unionByName(packets.where(wanted[n] & within).orderBy(*ORDER).limit(left).select(F.lit(n).alias("model"), F.col(column[n]).alias("payload")))
+    return out
 
 
 _DIGIT = np.full(256, 255, np.uint8)

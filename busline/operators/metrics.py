@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busline.functions.columns import class_index, ratio
-from busline.operators.running import running_sum
+from busline.operators.running import SLICED, running_sum, sliced
 from busline.schema import CLASSES
+from busline.sources.store import stored
 
 
 def _count(condition) -> Column:
@@ -28,11 +29,12 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
-    """score, pos, neg and what stands at or above each score, pos_up and neg_up; scores are summed in ranges."""
+    """score, pos, neg and what stands at or above each score, pos_up and neg_up; scores are summed in slices by counted rows."""
     per = rows.groupBy("score").agg(_count(F.col("label") == 1).alias("pos"), _count(F.col("label") != 1).alias("neg"))
-    per = per.withColumn("__down", -F.col("score")).withColumn("__range", F.floor(F.col("__down") * 4096))
-    per = running_sum(per, [], ["__range"], ["__down"], F.col("pos"), "pos_up")
-    return running_sum(per, [], ["__range"], ["__down"], F.col("neg"), "neg_up").drop("__down", "__range")
+    per = stored(per.withColumn("__down", -F.col("score")), "scores")
+    per = sliced(per, [], F.col("__down"), 1 << 40, 1 << 28)
+    per = running_sum(per, [], SLICED, ["__down"], F.col("pos"), "pos_up")
+    return running_sum(per, [], SLICED, ["__down"], F.col("neg"), "neg_up").drop("__down", *SLICED)
 
 
 def auc(rows: DataFrame) -> DataFrame:

@@ -150,10 +150,14 @@ def hamming_long(spark, d):
     return _long(spark, d).select("frame_no", bit_distance(windows.payload("transport_payload_hex"), windows.payload("someip_payload_hex")).alias("distance"))
 
 
+#: What the features of a flow look at besides its keys and time.
+_LOOKED_AT = {FEATURES[7]: ["is_sd", "someip_payload_hex"], FEATURES[8]: ["is_sd", "someip_payload_hex"], FEATURES[9]: ["transport_payload_hex"], FEATURES[10]: ["ip_len"], FEATURES[11]: ["transport_len"], FEATURES[12]: ["someip_payload_hex"]}
+
+
 def _flow(names):
     def query(spark, d):
-        rows = _all(spark, d).select(*dict.fromkeys([*FLOW, *KEY]), "timestamp", "is_sd", "ip_len", "transport_len", *_PAYLOADS)
-        return _features(windows.flow_features(stored(rows, "flows")), names)
+        rows = _all(spark, d).select(*dict.fromkeys([*FLOW, *KEY, "timestamp", *(c for f in names for c in _LOOKED_AT.get(f, []))]))
+        return _features(windows.flow_features(stored(windows.sliced(rows), "flows"), names=names), names)
 
     return query
 

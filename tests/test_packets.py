@@ -51,9 +51,10 @@ def test_literal_windows(spark):
     assert by_frame(windows.payload_diversity(four), "f18_src_payload_diversity") == [0.0, 0.0, 1.0, round(2 / 3, 9)]
 
 
-@pytest.mark.parametrize("seconds", [3600, 60])
-def test_sequential_pass(spark, monkeypatch, seconds):
+@pytest.mark.parametrize("seconds,most", [(3600, 1 << 18), (60, 1 << 18), (1 << 20, 5)])
+def test_sequential_pass(spark, monkeypatch, seconds, most):
     monkeypatch.setattr(windows, "SLICE_SECONDS", seconds)  # one slice holds most of a flow, or hardly a packet
+    monkeypatch.setattr(windows, "SLICE_ROWS", most)  # or slices are cut by counted rows
     monkeypatch.setattr(windows, "PART", 16)
     rnd, window = random.Random(3), 7
     rows = [(rnd.choice("ab"), n, rnd.randrange(0, 9000, 50), rnd.choice("xyz"), rnd.choice([None, "", "aa", "bb", "ccdd", "0f"]), rnd.random() < 0.3) for n in range(400)]
