@@ -362,17 +362,17 @@ def _gone(distinct: DataFrame, window: int, sizes: tuple[int, ...], group_bytes:
     if heavy.isEmpty():
         return solved
     size = sizes[0] if sizes else 0
-    parts = materialized(_dealt_anew(distinct.join(heavy, "h"), window, size), "dealt")
+    parts = materialized(_dealt_anew(distinct.join(heavy, "h"), window, size), "dealt", "zstd")
     firsts = parts.groupBy("h", "same", *(["context"] if size else [])).agg(F.min("place").alias("first"))
     if size:
-        firsts = materialized(firsts, "firsts")
+        firsts = materialized(firsts, "firsts", "zstd")
         deeper = _gone(firsts.withColumnRenamed("first", "place"), window, sizes[1:], group_bytes)
         firsts = firsts.drop("context").join(deeper, ["h", "same"])
     else:
         firsts = firsts.withColumn("gone", F.array().cast("array<struct<at: int, n: int>>"))
     whole = F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("n")))
     moved = F.transform("gone", lambda g: F.struct((g["at"] + F.col("at")).alias("at"), g["n"].alias("n")))
-    joined = parts.drop("context").join(materialized(firsts, "firsts"), ["h", "same"]).select("up", "up_same", F.when(F.col("place") == F.col("first"), moved).otherwise(whole).alias("gone"))
+    joined = parts.drop("context").join(materialized(firsts, "firsts", "zstd"), ["h", "same"]).select("up", "up_same", F.when(F.col("place") == F.col("first"), moved).otherwise(whole).alias("gone"))
     return solved.unionByName(joined.groupBy(F.col("up").alias("h"), F.col("up_same").alias("same")).agg(F.flatten(F.collect_list("gone")).alias("gone")))
 
 
@@ -425,7 +425,7 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, sizes: tuple[int, ...]
     bounded_batches(spark, 2000, 8 << 20)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = materialized(_scan(docs, window, sizes[0], max(1, math.ceil(total / BUCKET))), "found")
+    found = materialized(_scan(docs, window, sizes[0], max(1, math.ceil(total / BUCKET))), "found", "zstd")
     every = found.where("sha IS NOT NULL").select("doc_id", "key", "n_bytes", "sha")
     repeated = every.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     every = every.join(materialized(repeated, "repeated"), "sha", "left")
@@ -435,11 +435,11 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, sizes: tuple[int, ...]
     told = met.unionByName(found.where("bucket IS NULL AND sha IS NULL").select("doc_id", "hashes"))
     wanted = told.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")).join(reps, "doc_id")
     named = docs.where("doc_id IS NOT NULL")
-    contexts = materialized(_contexts(named.join(wanted, "doc_id"), window, sizes[0]), "contexts")
+    contexts = materialized(_contexts(named.join(wanted, "doc_id"), window, sizes[0]), "contexts", "zstd")
 
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(STEP) + F.col("start")
-    distinct = materialized(contexts.groupBy("h", "same", "context").agg(F.min(place).alias("place")), "distinct")
-    gone = materialized(distinct.select("h", "same", F.col("place").alias("first")).join(_gone(distinct, window, sizes[1:], group_bytes), ["h", "same"]), "gone")
+    distinct = materialized(contexts.groupBy("h", "same", "context").agg(F.min(place).alias("place")), "distinct", "zstd")
+    gone = materialized(distinct.select("h", "same", F.col("place").alias("first")).join(_gone(distinct, window, sizes[1:], group_bytes), ["h", "same"]), "gone", "zstd")
     hits = contexts.select("doc_id", "key", "start", "n", "h", "same").join(gone, ["h", "same"])
     own = F.transform("gone", lambda g: F.struct((g["at"] + F.col("start")).alias("at"), g["n"].cast("bigint").alias("n")))
     whole = F.array(F.struct(F.col("start").alias("at"), F.col("n").cast("bigint").alias("n")))
