@@ -98,3 +98,39 @@ def test_long_runs_stay_fast():
     for text in ("MI" * 100_000, "30" * 100_000, "M\n" * 100_000, "M" + " " * 1_000_000, "b3Blbn" * 40_000, "3 \n0" * 60_000):
         assert not secrets.find_secrets(text)[1]
     assert time.process_time() - began < 30
+
+
+def url(raw):
+    return base64.urlsafe_b64encode(raw if isinstance(raw, bytes) else raw.encode()).decode().rstrip("=")
+
+
+HEADS = ['{"alg":"HS256"}', '{ "alg":"HS256"}', '{\n  "alg": "RS256",\n  "typ": "JWT"\n}', '{\t"alg":"none","x":{"a":[1,{"b":"}{"}]}}', '{"k":"a\\"}{\\\\","alg":"ES256"} \n', '{"typ":"JWT","alg":"HS256","kid":"é"}']
+BODIES = ['{"sub":"1"}', "{}", ' {"a":{"b":[]}}', '\n{"x":"}"}']
+
+
+@pytest.mark.parametrize("head", HEADS)
+@pytest.mark.parametrize("body", BODIES)
+@pytest.mark.parametrize("tail", ["c2lnbmF0dXJl", "", "x"])
+def test_signed_tokens(head, body, tail):
+    token = f"{url(head)}.{url(body)}.{tail}"
+    for before, after in (("", ""), ("token: ", "\n"), ("eyJunk_", " y"), ("eyJhb.", ""), ("ewogey", ","), ("a.b.c.", "!"), ("x.", " "), ("é", "é"), ("eyJ" * 50, "")):
+        text = before + token + after
+        assert secrets.find_secrets(text)[1] == [(len(before), "jwt", len(before) + len(token))], text
+    two = f"{token} {token}"
+    assert [s for s, _, _ in secrets.find_secrets(two)[1]] == [0, len(token) + 1]
+
+
+@pytest.mark.parametrize("text", ["eyJ.eyJ.eyJ", url('{"typ":"JWT"}') + "." + url("{}") + ".x", url('{"alg":1}') + "." + url("{}") + ".x", url('["alg"]') + "." + url("{}") + ".", url(HEADS[0]) + "." + url("[1]") + ".x", url(HEADS[0]) + "." + url("{}"), url(HEADS[0]) + ".." + url("{}") + ".x", url('{"alg":"HS256"') + "." + url("{}") + ".x"])
+def test_no_signed_token(text):
+    assert secrets.find_secrets(text)[1] == []
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    heads = [base64.b64encode(rsa(32)[:6]).decode()[:8], "MIL//wIBAAIB", "MIL//wIBAAICAf8C", "MIIB/wIBADAC"]
+    body = url("{}")
+    for text in ("eyJ" * 350_000, *(h * (1_000_000 // len(h)) for h in heads), "eyJa." * 200_000, (body + ".") * 200_000, url('{"a":' * 50) * 10_000 + "." + body + ".", url('{"alg":"a","b":"') * 40_000 + "." + body + ".x", "30820fff0201000201" * 50_000, "b3BlbnNzaC1rZXktdjEA" * 50_000, ("eyJ" * 40 + "." + body + ".") * 5_000):
+        began = time.process_time()
+        secrets.find_secrets(text)
+        assert time.process_time() - began < 5, text[:40]
