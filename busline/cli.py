@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from busline.operators import metrics, prepare
@@ -13,7 +14,7 @@ from busline.schema import CAPTURES
 from busline.session import local_session
 from busline.sources import packets as sources
 from busline.sources import pcap
-from busline.sources.store import exists, scratch, stored
+from busline.sources.store import exists, scratch
 
 
 #: Folder of captures, packets, features and models where no option names them.
@@ -25,10 +26,14 @@ def _parse(spark, a) -> None:
         print(f"{a.out} exists, nothing to do")
         return
     with scratch(spark):
-        scan = pcap.stream_captures if a.stream else pcap.scan_captures
-        rows = stored(scan(spark, a.captures, a.strict, dropped=True), "frames")
-        sources.write_packets(rows.where("transport IS NOT NULL"), a.out)
-        metrics.capture_summary(rows).orderBy("pcap_file").show(truncate=False)
+        scan, seen = pcap.stream_captures if a.stream else pcap.scan_captures, Observation("captures")
+        rows = scan(spark, a.captures, a.strict, dropped=True, broken=True).observe(seen, *pcap.capture_counters())
+        sources.write_packets(rows.where("transport IS NOT NULL").drop("broken", "broken_at"), a.out)
+        counts, rejects = pcap.capture_report(seen.get)
+        for found, schema in ((counts, "pcap_file string, read bigint, written bigint, dropped bigint, attacks bigint, share double"), (rejects, "pcap_file string, byte bigint, reason string")):
+            spark.createDataFrame(found, schema).show(truncate=False)
+        if rejects:
+            spark.createDataFrame(rejects, "pcap_file string, byte bigint, reason string").coalesce(1).write.mode("overwrite").json(f"{a.out}-rejects")
 
 
 def _check(spark, a) -> None:
