@@ -138,6 +138,9 @@ ORACLES = {
     "someip_valid": _sql(f"SELECT frame_no, CASE WHEN length(raw_hex) >= 32 THEN substr(raw_hex, 25, 2) = '01' AND substr(raw_hex, 29, 2) IN ('00','01','02','40','41','42','80','81','c0','c1') AND {_hex('raw_hex', 4, 4)} >= 8 ELSE false END AS someip_valid FROM raw"),
     "payload_hex": _sql("SELECT frame_no, CASE WHEN length(raw_hex) > 0 THEN substr(raw_hex, 1, 128) END AS payload_hex, coalesce(CAST(length(raw_hex) // 2 AS INT), 0) AS n_bytes FROM raw"),
     "hex_guard": _sql("SELECT frame_no, k, regexp_full_match(h, '([0-9a-fA-F]{2})+') AS is_hex FROM (SELECT frame_no, k, CASE k WHEN 0 THEN body WHEN 1 THEN substr(body, 2) WHEN 2 THEN replace(body, '2', 'g') ELSE '' END AS h FROM raw, (VALUES (0), (1), (2), (3)) t(k))"),
+    "headers_in_sql": _sql(f"""SELECT frame_no, someip_valid AND {_hex('raw_hex', 4, 4)} >= 8 AS valid, {_hex('raw_hex', 0, 2)}::INT AS service_id, {_hex('raw_hex', 10, 2)}::INT AS session_id, {_hex('raw_hex', 4, 4)} AS someip_len,
+  CASE {_hex('raw_hex', 14, 1)} WHEN 0 THEN 'REQUEST' WHEN 1 THEN 'REQUEST_NO_RETURN' WHEN 2 THEN 'NOTIFICATION' WHEN 128 THEN 'RESPONSE' WHEN 129 THEN 'ERROR' ELSE '0x' || upper(substr(raw_hex, 29, 2)) END AS msg_type_name,
+  substr(raw_hex, 1, 4) = 'ffff' AS is_sd, substr(raw_hex, 1, 128) AS payload_hex, true AS is_hex, {_bits('raw_hex', 'substr(raw_hex, 33, 128)')} AS distance FROM v WHERE length(raw_hex) >= 32"""),
     "sd_share": _sql("SELECT pcap_file, sum(is_sd::INT)::BIGINT AS n_sd, count(*) AS n, sum(is_sd::INT) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),
     "label_join": _sql("SELECT pcap_file, frame_no, label, attack_type FROM pk"),
     "capture_counts": _sql("SELECT pcap_file, count(*) + count(*) FILTER (frame_no % 7 = 0) AS read, count(*) AS written, count(*) FILTER (frame_no % 7 = 0) AS dropped, sum(label)::BIGINT AS attacks, sum(label) / count(*)::DOUBLE AS share FROM pk GROUP BY pcap_file"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busline.functions.columns import bit_distance, class_index, header_fields, is_discovery, is_hex, is_valid_message, kept_hex, message_type_name, ratio, uint_at
+from busline.functions import sql as functions
 from busline.operators import bytemodel, metrics, prepare, windows
 from busline.plans import models
 from busline.plans.oracle import LIFE_SECONDS, ORACLES
@@ -75,6 +76,20 @@ def hex_guard(spark, d):
     return rows.select("frame_no", "k", is_hex(h).alias("is_hex"))
 
 
+#: A query in SQL text alone, with the functions of busline.functions.sql.
+HEADERS_SQL = """
+WITH frames AS (SELECT frame_no, raw_hex, unhex(raw_hex) AS raw FROM {packets}),
+heads AS (SELECT *, header_of(raw) AS head, is_message(raw) AS valid FROM frames)
+SELECT frame_no, valid, head.service_id, head.session_id, head.someip_len, message_name(head.msg_type) AS msg_type_name, is_discovery(head.service_id) AS is_sd, kept_hex(raw) AS payload_hex,
+  is_hex(raw_hex) AS is_hex, bit_distance(raw_hex, kept_hex(substring(raw, 17))) AS distance FROM heads WHERE head IS NOT NULL
+"""
+
+
+def headers_in_sql(spark, d):
+    functions.register(spark)
+    return spark.sql(HEADERS_SQL, packets=sources.packets_raw(spark, d))
+
+
 def sd_share(spark, d):
     per = _all(spark, d).groupBy("pcap_file").agg(F.sum(F.coalesce("is_sd", F.lit(False)).cast("bigint")).alias("n_sd"), F.count("*").alias("n"))
     return per.withColumn("share", ratio(F.col("n_sd"), F.col("n")))
@@ -325,7 +340,7 @@ def stream_lifetime(spark, d):
 
 QUERIES = {
     "scan_packets": scan_packets, "scan_pruned": scan_pruned, "missing_captures": missing_captures, "capture_union": capture_union, "header_decode": header_decode,
-    "msg_type_name": msg_type_name, "someip_valid": someip_valid, "payload_hex": payload_hex, "hex_guard": hex_guard, "sd_share": sd_share, "label_join": label_join,
+    "msg_type_name": msg_type_name, "someip_valid": someip_valid, "payload_hex": payload_hex, "hex_guard": hex_guard, "headers_in_sql": headers_in_sql, "sd_share": sd_share, "label_join": label_join,
     "capture_summary": capture_summary, "class_balance": class_balance, "class_index": class_ids, "attack_types": attack_types, "hamming_pairs": hamming_pairs,
     "model_sample_sizes": model_sample_sizes, "byte_counts": _counts, "byte_totals": byte_totals, "byte_logp": byte_logp, "byte_loglik": byte_loglik, "byte_xent": byte_xent,
     "byte_scores_long": byte_scores_long, "hamming_long": hamming_long,

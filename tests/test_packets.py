@@ -154,7 +154,7 @@ def test_pieces_of_large_captures(spark, tmp_path):
     assert spark.read.format("pcap").load(str(tmp_path)).count() == 399
 
 
-@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "byte_scores_long", "hamming_long", "auc", "roc_curve", "multi_metrics", "topk_sources", "capture_union", "capture_counts", "pcap_scan", "stream_features", "stream_payloads", "stream_sources", "stream_all", "stream_lifetime"])
+@pytest.mark.parametrize("name", ["scan_packets", "header_decode", "someip_valid", "features_all", "split", "byte_logp", "byte_scores_long", "hamming_long", "auc", "roc_curve", "multi_metrics", "topk_sources", "capture_union", "capture_counts", "pcap_scan", "stream_features", "stream_payloads", "stream_sources", "stream_all", "stream_lifetime", "headers_in_sql"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
