@@ -267,15 +267,17 @@ _CONTEXT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k
 
 
 def _contexts(chosen: DataFrame, window: int, size: int) -> DataFrame:
-    """Rows of _CONTEXT: n windows side by side from byte start on that have the least piece h, the bytes that they cover, and a digest of these.
+    """Rows of _CONTEXT: n windows side by side from byte start on that have the least piece h, and a digest of the bytes that they cover.
 
-    chosen has doc_id, text, keys (of the texts that count) and hashes (packed, of which at least one document else has each).
+    The bytes themselves stand in the first of equal rows alone, by place, among those that a task has at hand. chosen has doc_id, text, keys (of the texts that
+    count) and hashes (packed, of which at least one document else has each).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, texts, keys, hashes = batch.column(0).to_pylist(), [v.as_py() or b"" for v in batch.column(1)], batch.column(2).to_pylist(), batch.column(3).to_pylist()
             key = [_key(hashlib.sha256(t).digest()) for t in texts]
             texts = [t if k in own else b"" for t, k, own in zip(texts, key, keys)]
+            made: list[list] = [[] for _ in _CONTEXT]
             for parts, owner, offset in parted(texts, window):
                 w = Windows(parts, window, size)
                 wanted = np.unique(np.concatenate([np.frombuffer(b"".join(hashes[i]), _U) for i in dict.fromkeys(owner)]))
@@ -285,24 +287,34 @@ def _contexts(chosen: DataFrame, window: int, size: int) -> DataFrame:
                 at, count, h = (x[wanted[near] == h] for x in (at, count, h))
                 part = np.searchsorted(w.begin, at, "right") - 1
                 context = [w.data[a : a + n + window - 1] for a, n in zip(at.tolist(), count.tolist())]
-                of = np.array(owner)[part]
-                columns = [np.array([doc[i] for i in owner], np.int64)[part], np.array([key[i] for i in owner], np.int64)[part], at - w.begin[part] + np.array(offset)[part], count.astype(np.int32), h.view(np.int64), list(map(_digest, context)), context]
-                if len(of):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_CONTEXT.fieldNames())
+                of = np.array(owner)[part].tolist()
+                for held, more in zip(made, ([doc[i] for i in of], [key[i] for i in of], (at - w.begin[part] + np.array(offset)[part]).tolist(), count.tolist(), h.view(np.int64).tolist(), map(_digest, context), context)):
+                    held.extend(more)
+            order = sorted(range(len(made[0])), key=list(zip(made[0], made[2])).__getitem__)
+            first: set[bytes] = set()
+            for i in order:
+                if made[5][i] in first:
+                    made[6][i] = None
+                first.add(made[5][i])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_CONTEXT.fieldNames())
 
     return chosen.select("doc_id", F.col("text").cast("binary"), "keys", "hashes").mapInArrow(run, _CONTEXT)
 
 
-_GONE = "h bigint, same binary, gone array<struct<at: int, n: int>>"
+_GONE = "h bigint, same binary, place decimal(38,0), gone array<struct<at: int, n: int>>"
 
 
 def _solver(window: int, most: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each context which windows of its first copy also start earlier. Groups of a frame are handled together up to `most` bytes."""
-        context, gone = pdf["context"].tolist(), []
+        """Of each context its first place, and which windows there also start earlier. Groups of a frame are handled together up to `most` bytes."""
         places = [int(p) for p in pdf["place"]]
         doc, start = np.array([p // STEP for p in places], np.int64), np.array([p % STEP for p in places], np.int64)
-        h, held, at = pdf["h"].to_numpy(), np.cumsum(np.fromiter(map(len, context), np.int64, len(context))), 0
+        order = np.lexsort((start, doc))
+        order = order[~pdf["same"].iloc[order].duplicated().to_numpy()]
+        order = order[np.argsort(pdf["h"].to_numpy()[order], kind="stable")]
+        pdf, doc, start = pdf.iloc[order], doc[order], start[order]
+        context, gone, h = pdf["context"].tolist(), [], pdf["h"].to_numpy()
+        held, at = np.cumsum(np.fromiter(map(len, context), np.int64, len(context))), 0
         while at < len(context):
             to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + most)))
             while to < len(context) and h[to] == h[to - 1]:
@@ -310,7 +322,7 @@ def _solver(window: int, most: int):
             for on in earlier(context[at:to], doc[at:to], start[at:to], window):
                 gone.append([{"at": a, "n": b - a} for a, b in ranges(on).tolist()])
             at = to
-        return pdf[["h", "same"]].assign(gone=gone)
+        return pdf[["h", "same", "place"]].assign(gone=gone)
 
     return solve
 
@@ -349,31 +361,33 @@ def _dealt_anew(contexts: DataFrame, window: int, size: int) -> DataFrame:
     return contexts.select("h", "same", F.col("place").cast("decimal(38,0)"), "context").mapInArrow(run, _SUB)
 
 
-def _gone(distinct: DataFrame, window: int, sizes: tuple[int, ...], group_bytes: int) -> DataFrame:
-    """h, same, gone: of each of different contexts (h, same, place, context) the windows that also start at an earlier place.
+def _gone(contexts: DataFrame, window: int, sizes: tuple[int, ...], group_bytes: int) -> DataFrame:
+    """Rows of _GONE: of each of different contexts (h, same, place, context) its first place and the windows there that also start at an earlier place.
 
-    The suffixes of an h are sorted in one group. Where its contexts take more than group_bytes they are cut by the least of longer pieces and
-    dealt anew, up to whole windows, of which the first place alone is asked.
+    Equal contexts may stand in several rows, a row a task. The suffixes of an h are sorted in one group. Where its different contexts take more than group_bytes they
+    are cut by the least of longer pieces and dealt anew, up to whole windows, of which the first place alone is asked.
     """
-    heavy = materialized(distinct.groupBy("h").agg(F.sum(F.length("context")).alias("bytes")).where(F.col("bytes") > group_bytes).select("h"), "heavy")
-    light = distinct if heavy.isEmpty() else distinct.join(heavy, "h", "left_anti")
+    sized = contexts.groupBy("h", "same").agg(F.max(F.length("context")).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes"))
+    heavy = materialized(sized.where(F.col("bytes") > group_bytes).select("h"), "heavy")
+    none = heavy.isEmpty()
+    light = contexts if none else contexts.join(heavy, "h", "left_anti")
     # The smaller a frame the better it fits caches; a group of more bytes is handled whole.
-    solved = map_groups(light.select("h", "same", "place", "context"), ["h"], _solver(window, min(group_bytes, 256 << 10)), _GONE)
-    if heavy.isEmpty():
+    solved = map_groups(light.select("h", "same", F.col("place").cast("decimal(38,0)"), "context"), ["h"], _solver(window, min(group_bytes, 256 << 10)), _GONE)
+    if none:
         return solved
     size = sizes[0] if sizes else 0
-    parts = materialized(_dealt_anew(distinct.join(heavy, "h"), window, size), "dealt", "zstd")
-    firsts = parts.groupBy("h", "same", *(["context"] if size else [])).agg(F.min("place").alias("first"))
+    crowded = contexts.join(heavy, "h").groupBy("h", "same", "context").agg(F.min("place").alias("place"))
+    parts = materialized(_dealt_anew(crowded, window, size), "dealt", "zstd")
     if size:
-        firsts = materialized(firsts, "firsts", "zstd")
-        deeper = _gone(firsts.withColumnRenamed("first", "place"), window, sizes[1:], group_bytes)
-        firsts = firsts.drop("context").join(deeper, ["h", "same"])
+        deeper = _gone(parts.groupBy("h", "same", "context").agg(F.min("place").alias("place")), window, sizes[1:], group_bytes)
     else:
-        firsts = firsts.withColumn("gone", F.array().cast("array<struct<at: int, n: int>>"))
+        deeper = parts.groupBy("h", "same").agg(F.min("place").alias("place")).withColumn("gone", F.array().cast("array<struct<at: int, n: int>>"))
+    deeper = materialized(deeper.withColumnRenamed("place", "first"), "deeper", "zstd")
     whole = F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("n")))
     moved = F.transform("gone", lambda g: F.struct((g["at"] + F.col("at")).alias("at"), g["n"].alias("n")))
-    joined = parts.drop("context").join(materialized(firsts, "firsts", "zstd"), ["h", "same"]).select("up", "up_same", F.when(F.col("place") == F.col("first"), moved).otherwise(whole).alias("gone"))
-    return solved.unionByName(joined.groupBy(F.col("up").alias("h"), F.col("up_same").alias("same")).agg(F.flatten(F.collect_list("gone")).alias("gone")))
+    joined = parts.drop("context").join(deeper, ["h", "same"]).select("up", "up_same", (F.col("place") - F.col("at")).alias("place"), F.when(F.col("place") == F.col("first"), moved).otherwise(whole).alias("gone"))
+    joined = joined.groupBy(F.col("up").alias("h"), F.col("up_same").alias("same")).agg(F.min("place").cast("decimal(38,0)").alias("place"), F.flatten(F.collect_list("gone")).alias("gone"))
+    return solved.unionByName(joined)
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -412,7 +426,7 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, sizes: tuple[int, ...]
     Earlier is a smaller doc_id, or the same document and an earlier byte; copies may overlap, and all are judged on the input. Texts are bytes
     of UTF-8. Suffixes are dealt to groups by the least hash among the pieces of sizes[0] bytes in their first `window` bytes, so
     that suffixes with equal windows meet and neighbours travel together, as a context. Only leaders that stand at two bytes or more are
-    followed; tasks hand on each hash once. Equal contexts are one with its first place. In a group the suffixes of the
+    followed; tasks hand on each hash once. Equal contexts are one with its first place, and a task sends the bytes of one alone. In a group the suffixes of the
     different contexts are sorted, and the previous and next smaller places in that order give each one's longest previous factor: where that is
     `window` bytes or more, the window goes. Groups whose contexts take more than group_bytes are dealt anew by longer pieces, at last by whole
     windows, so no group grows with the input. A document whose text equals an earlier one's goes whole.
@@ -437,9 +451,9 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, sizes: tuple[int, ...]
     named = docs.where("doc_id IS NOT NULL")
     contexts = materialized(_contexts(named.join(wanted, "doc_id"), window, sizes[0]), "contexts", "zstd")
 
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(STEP) + F.col("start")
-    distinct = materialized(contexts.groupBy("h", "same", "context").agg(F.min(place).alias("place")), "distinct", "zstd")
-    gone = materialized(distinct.select("h", "same", F.col("place").alias("first")).join(_gone(distinct, window, sizes[1:], group_bytes), ["h", "same"]), "gone", "zstd")
+    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(STEP) + F.col("start")).cast("decimal(38,0)")
+    gone = _gone(contexts.where("context IS NOT NULL").select("h", "same", place.alias("place"), "context"), window, sizes[1:], group_bytes)
+    gone = materialized(gone.withColumnRenamed("place", "first"), "gone", "zstd")
     hits = contexts.select("doc_id", "key", "start", "n", "h", "same").join(gone, ["h", "same"])
     own = F.transform("gone", lambda g: F.struct((g["at"] + F.col("start")).alias("at"), g["n"].cast("bigint").alias("n")))
     whole = F.array(F.struct(F.col("start").alias("at"), F.col("n").cast("bigint").alias("n")))
