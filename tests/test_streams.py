@@ -79,7 +79,8 @@ def test_keys_start_anew_and_state_goes(spark, tmp_path):
     # Of what the four batches have held only keys of the last one are left: flow, payload and source of z.
     assert sum(held(last)) < sum(first) and sum(held(last)) < sum(held(query)) + 9
     more = fed.batch(packet(10, 10_001, "z", "00"))
-    assert held(more) == held(last) and fed.rows()[10].f01 == 1
+    # Two more rows: the segments of the new batch.
+    assert sum(held(more)) == sum(held(last)) + 2 and fed.rows()[10].f01 == 1
 
 
 def test_late_packets_are_left_out_and_counted(spark, tmp_path):
