@@ -99,18 +99,22 @@ def encode(unit: np.ndarray, turn: np.ndarray, seed: int = 0) -> Codes:
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors scaled by a power of two so that their largest component is near 1, None for those that link with nothing.
+
+    Such a factor changes no digit and no cosine, but squares neither overflow nor vanish.
+    """
     out: list[np.ndarray | None] = []
     for v in column.to_pylist():
         if v is None or not v or None in v:
             out.append(None)
             continue
         x = np.array(v, np.float64) + 0.0
-        out.append(x if np.isfinite(x).all() and x.any() else None)
+        out.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0 if np.isfinite(x).all() and x.any() else None)
     return out
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
-    """doc_id, label, vector (binary of doubles, null if it links with nothing), same (digest of the vector), dim."""
+    """doc_id, label, vector (binary of scaled doubles, null if it links with nothing), same (digest of the scaled vector), dim."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_pylist()
@@ -220,7 +224,7 @@ def _linker(threshold: float, bands: int, bits: int):
 def vector_classes(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors of equal label whose cosine is threshold or more are linked.
 
-    Equal vectors of a label are one representative with a number of copies. Of each representative a binary code
+    Vectors of a label that are equal, or equal after scaling by a power of two, are one representative with a number of copies. Of each representative a binary code
     under a random rotation, its levels and its correction factor are stored. The signs give bands of bits; those that
     share a band, label and dimension meet in a block of bounded size, as codes: estimates of their inner products
     come from counting bits, and only rows with a partner whose estimate reaches the confidence bound take

@@ -448,6 +448,21 @@ def test_vectors(spark):
     assert vectors.vector_classes(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    """Squares that overflow or vanish change no link."""
+    rnd = np.random.default_rng(6)
+    base = [rnd.standard_normal(12) for _ in range(5)]
+    sizes = [1.0, 1e200, 1e-200, 3e307, 1e-300, 2.0**-1020, 0.5]
+    rows = [(100 * k + j, (b + rnd.standard_normal(12) * 0.01 * (j % 2)) / np.abs(b).max() * 0.5 * s, 0) for k, b in enumerate(base) for j, s in enumerate(sizes)]
+    rows += [(900, np.array([1e200, 1e200, 1e200, 0]), 1), (901, np.array([1.0001e200, 1e200, 1e200, 0]), 1), (902, np.array([1e-200, 1e-200, 1e-200, 0]), 1), (903, np.array([5e-324, 5e-324, 5e-324, 0]), 1)]
+    df = spark.createDataFrame([(i, x.tolist(), y) for i, x, y in rows], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_classes(df).collect()}
+    unit = {i: (x / np.abs(x).max()) / np.linalg.norm(x / np.abs(x).max()) for i, x, _ in rows}
+    for i, _, y in rows:
+        near = [j for j, _, z in rows if y == z and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.98]
+        assert got[i] == (len(near) - 1, min(near))
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3, 70))
