@@ -191,3 +191,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     laid = docs.join(per, "doc_id").select("doc_id", "text", "set", "size", "copies", "bands", F.explode("at").alias("at")).select("doc_id", "text", "set", "size", "copies", "bands", "at.*")
     verified = materialized(map_groups(laid, _BLOCK, _verifier(n, threshold), LINKS, also=["side"]), "links")
     return linked_classes(signed.select("doc_id"), members, verified)
+
+
+#: All pairs that share an n-gram; within reach of SQL for some thousands of documents.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(greatest(len(w) - 4, 1))) AS i, w FROM t WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g FROM p),
+s AS (SELECT doc_id, count(*) AS n, list(g ORDER BY g) AS gs FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+d AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 10 * c.n >= 8 * (x.n + y.n - c.n)),
+l AS (SELECT a, b FROM d UNION ALL SELECT b, a FROM d),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS m FROM r GROUP BY a), e AS (SELECT gs, count(*) AS n FROM s GROUP BY gs)
+SELECT t.doc_id, least(t.doc_id, coalesce(m, t.doc_id)) AS class_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(e.n, 1)::BIGINT AS n_copies, t.doc_id <= coalesce(m, t.doc_id) AS kept
+FROM t LEFT JOIN n ON n.a = t.doc_id LEFT JOIN m ON m.a = t.doc_id LEFT JOIN s ON s.doc_id = t.doc_id LEFT JOIN e ON e.gs = s.gs
+"""

@@ -113,4 +113,5 @@ QUERIES = {
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = {"op6_quality_rules": quality.oracle(), "op9_mix_sources": mix.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES |= {"op2_embedding_dedup": vectors.ORACLE, "op4_ngram_join": ngrams.ORACLE, "op7_substring_dedup": substrings.ORACLE}
 ORACLES |= {"op11_centroid_clusters": clusters.oracle(), "op12_suffix_dedup": suffixes.ORACLE, "op13_source_divergence": divergence.ORACLE}

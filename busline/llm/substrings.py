@@ -347,3 +347,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, .
         F.when(whole, none).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("whole")))).alias("kept_sha256"),
         F.when(whole, span).otherwise(F.col("spans")).alias("spans"),
     )
+
+
+#: Every window of the corpus by its own words; within reach of SQL for some thousands of documents.
+ORACLE = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT r, doc_id, unnest(range(len(w) - {WINDOW - 1})) AS i, w FROM t WHERE len(w) >= {WINDOW}),
+h AS (SELECT r, doc_id, i, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS h FROM k),
+f AS (SELECT h, min(doc_id) AS f FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM h JOIN f USING (h) WHERE f < doc_id)),
+x AS (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS word FROM t),
+o AS (SELECT x.r, count(*) AS n_words, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON x.r = g.r AND x.p = g.p GROUP BY x.r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN o USING (r)
+"""

@@ -253,3 +253,15 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.98, recall: float =
     links = materialized(map_groups(chosen.join(taken, "doc_id"), _BLOCK, _linker(threshold, bands, bits), LINKS, also=["side"]), "links")
     out = linked_classes(rows.select("doc_id"), members.drop("label"), links)
     return out.select(F.col("doc_id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"), "kept")
+
+
+#: All pairs of a label; within reach of SQL for some thousands of vectors.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
