@@ -282,15 +282,6 @@ class PcapReader(_Pcap, DataSourceReader):
         super().__init__(options, schema)
         self.span, self.names = int(options.get("spanBytes", "0")), None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Filters by pcap_file choose the files that are opened at all; Spark applies all others."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("pcap_file",):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.names = own if self.names is None else self.names & own
-            else:
-                yield f
-
     def partitions(self) -> list[PcapPartition]:
         parts = []
         for path in list_captures(self.path):
@@ -307,6 +298,19 @@ class PcapReader(_Pcap, DataSourceReader):
         return self.rows(partition)
 
 
+class FilteredPcapReader(PcapReader):
+    """Spark refuses readers with this method unless spark.sql.python.filterPushdown.enabled is set, so it is asked for by an option."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters by pcap_file choose the files that are opened at all; Spark applies all others."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("pcap_file",):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = own if self.names is None else self.names & own
+            else:
+                yield f
+
+
 class PcapStreamReader(_Pcap, DataSourceStreamReader):
     """Follows a folder of captures: an offset has the bytes and frames of each file up to its last whole record.
 
@@ -351,8 +355,8 @@ class PcapSource(DataSource):
     """format("pcap"): frames of the captures at `path`, as a table or a stream.
 
     Options: mode PERMISSIVE (default) or FAILFAST; spanBytes cuts files into partitions of about as many bytes. The schema is FRAMES, or what of DECODED
-    is asked for: columns that are left out are not handed to Spark, and rows of broken files come only with the column broken. Filters
-    by pcap_file open only these files (with spark.sql.python.filterPushdown.enabled).
+    is asked for: columns that are left out are not handed to Spark, and rows of broken files come only with the column broken. With filters true and
+    spark.sql.python.filterPushdown.enabled, filters by pcap_file open only these files.
     """
 
     @classmethod
@@ -363,7 +367,8 @@ class PcapSource(DataSource):
         return FRAMES
 
     def reader(self, schema: T.StructType) -> PcapReader:
-        return PcapReader(self.options, schema)
+        kind = FilteredPcapReader if self.options.get("filters", "false").lower() == "true" else PcapReader
+        return kind(self.options, schema)
 
     def streamReader(self, schema: T.StructType) -> PcapStreamReader:
         return PcapStreamReader(self.options, schema)

@@ -17,7 +17,6 @@ def made(n, first=0):
 @pytest.fixture
 def folder(tmp_path, spark):
     spark.dataSource.register(pcap.PcapSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     (tmp_path / "in").mkdir()
     for k, name in enumerate(NAMES):
         (tmp_path / "in" / name).write_bytes(pcap.capture_bytes(made(50 + k)))
@@ -25,8 +24,9 @@ def folder(tmp_path, spark):
 
 
 def test_filters_choose_files(spark, folder):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     (folder / NAMES[0]).write_bytes(b"no capture")
-    load = lambda: spark.read.format("pcap").option("mode", "FAILFAST").load(str(folder))
+    load = lambda: spark.read.format("pcap").option("mode", "FAILFAST").option("filters", "true").load(str(folder))
     with pytest.raises(Exception, match="not a capture"):
         load().count()
     # Another file would raise if it were opened.
@@ -34,6 +34,7 @@ def test_filters_choose_files(spark, folder):
     assert load().where(f"pcap_file IN ('{NAMES[1]}', '{NAMES[2]}')").count() == 103
     assert load().where(f"pcap_file IN ('{NAMES[0]}', '{NAMES[2]}') AND pcap_file = '{NAMES[2]}'").count() == 52
     assert load().where("pcap_file = 'none.pcap'").count() == 0
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_columns_and_spans(spark, folder):
