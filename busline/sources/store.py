@@ -39,10 +39,17 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table up to which it is dealt out to all cores by a shuffle.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """rows, dealt out evenly if they were read in fewer pieces than the session has cores: small tables in one file."""
+    """rows, dealt out evenly if they were read in fewer pieces than the session has cores and are SPREAD_BYTES at most: small tables in one file."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size <= SPREAD_BYTES else rows
 
 
 def _path(spark: SparkSession, path: str):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from busline.operators import bytemodel, metrics, running, windows
+from busline.sources import store
 
 PACKET = "pcap_file string, frame_no bigint, timestamp double, label int, attack_type string, is_sd boolean, someip_payload_hex string, transport_payload_hex string"
 
@@ -77,3 +78,11 @@ def test_curve_in_slices(spark, monkeypatch):
     want = metrics.auc(rows).first().auc, sorted(map(tuple, metrics.roc_curve(rows).collect()))
     monkeypatch.setattr(metrics, "sliced", lambda *a: running.sliced(*a, most=11))
     assert metrics.auc(rows).first().auc == pytest.approx(want[0]) and sorted(map(tuple, metrics.roc_curve(rows).collect())) == want[1]
+
+
+def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = spark.read.parquet(f"{tmp_path}/one")
+    assert store.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(store, "SPREAD_BYTES", 100)
+    assert store.spread(rows).rdd.getNumPartitions() == 1
