@@ -48,7 +48,7 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() >= cores:
         return rows
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size <= SPREAD_BYTES else rows
 
 
