@@ -56,6 +56,12 @@ def _features(spark, a) -> None:
 
 def _report(spark, a, binary: bool) -> None:
     test = prepare.read_features(spark, a.features).where("NOT is_train")
+    if not binary and exists(spark, f"{a.models}/softmax"):
+        nodes = spark.read.parquet(f"{a.models}/softmax")
+        for table in (metrics.multi_metrics(models.predict_softmax(nodes, test)), models.gain_importances(nodes, 10)):
+            table.show(truncate=False)
+    if not binary and not exists(spark, f"{a.models}/multi"):
+        return
     model = models.load(f"{a.models}/{'binary' if binary else 'multi'}")
     if not binary:
         metrics.multi_metrics(models.predict_multi(model, test)).show()
@@ -72,6 +78,10 @@ def _modes(mode: str) -> list[bool]:
 def _train(spark, a) -> None:
     train = prepare.read_features(spark, a.features).where("is_train")
     for binary in _modes(a.mode):
+        if not binary and a.multi == "softmax":
+            models.fit_softmax(train, a.rounds, a.depth).coalesce(1).write.mode("overwrite").parquet(f"{a.models}/softmax")
+            _report(spark, a, binary)
+            continue
         fit = models.fit_binary if binary else models.fit_multi
         models.save(fit(train, a.rounds, a.depth), f"{a.models}/{'binary' if binary else 'multi'}")
         _report(spark, a, binary)
@@ -104,6 +114,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "train":
             p.add_argument("--rounds", type=int, default=100)
             p.add_argument("--depth", type=int, default=6)
+            p.add_argument("--multi", choices=["softmax", "rest"], default="softmax", help="classes in one model, or a model a class against the rest")
     a = parser.parse_args(argv)
     a.run(local_session(), a)
 

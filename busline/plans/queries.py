@@ -10,7 +10,7 @@ from busline.functions import sql as functions
 from busline.operators import bytemodel, metrics, prepare, windows
 from busline.plans import models
 from busline.plans.oracle import LIFE_SECONDS, ORACLES
-from busline.schema import FEATURES, FLOW, HEADER_BYTES, KEY
+from busline.schema import CLASSES, FEATURES, FLOW, HEADER_BYTES, KEY
 from busline.sources import packets as sources
 from busline.sources import pcap
 from busline.sources.store import stored
@@ -280,6 +280,18 @@ def ovr_predictions(spark, d):
     return models.predict_multi(model, rows.where("NOT is_train")).select(*KEY, "attack_type", "class_id", "pred_class")
 
 
+def softmax_predictions(spark, d):
+    """Class and probabilities of the test half by one softmax model of all classes."""
+    rows = _scaled(spark, d)
+    out = models.predict_softmax(models.fit_softmax(rows.where("is_train")), rows.where("NOT is_train"))
+    return out.select(*KEY, "attack_type", "class_id", "pred_class", *[F.col("probabilities")[i].alias(f"p_{c}") for i, c in enumerate(CLASSES)])
+
+
+def softmax_importances(spark, d):
+    """Mean gain by feature in the softmax model."""
+    return models.gain_importances(models.fit_softmax(_scaled(spark, d).where("is_train")))
+
+
 def importances(spark, d):
     return models.importances(models.fit_binary(_scaled(spark, d).where("is_train")))
 
@@ -347,7 +359,8 @@ QUERIES = {
     "f01": _flow(FEATURES[:1]), "f08_f09": _flow(FEATURES[7:9]), "f10": _flow(FEATURES[9:10]), "f11_f12": _flow(FEATURES[10:12]), "f13": _flow(FEATURES[12:13]),
     "f14": f14, "f15_f16": f15_f16, "f17": f17, "f18": f18, "features_all": features_all, "split": split, "minmax_stats": minmax_stats, "minmax_scaled": minmax_scaled,
     "confusion": confusion, "binary_metrics": binary_metrics, "auc": auc, "roc_curve": roc_curve, "recall_by_type": recall_by_type, "multi_metrics": multi_metrics,
-    "topk_sources": topk_sources, "gbt_predictions": gbt_predictions, "ovr_predictions": ovr_predictions, "importances": importances, "pcap_scan": pcap_scan, "capture_counts": capture_counts,
+    "topk_sources": topk_sources, "gbt_predictions": gbt_predictions, "ovr_predictions": ovr_predictions, "importances": importances,
+    "softmax_predictions": softmax_predictions, "softmax_importances": softmax_importances, "pcap_scan": pcap_scan, "capture_counts": capture_counts,
     "stream_features": stream_features, "stream_payloads": stream_payloads, "stream_sources": stream_sources, "stream_all": stream_all, "stream_lifetime": stream_lifetime,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -53,6 +53,9 @@ def test_commands(spark, captures, tmp_path, capsys):
     first = capsys.readouterr().out
     cli.main(["evaluate", "--features", f"{tmp_path}/parquet-features", "--models", f"{tmp_path}/models"])
     second = capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/models/softmax").groupBy("class", "tree").count().count() == 8
+    cli.main(["train", "--mode", "multi", "--multi", "rest", "--features", f"{tmp_path}/parquet-features", "--models", f"{tmp_path}/rest", "--rounds", "1", "--depth", "1"])
+    assert "support" in capsys.readouterr().out
     assert "importance" in second and "recall" in second and second.count("|") > 20 and all(x in first for x in ("accuracy", "auc", "support"))
     whole = prepare.read_features(spark, f"{tmp_path}/parquet-features")
     test = whole.where("NOT is_train")
