@@ -26,8 +26,10 @@ BINS = 256
 UNITS = 1 << 30
 #: Rows that a partition of the training table holds at least: small tables in many partitions would spend each level on starting tasks.
 PARTITION_ROWS = 50_000
-#: Rounds after which margins are written again; those in between are added up in each pass.
-REFRESH = 5
+#: Partitions of the training table for each core at most, as each sends sums of all open nodes, and rows from which it takes more of them.
+PARTITIONS_A_CORE, MOST_ROWS = 2, 2_000_000
+#: Rows that are kept and added up together; sums of as many gradients are exact in doubles.
+BLOCK_ROWS = 65_536
 SPLITS = "slot int, feature int, bin int, gain double, gl double, hl double, g double, h double"
 NODES = "class int, tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double, gain double, cover double"
 
@@ -49,14 +51,15 @@ class Tree:
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The node where each column of x, the bins of a row, ends."""
-        at, row = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
-        while True:
-            feature = self.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                return at
-            right = x[np.maximum(feature, 0), row] > self.bin[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+        inner = self.feature >= 0
+        # Leaves lead to themselves, as no bin is above the last.
+        feature, bins, child = np.where(inner, self.feature, 0).astype(np.int64) * x.shape[1], np.where(inner, self.bin, BINS - 1).astype(np.uint8), np.where(inner, 2 * np.arange(len(inner)) + 1, np.arange(len(inner)))
+        at, row, flat = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1]), x.reshape(-1)
+        reached = np.array([0])
+        while inner[reached].any():
+            at = child[at] + (flat[feature[at] + row] > bins[at])
+            reached = np.concatenate([2 * reached[inner[reached]] + 1, 2 * reached[inner[reached]] + 2])
+        return at
 
 
 def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
@@ -68,33 +71,30 @@ def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
 
 
 def _blocks(rows: DataFrame, features: list[str], label: str, cuts: list[np.ndarray], classes: int) -> DataFrame:
-    """A row for each batch of rows: x the bins by feature, y the classes, m the margins by class."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each BLOCK_ROWS rows of a partition: x the bins by feature, y the classes, m the margins by class."""
+
+    def pack(many: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(many)
+        x = np.empty((len(features), b.num_rows), np.uint8)
+        for i, cut in enumerate(cuts):
+            value = b.column(i).to_numpy().astype(np.float64)
+            x[i] = np.where(np.isnan(value), BINS - 1, np.searchsorted(cut, value))
+        y = b.column(len(features)).to_numpy().astype(np.uint8)
+        m = np.zeros((classes, b.num_rows))
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, m)], ["x", "y", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.empty((len(features), b.num_rows), np.uint8)
-            for i, cut in enumerate(cuts):
-                value = b.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
-                x[i] = np.where(np.isnan(value), BINS - 1, np.searchsorted(cut, value))
-            y = b.column(len(features)).to_numpy(zero_copy_only=False).astype(np.uint8)
-            m = np.zeros((classes, b.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, m)], ["x", "y", "m"])
+            held, n = [*held, b], n + b.num_rows
+            if n >= BLOCK_ROWS:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
 
     chosen = rows.where(F.col(label).between(0, classes - 1)).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("int").alias("y"))
-    return chosen.mapInArrow(pack, "x binary, y binary, m binary")
-
-
-def _rows(batch: pa.RecordBatch, features: int, classes: int, past: list[list[Tree]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """x, y and the margins, past trees included, of each block."""
-    for x, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m"))):
-        y = np.frombuffer(y, np.uint8)
-        x, m = np.frombuffer(x, np.uint8).reshape(features, len(y)), np.frombuffer(m).reshape(classes, len(y)).copy()
-        for trees in past:
-            for k, tree in enumerate(trees):
-                m[k] += tree.value[tree.place(x)]
-        yield x, y, m
+    return chosen.mapInArrow(run, "x binary, y binary, m binary")
 
 
 def softmax(m: np.ndarray) -> np.ndarray:
@@ -103,38 +103,51 @@ def softmax(m: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=0)
 
 
-def _advanced(features: int, classes: int, past: list[list[Tree]]) -> Callable:
-    """Blocks with past trees in their margins."""
+def _advanced(features: int, classes: int, last: list[Tree]) -> Callable:
+    """Blocks with the last trees, a class each, in their margins, and w, gradients and hessians by class in whole units."""
 
     def run(batches):
         for b in batches:
-            for x, y, m in _rows(b, features, classes, past):
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, m)], ["x", "y", "m"])
+            for x, y, m in zip(*(b.column(c) for c in ("x", "y", "m"))):
+                y = np.frombuffer(y.as_buffer(), np.uint8)
+                x, m = np.frombuffer(x.as_buffer(), np.uint8).reshape(features, len(y)), np.frombuffer(m.as_buffer()).reshape(classes, len(y)).copy()
+                for k, tree in enumerate(last):
+                    m[k] += tree.value[tree.place(x)]
+                p, w = softmax(m), np.empty((classes, 2, len(y)), np.int32)
+                for k in range(classes):
+                    w[k, 0] = np.rint((p[k] - (y == k)) * UNITS)
+                    w[k, 1] = np.rint(2 * p[k] * (1 - p[k]) * UNITS)  # twice the diagonal, as the classes step together
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, m, w)], ["x", "y", "m", "w"])
 
     return run
 
 
-def _histograms(features: int, classes: int, past: list[list[Tree]], grown: list[Tree], slots: list[np.ndarray]) -> Callable:
+def _histograms(features: int, classes: int, grown: list[Tree], slots: list[np.ndarray]) -> Callable:
     """slot, feature and the sums by bin of a task's rows; slots gives each class's open nodes their number, and -1 to others."""
 
     def run(batches):
         sums = np.zeros((1 + max(s.max() for s in slots), features, 2, BINS), np.int64)
         for b in batches:
-            for x, y, m in _rows(b, features, classes, past):
-                p = softmax(m)
+            for x, w in zip(*(b.column(c) for c in ("x", "w"))):
+                w = np.frombuffer(w.as_buffer(), np.int32).reshape(classes, 2, -1)
+                x = np.frombuffer(x.as_buffer(), np.uint8).reshape(features, w.shape[2])
                 for k, tree in enumerate(grown):
+                    if slots[k].max() < 0:
+                        continue
                     slot = slots[k][tree.place(x)]
                     kept = np.flatnonzero(slot >= 0)
                     if not len(kept):
                         continue
+                    bins, both = x, w[k]
+                    if len(kept) < len(slot):
+                        slot, bins, both = slot[kept], x[:, kept], both[:, kept]
                     low = slots[k][slots[k] >= 0].min()
                     n = slots[k].max() - low + 1
-                    base, bins, prob = (slot[kept] - low) * BINS, x[:, kept], p[k, kept]
-                    g = np.rint((prob - (y[kept] == k)) * UNITS)
-                    h = np.rint(2 * prob * (1 - prob) * UNITS)  # twice the diagonal, as the classes step together
+                    base, (g, h) = (slot - low) * BINS, both.astype(np.float64)
                     for f in range(features):
-                        for part, w in enumerate((g, h)):
-                            sums[low : low + n, f, part] += np.bincount(base + bins[f], w, n * BINS).astype(np.int64).reshape(n, BINS)
+                        at = base + bins[f]
+                        for part, of in enumerate((g, h)):
+                            sums[low : low + n, f, part] += np.bincount(at, of, n * BINS).astype(np.int64).reshape(n, BINS)
         some = np.argwhere(sums.any(axis=(2, 3)))
         if len(some):
             blobs = pa.array([sums[s, f].tobytes() for s, f in some], pa.binary())
@@ -170,7 +183,7 @@ def _splits(cuts: list[int], l2: float, least_cover: float) -> Callable:
     return run
 
 
-def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], past: list[list[Tree]], classes: int, depth: int, eta: float, l2: float, least_cover: float, least_gain: float) -> list[Tree]:
+def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], classes: int, depth: int, eta: float, l2: float, least_cover: float, least_gain: float) -> list[Tree]:
     """One round: a tree a class."""
     grown = [Tree.of_depth(depth) for _ in range(classes)]
     opened = [(k, 0) for k in range(classes)]
@@ -180,7 +193,7 @@ def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], past: list[list
         slots = [np.full(len(t.feature), -1, np.int64) for t in grown]
         for i, (k, node) in enumerate(opened):
             slots[k][node] = i
-        add, choose = _histograms(len(cuts), classes, past, grown, slots), _splits([len(c) for c in cuts], l2, least_cover)
+        add, choose = _histograms(len(cuts), classes, grown, slots), _splits([len(c) for c in cuts], l2, least_cover)
         if parts > 1:
             found = blocks.mapInArrow(add, "slot int, feature int, sums binary").repartition(parts, "slot", "feature").mapInArrow(choose, SPLITS)
         else:  # nothing to shuffle
@@ -214,24 +227,25 @@ def fit_softmax(
     """The nodes of the trees fitted to label, a class from 0 to classes - 1, as a table of NODES.
 
     A row goes left where its feature is at most the threshold; null and NaN go right. Rows of another or no class are left
-    out; from no rows at all come trees of one leaf that give all classes the same margin. Each round passes over the rows once a level;
-    they are kept in bins, a byte a feature, in the shared folder, so a lost executor costs one pass over its part.
+    out; from no rows at all come trees of one leaf that give all classes the same margin. Each round passes over the rows once a level; they are
+    kept in bins, a byte a feature, with the round's gradients, in the shared folder, so a lost executor costs one pass over its part.
     """
     spark, cuts = rows.sparkSession, cut_points(rows, features)
-    parts = max(1, math.ceil(rows.count() / PARTITION_ROWS))
-    made = _blocks(rows.coalesce(parts), features, label, cuts, classes)
+    n, cores = rows.count(), spark.sparkContext.defaultParallelism
+    parts = max(1, min(math.ceil(n / PARTITION_ROWS), max(PARTITIONS_A_CORE * cores, math.ceil(n / MOST_ROWS))))
+    kept = _blocks(rows.coalesce(parts), features, label, cuts, classes)
     forest: list[list[Tree]] = []
     path = blocks = None
     for r in range(rounds):
-        if r % REFRESH == 0:
-            written = new_folder(spark, "boosting")
-            (made if blocks is None else blocks.mapInArrow(_advanced(len(features), classes, forest[-REFRESH:]), made.schema)).write.parquet(written)
-            if blocks is not None:
-                blocks.unpersist()
-                delete(spark, path)
-            path, blocks = written, spark.read.schema(made.schema).parquet(written).persist()
-            parts = blocks.rdd.getNumPartitions()
-        forest.append(_grow(blocks, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), cuts, forest[r - r % REFRESH :], classes, depth, eta, l2, least_cover, least_gain))
+        written = new_folder(spark, "boosting")
+        kept.mapInArrow(_advanced(len(features), classes, forest[-1] if forest else []), "x binary, y binary, m binary, w binary").write.parquet(written)
+        if blocks is not None:
+            blocks.unpersist()
+            delete(spark, path)
+        path, kept = written, spark.read.schema("x binary, y binary, m binary, w binary").parquet(written)
+        blocks = kept.select("x", "w").persist()
+        # What tasks send is bounded by open nodes, so no more tasks than cores add it up.
+        forest.append(_grow(blocks, min(parts, cores), cuts, classes, depth, eta, l2, least_cover, least_gain))
     if blocks is not None:
         blocks.unpersist()
         delete(spark, path)
