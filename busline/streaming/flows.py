@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -61,10 +62,11 @@ class _Keyed(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(TIME_ORDER if self.life else ORDER, ignore_index=True)
         if not self.keeps(key):
-            yield pdf[self.kept].assign(**{n: 0.0 for n in self.names})
+            for part in rows:
+                yield part[self.kept].assign(**{n: 0.0 for n in self.names})
             return
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(TIME_ORDER if self.life else ORDER, ignore_index=True)
         before = self.seen.get()[0] if self.seen.exists() else None
         time = pdf["timestamp"].to_numpy(np.float64)
         fresh = np.zeros(len(time), bool)
@@ -248,8 +250,8 @@ def _begun(packets: DataFrame, columns: list[str], life: float | None, late: str
 
 
 def _by_payload(rows: DataFrame) -> DataFrame:
-    """rows with their payload as a key; those without one are dealt to 1,024 keys that no payload has."""
-    return rows.withColumn("payload", F.coalesce(F.nullif("someip_payload_hex", F.lit("")), F.concat(F.lit("-"), F.pmod("frame_no", F.lit(1024)).cast("string"))))
+    """rows with their payload as a key; those without one are dealt to 64 keys that no payload has, as each key of a batch is a call."""
+    return rows.withColumn("payload", F.coalesce(F.nullif("someip_payload_hex", F.lit("")), F.concat(F.lit("-"), F.pmod("frame_no", F.lit(64)).cast("string"))))
 
 
 def _made(rows: DataFrame) -> DataFrame:
@@ -286,28 +288,49 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
+@contextmanager
+def _settings(spark: SparkSession, most: int) -> Iterator[None]:
+    """For streams that start inside: at most so many partitions a state, which a stream keeps in its checkpoint, and no batch that has timers alone."""
+    partitions, empty, provider = "spark.sql.shuffle.partitions", "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.streaming.stateStore.providerClass"
+    before = {partitions: spark.conf.get(partitions), empty: spark.conf.get(empty)}
+    spark.conf.set(provider, PROVIDER)
+    spark.conf.set(partitions, min(int(before[partitions]), most))
+    spark.conf.set(empty, False)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def run_available(packets: DataFrame, features: Callable[[DataFrame], DataFrame], batch_rows: int = 1_000_000, least_batches: int = 1, order: list[str] | None = None) -> DataFrame:
     """Hand packets to a stream in micro-batches and return what the stream has written.
 
     Packets are cut in order into batches of about batch_rows, least_batches at least. A batch, however many files it has, is moved
-    into the stream's folder when the one before has been processed, so that batches arrive in order; for each the query starts anew from the stream's
-    checkpoint, by which state goes on. batch_rows bounds what a key can hold in memory at once. All files
-    are in the shared folder that spark.checkpoint.dir names.
+    into the stream's folder when the one before has been processed, so that batches arrive in order; moving a folder must be one step there, as it is
+    in file systems. One query takes all batches, so states stay open from one to the next. batch_rows bounds what a key can hold in memory at once. A batch has a
+    file a core, and each state a partition a core: opening and committing a state's partition takes the same time for few keys as for many, and comes
+    again with each batch. Timers run with the next batch. All files are in the shared folder that spark.checkpoint.dir names.
     """
     spark = packets.sparkSession
     at, kept = new_folder(spark, "stream"), stored(packets, "packets")
-    batches = max(least_batches, math.ceil(kept.count() / batch_rows))
+    batches, cores = max(least_batches, math.ceil(kept.count() / batch_rows)), spark.sparkContext.defaultParallelism
     # Cut into more pieces than batches; a piece's number is its place in the order.
-    pieces = batches * max(1, spark.sparkContext.defaultParallelism // batches)
+    pieces = batches * cores
     cut = kept.repartitionByRange(pieces, *(order or ORDER)).withColumn("batch", F.floor(F.spark_partition_id() * F.lit(batches) / F.lit(pieces)).cast("int"))
     cut.write.partitionBy("batch").parquet(f"{at}/all")
     schema = StructType([*packets.schema.fields, StructField("batch", IntegerType())])
     make(spark, f"{at}/in")
     made = features(spark.readStream.schema(schema).parquet(f"{at}/in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    for k in range(batches):
-        if not move(spark, f"{at}/all/batch={k}", f"{at}/in/batch={k}"):
-            continue  # no packet
-        query = made.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
-        query.awaitTermination()
+    query = None
+    with _settings(spark, cores):
+        try:
+            for k in range(batches):
+                if not move(spark, f"{at}/all/batch={k}", f"{at}/in/batch={k}"):
+                    continue  # no packet
+                query = query or made.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(processingTime="0 seconds").start()
+                query.processAllAvailable()
+        finally:
+            if query:
+                query.stop()
     return spark.read.schema(made.schema).parquet(f"{at}/out") if exists(spark, f"{at}/out") else spark.createDataFrame([], made.schema)

@@ -1,6 +1,7 @@
 """Streams against the batch windows, over restarts, life times and late packets."""
 
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -28,6 +29,24 @@ def test_streams_equal_batch(spark, batches):
             assert r[name] == pytest.approx(want[r.pcap_file, r.frame_no][names[name]], abs=1e-9)
 
 
+def test_states_have_few_partitions_and_stay_open(spark, monkeypatch):
+    """As many partitions a state as cores, however many a shuffle has, one query for all batches, and no batch without packets."""
+    folders, new = [], flows.new_folder
+    monkeypatch.setattr(flows, "new_folder", lambda *a: folders.append(new(*a)) or folders[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        made = flows.run_available(q._all(spark, SF), lambda p: flows.all_stream(p, 7200.0), least_batches=3, order=flows.TIME_ORDER)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    at = Path(folders[0].removeprefix("file:")) / "checkpoint"
+    for state in range(3):
+        assert len([p for p in (at / "state" / str(state)).iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+    assert len([p for p in (at / "commits").iterdir() if p.name.isdigit()]) == 3
+    assert made.count() == q._all(spark, SF).count()
+
+
 def test_no_packet(spark):
     rows = q._all(spark, SF).limit(0)
     for stream in (flows.flow_stream, flows.payload_stream, flows.source_stream, flows.all_stream):
