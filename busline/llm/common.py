@@ -218,12 +218,13 @@ def blocks(rows: DataFrame, key: list[str], weight: Column | None = None, chunk:
 
     A bucket is divided by a hash of doc_id into parts of about `chunk` rows and `most_weight` summed weight at most (a
     row that weighs more stands for itself); each pair of parts is a block, so that no task takes a whole bucket. A bucket of
-    one part is a block of its own. Bucket sizes come from a grouped count that is summed before the shuffle.
+    one part is a block of its own. Bucket sizes come from a grouped count that is summed before the shuffle. Rows and sizes are
+    both shuffled, whatever Spark takes their size to be: exploded rows count as the table they come from, many times too small to be sent to the driver.
     """
     rows = rows.withColumn("__w", F.lit(0) if weight is None else weight)
     sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("__w").alias("__all")).where("__n > 1")
     parts = F.least(F.col("__n"), F.ceil(F.greatest(F.col("__n") / (chunk or CHUNK), F.col("__all") / (most_weight or MOST_WEIGHT)))).cast("int")
-    sized = rows.join(sizes, key).withColumn("__parts", parts)
+    sized = rows.join(sizes.hint("merge"), key).withColumn("__parts", parts)
     mine = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("__parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
     dealt = sized.withColumn("__mine", mine).withColumn("__other", other)

@@ -250,7 +250,8 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.98, recall: float =
     met = blocks(banded, ["label", "dim", "band", "key"]).join(codes.drop("copies"), "doc_id")
     chosen = materialized(map_groups(met, _BLOCK, _chooser(threshold, bands, bits), "doc_id bigint, label bigint, dim int, band int, key bigint, block_i int, block_j int, side int", also=["side"]), "chosen")
     taken = codes.join(valid.select("doc_id", "vector"), "doc_id")
-    links = materialized(map_groups(chosen.join(taken, "doc_id"), _BLOCK, _linker(threshold, bands, bits), LINKS, also=["side"]), "links")
+    # Rows of a block share all but doc_id, so files of chosen are a small part of its rows: it is shuffled, too.
+    links = materialized(map_groups(chosen.join(taken.hint("merge"), "doc_id"), _BLOCK, _linker(threshold, bands, bits), LINKS, also=["side"]), "links")
     out = linked_classes(rows.select("doc_id"), members.drop("label"), links)
     return out.select(F.col("doc_id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"), "kept")
 
