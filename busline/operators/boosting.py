@@ -3,19 +3,22 @@
 Each round grows a tree a class, all classes at once, a level a job. A task adds up gradients and hessians of its rows by
 (class, node, feature, bin); what tasks found is shuffled by (class, node, feature) and added again, so the driver sees one
 candidate split a class, node and feature, however many rows there are. Gradients are rounded to 2^-30 and added as integers:
-sums, and with them the trees, don't depend on partitions or on their order.
+sums, and with them the trees, don't depend on partitions or on their order. Features of which few combinations of bins occur are
+kept and added up together as one code, from whose sums those of each feature follow exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from busline.sources.store import delete, new_folder
@@ -30,10 +33,55 @@ PARTITION_ROWS = 50_000
 PARTITIONS_A_CORE, MOST_ROWS = 2, 2_000_000
 #: Rows that are kept and added up together; sums of as many gradients are exact in doubles.
 BLOCK_ROWS = 65_536
+#: Codes of a bundle of features at most, those that it may have in the first block, and its features at most, whose bins fill 64 bits.
+CODES, FIRST_CODES, BUNDLED = 256, 240, 8
+#: Bytes of blocks that are handed to Python together, so that one is added up while the next is on its way.
+BATCH_BYTES = 4 << 20
+#: Rounds after which margins are written; up to then they are kept with the rows, and a lost executor makes its part again from there.
+WRITTEN_ROUNDS = 10
 SPLITS = "slot int, feature int, bin int, gain double, gl double, hl double, g double, h double"
 NODES = "class int, tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double, gain double, cover double"
 
 
+@dataclass
+class Bundle:
+    """Features that are kept as one byte a row, its code: keys has the combinations of their bins that occur, in order, bins those bins by feature and code."""
+
+    features: list[int]
+    keys: np.ndarray | None
+    bins: np.ndarray
+
+    @classmethod
+    def of(cls, features: list[int], keys: np.ndarray) -> Bundle:
+        return cls(features, keys, np.stack([(keys >> np.uint64(8 * i) & np.uint64(255)).astype(np.uint8) for i in range(len(features))]))
+
+    @classmethod
+    def alone(cls, feature: int) -> Bundle:
+        """One feature, whose bins are the codes."""
+        return cls([feature], None, np.arange(BINS, dtype=np.uint8)[None])
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return x[self.features[0]] if self.keys is None else np.searchsorted(self.keys, joined(x, self.features)).astype(np.uint8)
+
+    def sums(self, i: int, sums: np.ndarray) -> np.ndarray:
+        """Of sums by code (last axis) those by bin of the i-th feature."""
+        if self.keys is None:
+            return sums
+        order = np.argsort(self.bins[i], kind="stable")
+        bins, first = np.unique(self.bins[i][order], return_index=True)
+        out = np.zeros_like(sums)
+        out[..., bins] = np.add.reduceat(sums[..., order], first, axis=-1)
+        return out
+
+
+def joined(x: np.ndarray, features: list[int]) -> np.ndarray:
+    """The bins of some features of each column of x as one number."""
+    key = np.zeros(x.shape[1], np.uint64)
+    for i, f in enumerate(features):
+        key |= x[f].astype(np.uint64) << np.uint64(8 * i)
+    return key
+
+
 @dataclass
 class Tree:
     """A tree in heap order: the children of node i are 2i + 1 and 2i + 2; feature -1 is a leaf."""
@@ -51,15 +99,27 @@ class Tree:
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The node where each column of x, the bins of a row, ends."""
-        inner = self.feature >= 0
-        # Leaves lead to themselves, as no bin is above the last.
-        feature, bins, child = np.where(inner, self.feature, 0).astype(np.int64) * x.shape[1], np.where(inner, self.bin, BINS - 1).astype(np.uint8), np.where(inner, 2 * np.arange(len(inner)) + 1, np.arange(len(inner)))
-        at, row, flat = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1]), x.reshape(-1)
-        reached = np.array([0])
-        while inner[reached].any():
-            at = child[at] + (flat[feature[at] + row] > bins[at])
-            reached = np.concatenate([2 * reached[inner[reached]] + 1, 2 * reached[inner[reached]] + 2])
-        return at
+        return self.walk([Bundle.alone(f) for f in range(len(x))])(x)
+
+    def walk(self, bundles: list[Bundle]) -> Callable[[np.ndarray], np.ndarray]:
+        """A function that gives the node where each column of x, the codes of a row by bundle, ends."""
+        inner, where = self.feature >= 0, {f: (b, one.bins[i]) for b, one in enumerate(bundles) for i, f in enumerate(one.features)}
+        # Leaves lead to themselves.
+        of, right, child = np.zeros(len(inner), np.int64), np.zeros((len(inner), BINS), np.uint8), np.arange(len(inner))
+        for node in np.flatnonzero(inner):
+            of[node], bins = where[int(self.feature[node])]
+            right[node, : len(bins)], child[node] = bins > self.bin[node], 2 * node + 1
+        right = right.reshape(-1)
+
+        def place(x: np.ndarray) -> np.ndarray:
+            begin, at, row, flat = of * x.shape[1], np.zeros(x.shape[1], np.int64), np.arange(x.shape[1]), x.reshape(-1)
+            reached = np.array([0])
+            while inner[reached].any():
+                at = child.take(at) + right.take((at << 8) + flat.take(begin.take(at) + row))
+                reached = np.concatenate([2 * reached[inner[reached]] + 1, 2 * reached[inner[reached]] + 2])
+            return at
+
+        return place
 
 
 def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
@@ -97,22 +157,84 @@ def _blocks(rows: DataFrame, features: list[str], label: str, cuts: list[np.ndar
     return chosen.mapInArrow(run, "x binary, y binary, m binary")
 
 
+def tried(x: np.ndarray) -> list[list[int]]:
+    """Features that may go together, by the combinations of bins in x: each joins those whose combinations it makes fewest more of."""
+    many, out = [len(np.unique(v)) for v in x], []
+    for f in sorted(range(len(x)), key=lambda f: -many[f]):
+        best = None
+        for one in out:
+            if len(one[0]) < BUNDLED and one[1] <= FIRST_CODES and max(one[1], many[f]) <= FIRST_CODES:
+                n = len(np.unique(joined(x, [*one[0], f])))
+                if n <= FIRST_CODES and (best is None or n * best[1][1] < best[0] * one[1]):
+                    best = n, one
+        if best is None:
+            out.append([[f], many[f]])
+        else:
+            best[1][0].append(f)
+            best[1][1] = best[0]
+    return [sorted(features) for features, _ in out]
+
+
+def _combinations(features: int, groups: list[list[int]]) -> Callable:
+    """Of each group the combinations of bins that a task's rows have, null if they are more than CODES."""
+
+    def run(batches):
+        seen: list[np.ndarray | None] = [np.zeros(0, np.uint64) for _ in groups]
+        for b in batches:
+            for blob in b.column("x"):
+                x = np.frombuffer(blob.as_buffer(), np.uint8).reshape(features, -1)
+                for i, group in enumerate(groups):
+                    if seen[i] is not None:
+                        seen[i] = np.union1d(seen[i], joined(x, group))
+                        if len(seen[i]) > CODES:
+                            seen[i] = None
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(groups)), pa.int32()), pa.array([None if k is None else k.tobytes() for k in seen], pa.binary())], ["i", "keys"])
+
+    return run
+
+
+def bundles(blocks: DataFrame, features: int) -> list[Bundle]:
+    """Bundles of all features. The first block says what may go together; all rows are then looked through for their combinations, and what has too many is kept apart."""
+    first = blocks.select("x").head()
+    groups = tried(np.frombuffer(first.x, np.uint8).reshape(features, -1)) if first else [[f] for f in range(features)]
+    several = [g for g in groups if len(g) > 1]
+    found: list[set[int] | None] = [set() for _ in several]
+    for r in blocks.select("x").mapInArrow(_combinations(features, several), "i int, keys binary").collect() if several else []:  # CODES numbers a task and group at most
+        found[r.i] = None if found[r.i] is None or r.keys is None else found[r.i] | set(np.frombuffer(r.keys, np.uint64).tolist())
+    out = [Bundle.alone(f) for g in groups if len(g) == 1 for f in g]
+    for g, keys in zip(several, found):
+        out += [Bundle.of(g, np.array(sorted(keys), np.uint64))] if keys is not None and len(keys) <= CODES else [Bundle.alone(f) for f in g]
+    return out
+
+
+def _coded(features: int, together: list[Bundle]) -> Callable:
+    """Blocks with codes by bundle instead of bins by feature."""
+
+    def run(batches):
+        for b in batches:
+            made = [np.stack([one.codes(x) for one in together]).tobytes() for x in (np.frombuffer(v.as_buffer(), np.uint8).reshape(features, -1) for v in b.column("x"))]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column("y"), b.column("m")], ["x", "y", "m"])
+
+    return run
+
+
 def softmax(m: np.ndarray) -> np.ndarray:
     """Probabilities of margins that have classes along the first axis."""
     p = np.exp(m - m.max(axis=0))
     return p / p.sum(axis=0)
 
 
-def _advanced(features: int, classes: int, last: list[Tree]) -> Callable:
+def _advanced(together: list[Bundle], classes: int, last: list[Tree]) -> Callable:
     """Blocks with the last trees, a class each, in their margins, and w, gradients and hessians by class in whole units."""
 
     def run(batches):
+        walks = [tree.walk(together) for tree in last]
         for b in batches:
             for x, y, m in zip(*(b.column(c) for c in ("x", "y", "m"))):
                 y = np.frombuffer(y.as_buffer(), np.uint8)
-                x, m = np.frombuffer(x.as_buffer(), np.uint8).reshape(features, len(y)), np.frombuffer(m.as_buffer()).reshape(classes, len(y)).copy()
+                x, m = np.frombuffer(x.as_buffer(), np.uint8).reshape(len(together), len(y)), np.frombuffer(m.as_buffer()).reshape(classes, len(y)).copy()
                 for k, tree in enumerate(last):
-                    m[k] += tree.value[tree.place(x)]
+                    m[k] += tree.value[walks[k](x)]
                 p, w = softmax(m), np.empty((classes, 2, len(y)), np.int32)
                 for k in range(classes):
                     w[k, 0] = np.rint((p[k] - (y == k)) * UNITS)
@@ -122,19 +244,20 @@ def _advanced(features: int, classes: int, last: list[Tree]) -> Callable:
     return run
 
 
-def _histograms(features: int, classes: int, grown: list[Tree], slots: list[np.ndarray]) -> Callable:
-    """slot, feature and the sums by bin of a task's rows; slots gives each class's open nodes their number, and -1 to others."""
+def _histograms(together: list[Bundle], classes: int, grown: list[Tree], slots: list[np.ndarray]) -> Callable:
+    """slot, bundle and the sums by code of a task's rows; slots gives each class's open nodes their number, and -1 to others."""
 
     def run(batches):
-        sums = np.zeros((1 + max(s.max() for s in slots), features, 2, BINS), np.int64)
+        sums = np.zeros((1 + max(s.max() for s in slots), len(together), 2, BINS), np.int64)
+        walks = [tree.walk(together) for tree in grown]
         for b in batches:
             for x, w in zip(*(b.column(c) for c in ("x", "w"))):
                 w = np.frombuffer(w.as_buffer(), np.int32).reshape(classes, 2, -1)
-                x = np.frombuffer(x.as_buffer(), np.uint8).reshape(features, w.shape[2])
-                for k, tree in enumerate(grown):
+                x = np.frombuffer(x.as_buffer(), np.uint8).reshape(len(together), w.shape[2])
+                for k, place in enumerate(walks):
                     if slots[k].max() < 0:
                         continue
-                    slot = slots[k][tree.place(x)]
+                    slot = slots[k][place(x)]
                     kept = np.flatnonzero(slot >= 0)
                     if not len(kept):
                         continue
@@ -144,46 +267,46 @@ def _histograms(features: int, classes: int, grown: list[Tree], slots: list[np.n
                     low = slots[k][slots[k] >= 0].min()
                     n = slots[k].max() - low + 1
                     base, (g, h) = (slot - low) * BINS, both.astype(np.float64)
-                    for f in range(features):
-                        at = base + bins[f]
+                    for i in range(len(together)):
+                        at = base + bins[i]
                         for part, of in enumerate((g, h)):
-                            sums[low : low + n, f, part] += np.bincount(at, of, n * BINS).astype(np.int64).reshape(n, BINS)
+                            sums[low : low + n, i, part] += np.bincount(at, of, n * BINS).astype(np.int64).reshape(n, BINS)
         some = np.argwhere(sums.any(axis=(2, 3)))
         if len(some):
-            blobs = pa.array([sums[s, f].tobytes() for s, f in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0], pa.int32()), pa.array(some[:, 1], pa.int32()), blobs], ["slot", "feature", "sums"])
+            blobs = pa.array([sums[s, i].tobytes() for s, i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0], pa.int32()), pa.array(some[:, 1], pa.int32()), blobs], ["slot", "bundle", "sums"])
 
     return run
 
 
-def _splits(cuts: list[int], l2: float, least_cover: float) -> Callable:
+def _splits(together: list[Bundle], cuts: list[int], l2: float, least_cover: float) -> Callable:
     """The best bin of each slot and feature, -1 if none has two children of least_cover, with the sums of the left child and of the node."""
 
     def run(batches):
-        added: dict[tuple[int, int], np.ndarray] = {}
+        added: dict[int, dict[int, np.ndarray]] = {}
         for b in batches:
-            for slot, feature, blob in zip(*(b.column(c).to_pylist() for c in ("slot", "feature", "sums"))):
-                found = np.frombuffer(blob, np.int64)
-                added[slot, feature] = added[slot, feature] + found if (slot, feature) in added else found
-        if not added:
-            return
-        keys = np.array(list(added))
-        sums = np.stack(list(added.values())).reshape(len(keys), 2, BINS)
-        left, whole = sums.cumsum(axis=2) / UNITS, sums.sum(axis=2, keepdims=True) / UNITS
-        right, worth = whole - left, lambda s: s[:, 0] ** 2 / (s[:, 1] + l2)
-        gain = worth(left) + worth(right) - worth(whole)
-        fits = (left[:, 1] >= least_cover) & (right[:, 1] >= least_cover) & (np.arange(BINS) < np.array(cuts)[keys[:, 1], None])
-        gain = np.where(fits, gain, -np.inf)
-        at, row = gain.argmax(axis=1), np.arange(len(keys))
-        at = np.where(np.isfinite(gain[row, at]), at, -1)
-        columns = [keys[:, 0], keys[:, 1], at, gain[row, at], left[row, 0, at], left[row, 1, at], whole[:, 0, 0], whole[:, 1, 0]]
-        types = [pa.int32()] * 3 + [pa.float64()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slot", "feature", "bin", "gain", "gl", "hl", "g", "h"])
+            for slot, bundle, blob in zip(*(b.column(c).to_pylist() for c in ("slot", "bundle", "sums"))):
+                of, found = added.setdefault(bundle, {}), np.frombuffer(blob, np.int64)
+                of[slot] = of[slot] + found if slot in of else found
+        for bundle, of in added.items():
+            slots, by_code = np.array(list(of)), np.stack(list(of.values())).reshape(len(of), 2, BINS)
+            for i, f in enumerate(together[bundle].features):
+                sums = together[bundle].sums(i, by_code)
+                left, whole = sums.cumsum(axis=2) / UNITS, sums.sum(axis=2, keepdims=True) / UNITS
+                right, worth = whole - left, lambda s: s[:, 0] ** 2 / (s[:, 1] + l2)
+                gain = worth(left) + worth(right) - worth(whole)
+                fits = (left[:, 1] >= least_cover) & (right[:, 1] >= least_cover) & (np.arange(BINS) < cuts[f])
+                gain = np.where(fits, gain, -np.inf)
+                at, row = gain.argmax(axis=1), np.arange(len(slots))
+                at = np.where(np.isfinite(gain[row, at]), at, -1)
+                columns = [slots, np.full(len(slots), f), at, gain[row, at], left[row, 0, at], left[row, 1, at], whole[:, 0, 0], whole[:, 1, 0]]
+                types = [pa.int32()] * 3 + [pa.float64()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slot", "feature", "bin", "gain", "gl", "hl", "g", "h"])
 
     return run
 
 
-def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], classes: int, depth: int, eta: float, l2: float, least_cover: float, least_gain: float) -> list[Tree]:
+def _grow(blocks: DataFrame, parts: int, together: list[Bundle], cuts: list[np.ndarray], classes: int, depth: int, eta: float, l2: float, least_cover: float, least_gain: float) -> list[Tree]:
     """One round: a tree a class."""
     grown = [Tree.of_depth(depth) for _ in range(classes)]
     opened = [(k, 0) for k in range(classes)]
@@ -193,9 +316,9 @@ def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], classes: int, d
         slots = [np.full(len(t.feature), -1, np.int64) for t in grown]
         for i, (k, node) in enumerate(opened):
             slots[k][node] = i
-        add, choose = _histograms(len(cuts), classes, grown, slots), _splits([len(c) for c in cuts], l2, least_cover)
+        add, choose = _histograms(together, classes, grown, slots), _splits(together, [len(c) for c in cuts], l2, least_cover)
         if parts > 1:
-            found = blocks.mapInArrow(add, "slot int, feature int, sums binary").repartition(parts, "slot", "feature").mapInArrow(choose, SPLITS)
+            found = blocks.mapInArrow(add, "slot int, bundle int, sums binary").repartition(parts, "slot", "bundle").mapInArrow(choose, SPLITS)
         else:  # nothing to shuffle
             found = blocks.mapInArrow(lambda batches: choose(add(batches)), SPLITS)
         best: dict[int, Row] = {}
@@ -221,6 +344,25 @@ def _grow(blocks: DataFrame, parts: int, cuts: list[np.ndarray], classes: int, d
     return grown
 
 
+@contextmanager
+def _handed_over(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about `size` bytes inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _written(blocks: DataFrame) -> tuple[str, DataFrame]:
+    """Blocks in a folder of their own, and read from there."""
+    path = new_folder(blocks.sparkSession, "boosting")
+    blocks.write.parquet(path)
+    return path, blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
 def fit_softmax(
     rows: DataFrame, label: str, features: list[str], classes: int, rounds: int = 100, depth: int = 6, eta: float = 0.3, l2: float = 1.0, least_cover: float = 1.0, least_gain: float = 1e-6,
 ) -> DataFrame:
@@ -228,27 +370,32 @@ def fit_softmax(
 
     A row goes left where its feature is at most the threshold; null and NaN go right. Rows of another or no class are left
     out; from no rows at all come trees of one leaf that give all classes the same margin. Each round passes over the rows once a level; they are
-    kept in bins, a byte a feature, with the round's gradients, in the shared folder, so a lost executor costs one pass over its part.
+    kept by Spark in codes, a byte a bundle of features, with margins and the round's gradients, and written to the shared folder every WRITTEN_ROUNDS.
     """
-    spark, cuts = rows.sparkSession, cut_points(rows, features)
+    spark = rows.sparkSession
     n, cores = rows.count(), spark.sparkContext.defaultParallelism
     parts = max(1, min(math.ceil(n / PARTITION_ROWS), max(PARTITIONS_A_CORE * cores, math.ceil(n / MOST_ROWS))))
-    kept = _blocks(rows.coalesce(parts), features, label, cuts, classes)
-    forest: list[list[Tree]] = []
-    path = blocks = None
-    for r in range(rounds):
-        written = new_folder(spark, "boosting")
-        kept.mapInArrow(_advanced(len(features), classes, forest[-1] if forest else []), "x binary, y binary, m binary, w binary").write.parquet(written)
-        if blocks is not None:
-            blocks.unpersist()
-            delete(spark, path)
-        path, kept = written, spark.read.schema("x binary, y binary, m binary, w binary").parquet(written)
-        blocks = kept.select("x", "w").persist()
-        # What tasks send is bounded by open nodes, so no more tasks than cores add it up.
-        forest.append(_grow(blocks, min(parts, cores), cuts, classes, depth, eta, l2, least_cover, least_gain))
-    if blocks is not None:
-        blocks.unpersist()
-        delete(spark, path)
+    rows = rows.coalesce(parts)
+    cuts = cut_points(rows, features)  # one task adds up what the partitions found
+    columns, (written, kept) = "x binary, y binary, m binary", _written(_blocks(rows, features, label, cuts, classes))
+    together, forest, before = bundles(kept, len(features)), [], None
+    kept = kept.mapInArrow(_coded(len(features), together), columns)
+    with _handed_over(spark, BATCH_BYTES):
+        for r in range(rounds):
+            state = kept.mapInArrow(_advanced(together, classes, forest[-1] if forest else []), f"{columns}, w binary").persist(StorageLevel.MEMORY_AND_DISK)
+            # What tasks send is bounded by open nodes, so no more tasks than cores add it up.
+            forest.append(_grow(state.select("x", "w"), min(parts, cores), together, cuts, classes, depth, eta, l2, least_cover, least_gain))
+            if before is not None:
+                before.unpersist()
+            kept, before = state.select("x", "y", "m"), state
+            if (r + 1) % WRITTEN_ROUNDS == 0:
+                path, kept = _written(kept)
+                state.unpersist()
+                delete(spark, written)
+                written, before = path, None
+    if before is not None:
+        before.unpersist()
+    delete(spark, written)
     return spark.createDataFrame([n for t, trees in enumerate(forest) for k, tree in enumerate(trees) for n in _nodes(k, t, tree, cuts)], NODES)
 
 
